@@ -152,21 +152,22 @@ def event_flows(events: DataFrame, top_n: int = 5, min_count: int = 10, aggregat
         .agg(F.count("*").alias("value"))
         .where(F.col("value") >= min_count)
     )
-    top = (
-        events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(top_n)
-        .agg(F.collect_list("event_type").alias("t")).scalar()
-    )
-    named = F.transform(
-        "sequence", lambda s: F.when(F.array_contains(top, s["event_type"]), s["event_type"]).otherwise(F.lit("Other"))
-    )
-    pairs = F.arrays_zip(F.slice("names", 1, F.size("names") - 1).alias("source"), F.slice("names", 2, F.size("names")).alias("target"))
-    flows = (
-        sequences.select("sequence", "value", named.alias("names"))
-        .where(F.size("names") > 1)
-        .select("sequence", "value", F.posexplode(pairs).alias("position", "pair"))
-        .select("sequence", "position", F.col("pair.source").alias("source"), F.col("pair.target").alias("target"), "value")
-        .where(F.col("source") != F.col("target"))
+    types = F.transform("sequence", lambda s: s["event_type"])
+    neighbours = F.arrays_zip(F.slice("types", 1, F.size("types") - 1).alias("source"), F.slice("types", 2, F.size("types")).alias("target"))
+    pairs = (
+        sequences.select("value", types.alias("types"))
+        .where(F.size("types") > 1)
+        .select("value", F.explode(neighbours).alias("pair"))
+        .select("pair.source", "pair.target", "value")
     )
+    # At most top_n rows.
+    top = events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(top_n)
+    for end in ("source", "target"):
+        named = F.broadcast(top.select(F.col("event_type").alias("__top")))
+        pairs = pairs.join(named, F.col(end) == F.col("__top"), "left").withColumn(
+            end, F.when(F.col("__top").isNotNull(), F.col(end)).otherwise("Other")
+        ).drop("__top")
+    flows = pairs.where(F.col("source") != F.col("target"))
     if not aggregate:
         return flows.select("source", "target", "value")
     return flows.groupBy("source", "target").agg(F.sum("value").alias("value"))

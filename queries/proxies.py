@@ -188,7 +188,7 @@ REGISTERS: dict[str, tuple[str, dict[str, str]]] = {
             "MOR_BESKST13": _id("o_orderkey % 5"),
             "FAR_FDAG": _unless("o_custkey % 11 = 0", f"DATE '1950-01-01' + CAST(({_part('o_custkey', 3)} * 13) % 9000 AS INT)"),
             "FAR_EDU_LVL": _unless("o_orderkey % 8 = 0", _id("o_orderkey % 3")),
-            "FAR_PERINDKIALT_13": _unless("o_orderkey % 14 = 5", "o_totalprice / 2"),
+            "FAR_PERINDKIALT_13": _unless("o_orderkey % 14 = 5", "o_totalprice * 2"),
             "FAR_BESKST13": _id("o_orderkey % 6"),
         },
     ),
