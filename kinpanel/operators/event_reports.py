@@ -110,11 +110,16 @@ def event_correlation(events: DataFrame, types: list[str] | None = None) -> Data
     types = types if types is not None else event_types(events)
     per_person = events.groupBy("PNR").agg(*[F.count_if(F.col("event_type") == t).cast("double").alias(f"t{i}") for i, t in enumerate(types)])
     pairs = list(combinations_with_replacement(range(len(types)), 2))
-    one = per_person.agg(*[F.corr(f"t{i}", f"t{j}").alias(f"c{i}_{j}") for i, j in pairs])
+    # A constant has no deviation; F.corr would fail on it.
+    one = per_person.agg(
+        *[F.covar_pop(f"t{i}", f"t{j}").alias(f"v{i}_{j}") for i, j in pairs],
+        *[F.stddev_pop(f"t{i}").alias(f"d{i}") for i in range(len(types))],
+    )
+    correlation = {(i, j): F.try_divide(F.col(f"v{i}_{j}"), F.col(f"d{i}") * F.col(f"d{j}")) for i, j in pairs}
     cells = []
     for i, j in pairs:
         for a, b in {(i, j), (j, i)}:
-            cells.append(F.struct(F.lit(types[a]).alias("event_a"), F.lit(types[b]).alias("event_b"), F.col(f"c{i}_{j}").alias("correlation")))
+            cells.append(F.struct(F.lit(types[a]).alias("event_a"), F.lit(types[b]).alias("event_b"), correlation[i, j].alias("correlation")))
     return one.select(F.inline(F.array(*cells)))
 
 

@@ -98,13 +98,15 @@ def identify_events(
     keep: list[str] | None = None,
     order: list[str] | None = None,
     hot_rows: int | None = HOT_ROWS,
+    within: list[str] | None = None,
 ) -> DataFrame:
     """One row ``(event_type, PNR, year, ...)`` per row and event that holds.
 
     All definitions are tested in one pass.  Definitions with columns the table
     lacks are left out; without any left the result is empty but typed.
     ``keep`` names columns carried along.  The preceding row is the person's
-    row before in ``order`` (by default year, then month where there is one).
+    row before in ``order`` (by default year, then month where there is one);
+    in a panel stacked from several registers ``within`` keeps to one register.
     """
     if role not in PERSON:
         raise ValueError(f"unknown role {role!r}; use child, father or mother")
@@ -127,10 +129,11 @@ def identify_events(
     back = list(dict.fromkeys(c for e in usable.values() if e.looks_back for c in e.columns))
     month = year.replace("year", "month")
     order = order or [c for c in (year, month) if c in df.columns]
-    needed = list(dict.fromkeys([person, *order, year, *[c for e in usable.values() for c in e.columns], *keep]))
+    within = [c for c in (within or []) if c in df.columns]
+    needed = list(dict.fromkeys([person, *within, *order, year, *[c for e in usable.values() for c in e.columns], *keep]))
     rows = df.select(*needed)
     if back:
-        rows = with_previous(rows, person, order, back, hot_rows)
+        rows = with_previous(rows, person, order, back, hot_rows, within)
     names = []
     for name, event in usable.items():
         now = [F.col(c) for c in event.columns]

@@ -81,10 +81,12 @@ def add_education_level(df: DataFrame, levels: DataFrame, column: str = "HFAUDD"
     return df.join(side, F.col(column) == F.col("__hfaudd"), "left").drop("__hfaudd")
 
 
-def stack_registers(registers: list[DataFrame]) -> DataFrame:
-    """Rows of several registers under the union of their columns."""
+def stack_registers(registers: list[DataFrame] | dict[str, DataFrame]) -> DataFrame:
+    """Rows of several registers under the union of their columns; a dict adds their names as ``register``."""
     if not registers:
         raise ValueError("no registers to stack")
+    if isinstance(registers, dict):
+        registers = [df.withColumn("register", F.lit(name)) for name, df in registers.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), registers)
 
 
@@ -93,7 +95,7 @@ def split_roles(panel: DataFrame) -> dict[str, DataFrame]:
 
     A parent's panel is given when the table has columns with its prefix.
     """
-    shared = [c for c in ("PNR", "year", "month") if c in panel.columns]
+    shared = [c for c in ("PNR", "year", "month", "register") if c in panel.columns]
     own = [c for c in panel.columns if not c.startswith((FATHER, MOTHER))]
     roles = {"child": unique_names(panel.select(*own))}
     for role, prefix, key in (("mother", MOTHER, "MOR_ID"), ("father", FATHER, "FAR_ID")):

@@ -78,15 +78,17 @@ def build_panels(spark: SparkSession, study: Study) -> dict[str, DataFrame]:
     return panels
 
 
-def build_role_panels(spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def build_role_panels(
+    spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame], same_period: bool = False
+) -> dict[str, DataFrame]:
     """Panels of child, mother and father: own rows from BEF, parents' rows from the other registers."""
-    stacked = []
+    stacked = {}
     for name, panel in panels.items():
         if name == "bef":
             own = panel.drop("FOED_DAG", "FAR_ID", "MOR_ID", "FAMILIE_ID")
-            stacked.append(join_register(population, own))
+            stacked[name] = join_register(population, own)
         else:
-            stacked.append(join_parents(population, panel))
+            stacked[name] = join_parents(population, panel, same_period=same_period)
     out = {}
     for role, df in split_roles(stack_registers(stacked)).items():
         write_table(df, f"{study.output}/long/{role}")
@@ -111,7 +113,7 @@ def build_events(
     spark: SparkSession, study: Study, role_panels: dict[str, DataFrame], definitions: dict[str, dict[str, Event]] | None = None, keep: list[str] | None = None
 ) -> DataFrame:
     """Events of all roles, written once."""
-    found = [identify_events(df, (definitions or EVENTS).get(role, {}), role, keep) for role, df in role_panels.items()]
+    found = [identify_events(df, (definitions or EVENTS).get(role, {}), role, keep, within=["register"]) for role, df in role_panels.items()]
     write_table(stack_registers(found), f"{study.output}/events")
     return spark.read.parquet(f"{study.output}/events")
 

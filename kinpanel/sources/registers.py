@@ -21,8 +21,12 @@ def with_period(df: DataFrame) -> DataFrame:
     """``year`` and ``month`` from the name of the file a row was read from; null when the name has none.
 
     The table must come straight from a read.  Columns that exist are kept.
+    A file may be a folder written by Spark: its part files carry random digits,
+    so the folder's name counts.
     """
-    name = F.col("_metadata.file_name")
+    path = F.split("_metadata.file_path", "/")
+    file, parent = F.element_at(path, -1), F.element_at(path, -2)
+    name = F.when(file.rlike(r"^part-\d{5}-"), parent).otherwise(file)
     found = {"year": file_year(name), "month": file_month(name)}
     return df.select("*", *[c.alias(n) for n, c in found.items() if n not in df.columns])
 

@@ -104,6 +104,16 @@ def test_previous_row_equals_brute_force(spark, hot_rows):
     assert sorted(ours, key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("hot_rows", [None, 40])
+def test_previous_row_within_a_register(spark, hot_rows):
+    rows = [("p", reg, y, y * 10 + i) for i, reg in enumerate("ab") for y in range(60)]
+    df = spark.createDataFrame(rows, "person string, register string, year int, v int").repartition(5)
+    got = with_previous(df, "person", ["year"], ["v"], hot_rows, ["register"]).collect()
+    assert len(got) == 120
+    for r in got:
+        assert (r["previous"]["v"] if r["previous"] else None) == (r["v"] - 10 if r["year"] else None)
+
+
 @pytest.mark.parametrize("buckets,levels", [(4, 1), (8, 3), (4096, 2)])
 def test_quantiles_equal_numpy(spark, buckets, levels):
     rng = np.random.default_rng(3)
