@@ -224,20 +224,21 @@ STUDY_YEARS = [2005, 2010, 2015, 2020]
 
 # -- Fixed values: date formats, tried in this order ---------------------------
 
+# Each with the shape of the text it can read.
 DATE_FORMATS = [
-    "yyyy/M/d",
-    "d/M/yyyy",
-    "M/d/yyyy",
-    "yyyy/M/d HH:mm:ss",
-    "M/d/yy",
-    "dMMMyyyy",
-    "yyyy-M-d",
-    "d-M-yyyy",
-    "M-d-yyyy",
-    "yyyy-M-d HH:mm:ss",
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy/M/d HH:mm:ss", r"^\d{4}/\d{1,2}/\d{1,2} \d{2}:\d{2}:\d{2}$"),
+    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
+    ("dMMMyyyy", r"^\d{1,2}[A-Za-z]{3}\d{4}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyy-M-d HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2}$"),
 ]
 # Tried last, after the weekday is cut off: "Mon May 15 01:02:03 2023".
-LOCALE_DATE_FORMAT = "MMM d HH:mm:ss yyyy"
+LOCALE_DATE_FORMAT = ("MMM d HH:mm:ss yyyy", r"^[A-Za-z]{3} +\d{1,2} \d{2}:\d{2}:\d{2} +\d{4}$")
 # Two-digit years from this one on belong to the 1900s.
 TWO_DIGIT_YEAR_PIVOT = 70
 

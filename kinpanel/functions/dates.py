@@ -16,16 +16,27 @@ DAYS_PER_YEAR = 365.25
 def parse_date(col: Column | str, dtype: T.DataType | None = None) -> Column:
     """First format that fits wins; text that fits none becomes null.
 
+    No text has the shape of two formats other than those grouped here, so
+    choosing by shape keeps the order of the formats.
+
     A column that already holds dates or timestamps (``dtype``) is only cast.
     """
     c = F.col(col) if isinstance(col, str) else col
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
-    attempts = [_century(F.try_to_date(c, f)) if f.endswith("/yy") else F.try_to_date(c, f) for f in DATE_FORMATS]
+    # Parsing text of another shape is slow (each failure is an exception), so
+    # the shape is looked at first.  Formats of one shape share the look.
+    by_shape: dict[str, list[Column]] = {}
+    for pattern, shape in DATE_FORMATS:
+        parsed = F.try_to_date(c, pattern)
+        by_shape.setdefault(shape, []).append(_century(parsed) if pattern.endswith("/yy") else parsed)
     # Spark refuses a weekday in a pattern, so it is cut off before parsing.
-    without_weekday = F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z]{3}\s+", ""), r"\s+", " ")
-    attempts.append(F.try_to_date(without_weekday, LOCALE_DATE_FORMAT))
-    return F.coalesce(*attempts)
+    without_weekday = F.regexp_replace(c, r"^[A-Za-z]{3}\s+(?=[A-Za-z]{3}\s)", "")
+    pattern, shape = LOCALE_DATE_FORMAT
+    expr = F.when(without_weekday.rlike(shape), F.try_to_date(F.regexp_replace(without_weekday, r"\s+", " "), pattern))
+    for shape, parsed in reversed(by_shape.items()):
+        expr = F.when(c.rlike(shape), F.coalesce(*parsed)).otherwise(expr)
+    return expr
 
 
 def _century(parsed: Column) -> Column:

@@ -20,6 +20,12 @@ def _only_new(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c == key or c not in other.columns])
 
 
+def _with_dates(df: DataFrame) -> DataFrame:
+    """Text dates parsed, once per contact rather than once per combination."""
+    text = {f.name for f in df.schema.fields if HEALTH_NAMES.get(f.name) in DATES and f.dataType.simpleString() == "string"}
+    return df.withColumns({c: parse_date(c) for c in sorted(text)}) if text else df
+
+
 def integrate_v2(contacts: DataFrame, diagnoses: DataFrame, visits: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Contacts with their diagnoses and outpatient visits; every combination is a row."""
     joined = left_join(contacts, _only_new(diagnoses, contacts, "RECNUM"), "RECNUM", hot_rows=hot_rows)
@@ -67,8 +73,8 @@ def health_data(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """All hospital records of both systems under common names."""
-    v2 = harmonise(integrate_v2(contacts_v2, diagnoses_v2, visits_v2, hot_rows), "LPR2")
-    v3 = harmonise(integrate_v3(contacts_v3, diagnoses_v3, hot_rows), "LPR3")
+    v2 = harmonise(integrate_v2(_with_dates(contacts_v2), diagnoses_v2, _with_dates(visits_v2), hot_rows), "LPR2")
+    v3 = harmonise(integrate_v3(_with_dates(contacts_v3), diagnoses_v3, hot_rows), "LPR3")
     return combine_sources(v2, v3)
 
 

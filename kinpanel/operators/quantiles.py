@@ -1,6 +1,8 @@
-"""Exact quantiles that never gather a group's values in one place.
+"""Exact quantiles that never gather a large group's values in one place.
 
-Each pass counts the rows of a group in equal-width buckets between the group's
+Groups are measured first.  When the largest is small enough for one task the
+built-in percentile is used.  Beyond that, quantiles are found by selection:
+each pass counts the rows of a group in equal-width buckets between the group's
 bounds and keeps the buckets that hold a wanted rank; the next pass splits only
 those.  Counts, minima and maxima are combined map-side, so a pass moves
 ``buckets`` rows per group and task, whatever the size of the group.  The last
@@ -9,13 +11,51 @@ pass counts the distinct values left (a 1/buckets**levels slice of the range).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinpanel.operators.scale import attach, small
+from kinpanel.operators.scale import SMALL_BYTES, SMALL_ROWS, attach
 
 BUCKETS = 4096
 LEVELS = 2
+# Up to this many values a group may be gathered by one task.
+GROUP_ROWS = 1_000_000
+# A task holds the values of up to 128 groups before it turns to sorting; all of
+# them together stay below this (about 1 GB).
+TASK_GROUPS = 128
+TASK_ROWS = 16_000_000
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Number of groups, values in the largest one, bytes of all group keys."""
+
+    groups: int
+    largest: int
+    key_bytes: int
+
+    @property
+    def fit_a_task(self) -> bool:
+        return self.largest <= GROUP_ROWS and self.largest * min(self.groups, TASK_GROUPS) <= TASK_ROWS
+
+    @property
+    def fit_a_broadcast(self) -> bool:
+        return self.groups <= SMALL_ROWS and self.key_bytes <= SMALL_BYTES
+
+
+def group_sizes(df: DataFrame, by: list[str], value: str) -> Sizes:
+    """Measured with one aggregate over the group columns."""
+    width = sum([F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in by], F.lit(0))
+    row = (
+        df.groupBy(*by).agg(F.count(value).alias("n"))
+        .agg(F.count("*").alias("groups"), F.max("n").alias("largest"), F.sum(width).alias("bytes"))
+        .first()
+    )
+    return Sizes(row["groups"], row["largest"] or 0, row["bytes"] or 0)
 
 
 def exact_quantiles(
@@ -24,106 +64,92 @@ def exact_quantiles(
     value: str,
     quantiles: dict[str, float],
     *,
-    few_groups: bool = False,
+    method: str = "auto",
+    sizes: Sizes | None = None,
     buckets: int = BUCKETS,
     levels: int = LEVELS,
 ) -> DataFrame:
     """One row per group with the quantiles asked for, linearly interpolated.
 
-    ``few_groups`` says that the caller knows the number of groups to be small;
-    otherwise the groups are counted before their table is broadcast.
-    Groups without a value have no row.
+    ``method`` is ``auto`` (by the size of the largest group), ``builtin`` or
+    ``selection``.  Groups without a value have no row.
     """
     x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
     if not by:
         return exact_quantiles(
-            x.withColumn("__all", F.lit(0)), ["__all"], "__v", quantiles, few_groups=True, buckets=buckets, levels=levels
+            x.withColumn("__all", F.lit(0)), ["__all"], "__v", quantiles, method=method, buckets=buckets, levels=levels
         ).drop("__all")
+    if method not in ("auto", "builtin", "selection"):
+        raise ValueError(f"unknown method {method!r}")
+    if method != "builtin":
+        sizes = sizes or group_sizes(x, by, "__v")
+        method = "builtin" if method == "auto" and sizes.fit_a_task else "selection"
+    if method == "builtin":
+        return x.groupBy(*by).agg(*[F.percentile("__v", F.lit(p)).alias(name) for name, p in quantiles.items()])
+
     probs = list(quantiles.items())
-    state = (
-        x.groupBy(*by)
-        .agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count("*").alias("__n"))
-        .select(*by, "__n", F.array(F.struct("lo", "hi", F.lit(0).cast("bigint").alias("below"))).alias("__in"))
+    intervals = x.groupBy(*by).agg(
+        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.lit(0).cast("bigint").alias("__below"), F.count("*").alias("__n")
     )
-    # Whether the table of groups may be broadcast is settled once, on the keys.
-    mark = F.broadcast if few_groups or _is_small(x.select(*by).distinct()) else _as_is
+    mark = F.broadcast if sizes.fit_a_broadcast else _as_is
     for _ in range(levels):
-        state = _narrow(x, mark(state), by, probs, buckets)
-    found = _values_at_ranks(x, mark(state), by, probs)
+        intervals = _narrow(x, mark(intervals), by, probs, buckets)
+    cells = (
+        _inside(x, mark(intervals), by)
+        .groupBy(*by, "__below", "__v")
+        .agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
+    )
+    cells = _with_first_rank(cells, by, "__v").where(_holds_rank(probs))
+    # A cell is one value here, so the value at a rank is that of the cell holding it.
+    ends = {}
+    for i, (_, p) in enumerate(probs):
+        for side, rank in zip(("a", "b"), _ends(p)[:2]):
+            ends[f"__{side}{i}"] = F.max(F.when(_holds(rank), F.col("__v")))
+    found = cells.groupBy(*by).agg(F.max("__n").alias("__n"), *[e.alias(n) for n, e in ends.items()])
     out = []
-    for name, p in probs:
-        low, high, part = _ends(p)
-        below, above = F.try_element_at("__at", low), F.try_element_at("__at", high)
-        out.append((below + (above - below) * part).alias(name))
+    for i, (name, p) in enumerate(probs):
+        below, above = F.col(f"__a{i}"), F.col(f"__b{i}")
+        out.append(F.when(below == above, below).otherwise(below + (above - below) * _ends(p)[2]).alias(name))
     return found.select(*by, *out)
 
 
-def _is_small(keys: DataFrame) -> bool:
-    return small(keys) is not keys
-
-
 def _as_is(df: DataFrame) -> DataFrame:
     return df
 
 
-def _ends(p: float):
+def _ends(p: float) -> tuple[Column, Column, Column]:
     """Lower rank, upper rank and fraction of quantile ``p`` among ``__n`` values."""
     h = (F.col("__n") - 1) * F.lit(p)
     return F.floor(h), F.ceil(h), h - F.floor(h)
 
 
-def _ranks(probs) -> Column:
-    return F.array_distinct(F.array(*[end for _, p in probs for end in _ends(p)[:2]]))
+def _holds(rank: Column) -> Column:
+    return (rank >= F.col("__from")) & (rank < F.col("__from") + F.col("__c"))
 
 
-def _inside(x: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    """Rows that fall into one of their group's current intervals."""
-    joined = attach(x, state, by, "inner")
-    hit = F.filter("__in", lambda i: F.col("__v").between(i["lo"], i["hi"]))
-    return joined.withColumn("__hit", F.try_element_at(hit, F.lit(1))).where(F.col("__hit").isNotNull())
+def _holds_rank(probs) -> Column:
+    return reduce(or_, [_holds(rank) for _, p in probs for rank in _ends(p)[:2]])
 
 
-def _holding_ranks(cells: DataFrame, by: list[str], order: str, probs) -> DataFrame:
-    """Cells (ordered within their interval) whose ranks include a wanted one, as ``__here``."""
-    before = Window.partitionBy(*by, "__below").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("__below") + F.coalesce(F.sum("__c").over(before), F.lit(0))
-    return (
-        cells.withColumn("__from", first)
-        .withColumn("__here", F.filter(_ranks(probs), lambda r: (r >= F.col("__from")) & (r < F.col("__from") + F.col("__c"))))
-        .where(F.size("__here") > 0)
-    )
+def _inside(x: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
+    """Rows that fall into one of their group's intervals (two per quantile at most, which do not overlap)."""
+    return attach(x, intervals, by, "inner", F.col("__v").between(F.col("__lo"), F.col("__hi")))
 
 
-def _narrow(x: DataFrame, state: DataFrame, by: list[str], probs, buckets: int) -> DataFrame:
-    lo, hi = F.col("__hit.lo"), F.col("__hit.hi")
-    place = F.floor(F.nanvl((F.col("__v") - lo) / (hi - lo) * buckets, F.lit(float(buckets))))
-    bucket = F.when(hi > lo, F.least(place, F.lit(buckets - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
-    cells = (
-        _inside(x, state, by)
-        .groupBy(*by, F.col("__hit.below").alias("__below"), bucket.alias("__b"))
-        .agg(F.count("*").alias("__c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.max("__n").alias("__n"))
-    )
-    # At most two cells per quantile remain of each group.
-    return (
-        _holding_ranks(cells, by, "__b", probs)
-        .groupBy(*by)
-        .agg(
-            F.max("__n").alias("__n"),
-            F.collect_list(F.struct("lo", "hi", F.col("__from").alias("below"))).alias("__in"),
-        )
-    )
+def _with_first_rank(cells: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Rank of a cell's first row: the rows below its interval and in the cells before it."""
+    before = Window.partitionBy(*by, "__below").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("__from", F.col("__below") + F.coalesce(F.sum("__c").over(before), F.lit(0)))
 
 
-def _values_at_ranks(x: DataFrame, state: DataFrame, by: list[str], probs) -> DataFrame:
+def _narrow(x: DataFrame, intervals: DataFrame, by: list[str], probs, buckets: int) -> DataFrame:
+    lo, hi, v = F.col("__lo"), F.col("__hi"), F.col("__v")
+    place = F.floor(F.nanvl((v - lo) / (hi - lo) * buckets, F.lit(float(buckets))))
+    bucket = F.when(hi > lo, F.least(place, F.lit(buckets - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
     cells = (
-        _inside(x, state, by)
-        .groupBy(*by, F.col("__hit.below").alias("__below"), "__v")
-        .agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
-    )
-    pairs = F.transform("__here", lambda r: F.struct(r.alias("key"), F.col("__v").alias("value")))
-    return (
-        _holding_ranks(cells, by, "__v", probs)
-        .select(*by, "__n", pairs.alias("__pairs"))
-        .groupBy(*by)
-        .agg(F.max("__n").alias("__n"), F.map_from_entries(F.flatten(F.collect_list("__pairs"))).alias("__at"))
+        _inside(x, intervals, by)
+        .groupBy(*by, "__below", bucket.alias("__b"))
+        .agg(F.count("*").alias("__c"), F.min(v).alias("__min"), F.max(v).alias("__max"), F.max("__n").alias("__n"))
     )
+    kept = _with_first_rank(cells, by, "__b").where(_holds_rank(probs))
+    return kept.select(*by, F.col("__min").alias("__lo"), F.col("__max").alias("__hi"), F.col("__from").alias("__below"), "__n")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,10 +107,10 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTE
     return F.broadcast(df) if fits else df
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys where null equals null; the keys are kept once."""
+def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", also: Column | None = None) -> DataFrame:
+    """Join on keys where null equals null (``also`` adds a condition); the keys are kept once."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = None
+    cond = also
     for k in keys:
         part = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         cond = part if cond is None else cond & part

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinpanel.operators.columns import CATEGORICAL, NUMERIC, TEMPORAL, column_kind, columns_of_kind, require
-from kinpanel.operators.quantiles import exact_quantiles
+from kinpanel.operators.quantiles import exact_quantiles, group_sizes
 from kinpanel.operators.scale import attach, small
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -25,18 +25,16 @@ def _long(df: DataFrame, columns: list[str], by: list[str], spark_type: str) ->
 
 
 def numeric_statistics(
-    df: DataFrame,
-    columns: list[str],
-    by: list[str] | None = None,
-    *,
-    quantiles: str = "exact",
-    few_groups: bool | None = None,
+    df: DataFrame, columns: list[str], by: list[str] | None = None, *, quantiles: str = "auto"
 ) -> DataFrame:
     """count, mean, std, min, q1, median, q3, max and missing per group and column.
 
-    ``quantiles``: ``exact`` (bounded memory for any group size), ``builtin``
-    (exact as well, for groups known to fit one task) or ``approx``.
+    ``quantiles``: ``auto`` measures the groups and then uses ``builtin`` (exact,
+    one task holds a group) or ``selection`` (exact, any group size); ``approx``
+    is the built-in sketch.
     """
+    if quantiles not in ("auto", "builtin", "selection", "approx"):
+        raise ValueError(f"unknown quantiles {quantiles!r}")
     by = by or []
     keys = [*by, "column"]
     long = _long(df, columns, by, "double")
@@ -50,16 +48,15 @@ def numeric_statistics(
         F.count_if(v.isNull()).alias("missing"),
     ]
     order = [*keys, "count", "mean", "std", "min", "q1", "median", "q3", "max", "missing"]
-    if quantiles in ("builtin", "approx"):
-        fn = F.percentile if quantiles == "builtin" else F.percentile_approx
-        measures += [fn(v, F.lit(p)).alias(name) for name, p in QUARTILES.items()]
-        return long.groupBy(*keys).agg(*measures).select(*order)
-    if quantiles != "exact":
-        raise ValueError(f"unknown quantiles {quantiles!r}")
-    few = few_groups if few_groups is not None else not by
-    base = long.groupBy(*keys).agg(*measures)
-    quarts = exact_quantiles(long, keys, "value", QUARTILES, few_groups=few)
-    return attach(base, quarts, keys).select(*order)
+    sizes = group_sizes(long, keys, "value") if quantiles in ("auto", "selection") else None
+    if quantiles == "auto":
+        quantiles = "builtin" if sizes.fit_a_task else "selection"
+    if quantiles == "selection":
+        quarts = exact_quantiles(long, keys, "value", QUARTILES, method="selection", sizes=sizes)
+        return attach(long.groupBy(*keys).agg(*measures), quarts, keys).select(*order)
+    fn = F.percentile if quantiles == "builtin" else F.percentile_approx
+    measures += [fn(v, F.lit(p)).alias(name) for name, p in QUARTILES.items()]
+    return long.groupBy(*keys).agg(*measures).select(*order)
 
 
 def value_counts(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -255,6 +252,6 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     numeric = columns_of_kind(df, NUMERIC)
     if not numeric:
         return base.select("*", *[F.lit(None).cast("double").alias(c) for c in ("min", "max", "mean", "median")])
-    stats = numeric_statistics(df, numeric, quantiles="approx" if approx else "exact")
+    stats = numeric_statistics(df, numeric, quantiles="approx" if approx else "auto")
     # One row per column on either side.
     return base.join(F.broadcast(stats.select("column", "min", "max", "mean", "median")), "column", "left")

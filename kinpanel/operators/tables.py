@@ -54,20 +54,21 @@ def _category_items(df: DataFrame) -> list[tuple[str, str, bool, str]]:
 
 
 def _cells(df: DataFrame, items: list[tuple[str, str, bool, Column]], years: list[int], stratum: Column) -> DataFrame:
-    """One row per panel row and item: section, variable, year (null for all years), stratum, value."""
-    cells = [
-        F.when(
-            F.col("year").isin(years) if yearly else F.lit(True),
-            F.struct(
-                F.lit(section).alias("category"),
-                F.lit(variable).alias("variable"),
-                (F.col("year").cast("int") if yearly else F.lit(None).cast("int")).alias("period"),
-                value.alias("value"),
-            ),
-        )
-        for section, variable, yearly, value in items
-    ]
-    return df.select(stratum.alias("stratum"), F.inline(F.array_compact(F.array(*cells))))
+    """One row per panel row and item: item (``v0``, ``v1``, ...), period (null for all years), stratum, value."""
+    names = [f"v{i}" for i in range(len(items))]
+    wide = df.select(F.col("year").cast("int").alias("year"), stratum.alias("stratum"), *[i[3].alias(n) for i, n in zip(items, names)])
+    long = wide.unpivot(["year", "stratum"], names, "item", "value")
+    yearly = F.col("item").isin([n for i, n in zip(items, names) if i[2]])
+    kept = long.where(~yearly | F.col("year").isin(years))
+    return kept.select("item", F.when(yearly, F.col("year")).alias("period"), "stratum", "value")
+
+
+def _named(items: list[tuple], position: int) -> Column:
+    """Text at ``position`` of the item a row belongs to."""
+    expr = F.lit(None).cast("string")
+    for i, item in enumerate(items):
+        expr = F.when(F.col("item") == f"v{i}", item[position]).otherwise(expr)
+    return expr
 
 
 def baseline_table(
@@ -105,11 +106,13 @@ def baseline_table(
         rows = df if stratify_by is None else df.where(F.col(stratify_by).isNotNull())
         stratum = F.lit(ALL) if stratify_by is None else F.col(stratify_by).cast("string")
         cells = _cells(rows, [i[:4] for i in numeric], years, stratum)
-        keys = ["category", "variable", "period", "stratum"]
-        stats = numeric_statistics(cells, ["value"], keys, few_groups=True if stratify_by is None else None)
+        stats = numeric_statistics(cells, ["value"], ["item", "period", "stratum"])
         parts.append(
             stats.select(
-                *keys,
+                _named(numeric, 0).alias("category"),
+                _named(numeric, 1).alias("variable"),
+                "period",
+                "stratum",
                 F.lit(None).cast("string").alias("value"),
                 F.col("count").alias("n"),
                 *doubles,
@@ -121,11 +124,12 @@ def baseline_table(
     categories = _category_items(df)
     if categories:
         items = [(s, v, y, F.col(c).cast("string")) for s, v, y, c in categories]
-        counts = _cells(df, items, years, F.lit(ALL)).groupBy("category", "variable", "period", "stratum", "value").agg(F.count("*").alias("n"))
+        counts = _cells(df, items, years, F.lit(ALL)).groupBy("item", "period", "stratum", "value").agg(F.count("*").alias("n"))
         missing = F.when(F.col("value").isNull(), F.col("n")).otherwise(F.lit(0).cast("bigint"))
         parts.append(
             counts.select(
-                "category", "variable", "period", "stratum", "value", "n", *[none[c] for c in doubles],
+                _named(items, 0).alias("category"), _named(items, 1).alias("variable"), "period", "stratum", "value", "n",
+                *[none[c] for c in doubles],
                 (F.col("n") / persons * 100).alias("percentage"),
                 missing.alias("missing"),
                 (missing / persons * 100).alias("missing_pct"),

@@ -1,0 +1 @@
+"""Panels kept up to date as register files arrive."""

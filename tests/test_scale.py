@@ -126,7 +126,7 @@ def test_quantiles_equal_numpy(spark, buckets, levels):
     }
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("empty", None)], "g string, v double").repartition(6)
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
-    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, buckets=buckets, levels=levels).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, method="selection", buckets=buckets, levels=levels).collect()}
     assert set(got) == set(data)
     for g, vs in data.items():
         values = [v for v in vs if v is not None]
@@ -134,15 +134,36 @@ def test_quantiles_equal_numpy(spark, buckets, levels):
             assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-12)
 
 
-def test_quantiles_without_groups(spark):
+def test_large_groups_are_selected(spark, monkeypatch):
+    from kinpanel.operators import quantiles as q
+
+    df = spark.range(1000).selectExpr("id % 2 as g", "cast(id as double) v")
+    sizes = q.group_sizes(df, ["g"], "v")
+    assert (sizes.groups, sizes.largest) == (2, 500) and sizes.fit_a_task and sizes.fit_a_broadcast
+    small_plan = exact_quantiles(df, ["g"], "v", {"m": 0.5})
+    monkeypatch.setattr(q, "GROUP_ROWS", 100)
+    large_plan = exact_quantiles(df, ["g"], "v", {"m": 0.5})
+    assert "percentile" in small_plan._jdf.queryExecution().toString()
+    assert "percentile" not in large_plan._jdf.queryExecution().toString()
+    assert sorted(map(tuple, small_plan.collect())) == sorted(map(tuple, large_plan.collect()))
+    monkeypatch.setattr(q, "SMALL_ROWS", 1)
+    unmarked = exact_quantiles(df, ["g"], "v", {"m": 0.5})
+    assert sorted(map(tuple, unmarked.collect())) == sorted(map(tuple, large_plan.collect()))
+    with pytest.raises(ValueError):
+        exact_quantiles(df, ["g"], "v", {"m": 0.5}, method="other")
+
+
+@pytest.mark.parametrize("method", ["auto", "builtin", "selection"])
+def test_quantiles_without_groups(spark, method):
     df = spark.createDataFrame([(float(i),) for i in range(11)], "v double")
-    assert exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.25}).collect() == [(5.0, 2.5)]
+    assert exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.25}, method=method).collect() == [(5.0, 2.5)]
 
 
-def test_quantiles_of_null_group_and_infinite_values(spark):
+@pytest.mark.parametrize("method", ["auto", "selection"])
+def test_quantiles_of_null_group_and_infinite_values(spark, method):
     rows = [(None, 1.0), (None, 3.0), ("a", float("inf")), ("a", 2.0), ("a", 1.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    got = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}, method=method).collect()}
     assert got == {None: 2.0, "a": 2.0}
 
 

@@ -22,7 +22,7 @@ def df(spark):
 
 
 def test_numeric(df):
-    for method in ("exact", "builtin"):
+    for method in ("auto", "selection", "builtin"):
         r = s.numeric_statistics(df, ["v"], quantiles=method).first()
         values = [1.0, 2.0, 10.0]
         assert (r["column"], r["count"], r["missing"], r["min"], r["max"]) == ("v", 3, 1, 1.0, 10.0)
