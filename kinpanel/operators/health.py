@@ -9,7 +9,7 @@ from kinpanel.fixed_values import DIAGNOSIS_GROUPS, HEALTH_NAMES, UNKNOWN_DEPART
 from kinpanel.functions.codes import any_scd, column_name, in_group, without_prefix
 from kinpanel.functions.dates import parse_date
 from kinpanel.operators.columns import rename_known, require
-from kinpanel.operators.scale import HOT_ROWS, left_join, small
+from kinpanel.operators.scale import HOT_ROWS, hot_keys, left_join, small
 
 DIAGNOSES = ["primary_diagnosis", "diagnosis", "secondary_diagnosis"]
 DATES = ["admission_date", "discharge_date", "outpatient_date"]
@@ -28,14 +28,21 @@ def _with_dates(df: DataFrame) -> DataFrame:
 
 def integrate_v2(contacts: DataFrame, diagnoses: DataFrame, visits: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Contacts with their diagnoses and outpatient visits; every combination is a row."""
-    joined = left_join(contacts, _only_new(diagnoses, contacts, "RECNUM"), "RECNUM", hot_rows=hot_rows)
-    joined = left_join(joined, _only_new(visits, joined, "RECNUM"), "RECNUM", hot_rows=hot_rows)
-    return joined.withColumn("department_code", _department(joined, "C_AFD"))
+    key = "RECNUM"
+    of_contacts = hot_keys(contacts, key, hot_rows, with_null=True)
+    of_diagnoses = hot_keys(diagnoses, key, hot_rows)
+    joined = left_join(
+        contacts, _only_new(diagnoses, contacts, key), key, hot_rows=hot_rows, left_hot=of_contacts, right_hot=of_diagnoses
+    )
+    # A contact with very many diagnoses is heavy on the left of the next join.
+    return left_join(
+        joined, _only_new(visits, joined, key), key, hot_rows=hot_rows, left_hot=of_contacts + of_diagnoses
+    ).withColumn("department_code", _department(contacts, "C_AFD"))
 
 
 def integrate_v3(contacts: DataFrame, diagnoses: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     joined = left_join(contacts, _only_new(diagnoses, contacts, "DW_EK_KONTAKT"), "DW_EK_KONTAKT", hot_rows=hot_rows)
-    return joined.withColumn("department_code", _department(joined, "SORENHED_ANS"))
+    return joined.withColumn("department_code", _department(contacts, "SORENHED_ANS"))
 
 
 def _department(df: DataFrame, name: str):
@@ -111,7 +118,7 @@ def flag_contacts(
     combinations of diagnoses and visits are never built.
     """
     per_contact = diagnoses.groupBy(key).agg(F.bool_or(any_scd(diagnosis_codes, mode)).alias("__flag"))
-    joined = left_join(contacts.select(patient, key, date, *contact_codes), per_contact, key, hot_side="left", hot_rows=hot_rows)
+    joined = left_join(contacts.select(patient, key, date, *contact_codes), per_contact, key, hot_rows=hot_rows, right_hot=[])
     flag = F.coalesce("__flag", F.lit(False))
     if contact_codes:
         flag = flag | any_scd(contact_codes, mode)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinpanel.fixed_values import LABELLED_COLUMNS, LABELS
 from kinpanel.functions.labels import label
 from kinpanel.operators.columns import prefixed, unique_names
-from kinpanel.operators.scale import HOT_ROWS, left_join, small
+from kinpanel.operators.scale import HOT_ROWS, MAX_HOT, hot_keys, left_join, one_key, small
 
 FATHER, MOTHER = "FAR_", "MOR_"
 PERSON = {"child": ("year", "PNR"), "father": ("FAR_year", "FATHER_PNR"), "mother": ("MOR_year", "MOTHER_PNR")}
@@ -18,10 +18,7 @@ PERSON = {"child": ("year", "PNR"), "father": ("FAR_year", "FATHER_PNR"), "mothe
 
 def join_register(population: DataFrame, register: DataFrame, on: str | list[str] = "PNR", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Every person of the population with the person's register rows."""
-    keys = [on] if isinstance(on, str) else list(on)
-    if len(keys) > 1:
-        return population.join(register, keys, "left")
-    return left_join(population, register, keys[0], hot_rows=hot_rows)
+    return left_join(population, register, on, hot_rows=hot_rows)
 
 
 def join_parents(
@@ -30,21 +27,47 @@ def join_parents(
     """Register rows of father and mother beside each child, prefixed ``FAR_`` and ``MOR_``.
 
     As the parents are joined by id alone, a child gets every combination of
-    its parents' rows.  ``same_period`` keeps to combinations of one year: the
-    rows of both parents are joined as one table by child and year.
+    its parents' rows.  ``same_period`` keeps to combinations of one year.
     """
     father, mother = (
         prefixed(register, prefix, key).withColumnRenamed(key, f"__{prefix}key") for prefix in (FATHER, MOTHER)
     )
+    of_parent = {p: hot_keys(population, p, hot_rows, with_null=True) for p in ("FAR_ID", "MOR_ID")}
     if not same_period:
-        out = left_join(population, father, "FAR_ID", f"__{FATHER}key", hot_rows=hot_rows)
-        return left_join(out, mother, "MOR_ID", f"__{MOTHER}key", hot_rows=hot_rows)
-    sides = {}
+        of_register = hot_keys(register, key, hot_rows)
+        out = left_join(
+            population, father, "FAR_ID", f"__{FATHER}key", hot_rows=hot_rows, left_hot=of_parent["FAR_ID"], right_hot=of_register
+        )
+        return left_join(
+            out, mother, "MOR_ID", f"__{MOTHER}key", hot_rows=hot_rows, left_hot=of_parent["MOR_ID"], right_hot=of_register
+        )
+    # Years in which either parent has rows: at most one row per child and year,
+    # so the heavy keys left are those of the register, by person and year.
+    years = register.where(F.col("year").isNotNull()).select(F.col(key).alias("__person"), "year").distinct()
+    pairs = population.select(key, "FAR_ID", "MOR_ID")
+    seen = [
+        left_join(pairs, years, p, "__person", hot_rows=hot_rows, left_hot=hot, right_hot=[]) for p, hot in of_parent.items()
+    ]
+    child_years = seen[0].unionByName(seen[1]).where(F.col("year").isNotNull()).select(F.col(key).alias("__child"), "year").distinct()
+    out = left_join(population, child_years, key, "__child", hot_rows=None)
+    of_register = hot_keys(register.select(one_key([key, "year"]).alias("k")), "k", hot_rows)
     for prefix, parent, side in ((FATHER, "FAR_ID", father), (MOTHER, "MOR_ID", mother)):
-        rows = left_join(population.select(key, parent), side, parent, f"__{prefix}key", hot_rows=hot_rows)
-        sides[prefix] = rows.where(F.col(f"{prefix}year").isNotNull()).drop(parent).withColumn("year", F.col(f"{prefix}year"))
-    both = sides[FATHER].join(sides[MOTHER], [key, "year"], "full")
-    return population.join(both, key, "left")
+        side = side.withColumn("__year", F.col(f"{prefix}year"))
+        out = left_join(
+            out, side, [parent, "year"], [f"__{prefix}key", "__year"], hot_rows=hot_rows,
+            left_hot=_by_year(of_parent[parent], years), right_hot=of_register,
+        )
+    return out
+
+
+def _by_year(heavy: list[tuple[object, int]], years: DataFrame) -> list[tuple[object, int]]:
+    """Heavy parents by parent and year; a parent has a row per child and year at most."""
+    count = {k: n for k, n in heavy if k is not None}
+    found = [(None, n) for k, n in heavy if k is None]
+    if count:
+        rows = years.where(F.col("__person").isin(list(count))).select("__person", one_key(["__person", "year"]).alias("k")).limit(MAX_HOT)
+        found += [(r["k"], count[r["__person"]]) for r in rows.collect()]
+    return found
 
 
 def label_codes(df: DataFrame, register: str, dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:

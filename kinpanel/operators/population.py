@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinpanel.fixed_values import FIRST_BIRTH_YEAR, LAST_BIRTH_YEAR
 from kinpanel.functions.dates import years_between
 from kinpanel.operators.columns import require
-from kinpanel.operators.scale import HOT_ROWS, left_join
+from kinpanel.operators.scale import HOT_ROWS, hot_keys, left_join
 
 CHILD = ["PNR", "FOED_DAG", "FAR_ID", "MOR_ID", "FAMILIE_ID"]
 FAMILY = ["PNR", "FOED_DAG", "FAR_ID", "FAR_FDAG", "MOR_ID", "MOR_FDAG", "FAMILIE_ID"]
@@ -73,8 +73,10 @@ def add_parent_births(children: DataFrame, parents: DataFrame, hot_rows: int | N
     """Birth dates of father and mother looked up by id; a parent of very many children is spread."""
     fathers = parents.select(F.col("PNR").alias("__father"), F.col("FOED_DAG").alias("FAR_FDAG"))
     mothers = parents.select(F.col("PNR").alias("__mother"), F.col("FOED_DAG").alias("MOR_FDAG"))
-    family = left_join(children, fathers, "FAR_ID", "__father", hot_side="left", hot_rows=hot_rows)
-    family = left_join(family, mothers, "MOR_ID", "__mother", hot_side="left", hot_rows=hot_rows)
+    # Parents are unique; a child's row stays one row, so heavy ids are looked for in the children.
+    of_mothers = hot_keys(children, "MOR_ID", hot_rows, with_null=True)
+    family = left_join(children, fathers, "FAR_ID", "__father", hot_rows=hot_rows, right_hot=[])
+    family = left_join(family, mothers, "MOR_ID", "__mother", hot_rows=hot_rows, left_hot=of_mothers, right_hot=[])
     return family.select(*FAMILY)
 
 

@@ -45,54 +45,88 @@ def hot_keys(
 def left_join(
     left: DataFrame,
     right: DataFrame,
-    left_on: str,
-    right_on: str | None = None,
+    left_on: str | list[str],
+    right_on: str | list[str] | None = None,
     *,
-    hot_side: str = "right",
     hot_rows: int | None = HOT_ROWS,
+    left_hot: list[tuple[object, int]] | None = None,
+    right_hot: list[tuple[object, int]] | None = None,
 ) -> DataFrame:
-    """Left join on one key that survives heavy keys on the side named.
-
-    The rows of a heavy key get a slot number from the input split they come
-    from (stable when a task is run again, and different for equal rows of
-    different splits); the other side is repeated once per slot for those keys
-    only.  A heavy key of the right side has matches by definition, so a
-    repeated left row that meets an empty slot is dropped and nothing is lost.
-    The right key is not kept.
+    """Left join that survives heavy keys on either side; the right keys are not kept.
+
+    A row of a heavy key gets a slot number from the input split it comes from
+    (stable when a task is run again, and different for equal rows of different
+    splits); the other side is repeated once per slot, for those keys only.
+    Rows without a key match nothing and are spread over tasks.  A heavy key of
+    the right side has matches by definition, so a repeated left row that meets
+    an empty slot is dropped and nothing is lost.
+
+    Heavy keys are looked for in both tables unless they are given; a caller
+    that knows a side to be unique, or derived, gives the list (or ``[]``).
     """
-    if hot_side not in ("left", "right"):
-        raise ValueError("hot_side must be 'left' or 'right'")
-    right_key = right_on or left_on
-    r = right.withColumnRenamed(right_key, "__key")
-    heavy_side, heavy_key = (left, left_on) if hot_side == "left" else (r, "__key")
-    hot = hot_keys(heavy_side, heavy_key, hot_rows)
-    if not hot:
-        return left.join(r, F.col(left_on) == F.col("__key"), "left").drop("__key")
-
-    ways = _ways(left.sparkSession, heavy_side.schema[heavy_key].dataType, hot, hot_rows)
-    l = left.join(F.broadcast(ways), F.col(left_on) == F.col("__hot"), "left").drop("__hot")
-    spread = F.when(F.col(left_on).isNull(), F.pmod(F.spark_partition_id(), F.lit(NULL_WAYS)))
-    n = F.coalesce(F.col("__ways"), F.lit(1))
-    split = F.pmod(F.spark_partition_id(), n)
-    copies = F.explode(F.sequence(F.lit(0), n - 1))
-    rr = r.join(F.broadcast(ways), F.col("__key") == F.col("__hot"), "left").drop("__hot")
-    if hot_side == "left":
-        l = l.withColumn("__slot", F.coalesce(spread, split)).drop("__ways")
-        rr = rr.withColumn("__rslot", copies).drop("__ways")
-        joined = l.join(rr, (F.col(left_on) == F.col("__key")) & (F.col("__slot") == F.col("__rslot")), "left")
-        return joined.drop("__slot", "__rslot", "__key")
-    l = l.withColumn("__copy", copies).withColumn("__slot", F.coalesce(spread, F.col("__copy")))
-    l = l.withColumn("__is_hot", F.col("__ways").isNotNull()).drop("__ways", "__copy")
-    rr = rr.withColumn("__rslot", split).drop("__ways")
-    joined = l.join(rr, (F.col(left_on) == F.col("__key")) & (F.col("__slot") == F.col("__rslot")), "left")
-    joined = joined.where(~F.col("__is_hot") | F.col("__key").isNotNull())
-    return joined.drop("__slot", "__rslot", "__key", "__is_hot")
-
-
-def _ways(spark, key_type: T.DataType, hot: list[tuple[object, int]], hot_rows: int) -> DataFrame:
-    """One row per heavy key (at most ``MAX_HOT``) with the number of slots."""
-    schema = T.StructType([T.StructField("__hot", key_type), T.StructField("__ways", T.IntegerType())])
-    return spark.createDataFrame([(k, min(MAX_WAYS, 2 * -(-n // hot_rows))) for k, n in hot], schema)
+    left_keys = [left_on] if isinstance(left_on, str) else list(left_on)
+    right_keys = left_keys if right_on is None else [right_on] if isinstance(right_on, str) else list(right_on)
+    l = left.withColumn("__lkey", one_key(left_keys))
+    r = right.withColumn("__rkey", one_key(right_keys)).drop(*right_keys)
+    same_key = F.col("__lkey") == F.col("__rkey")
+    if left_hot is None:
+        left_hot = hot_keys(l, "__lkey", hot_rows, with_null=True)
+    if right_hot is None:
+        right_hot = hot_keys(r, "__rkey", hot_rows)
+    if hot_rows is None or not (left_hot or right_hot):
+        return l.join(r, same_key, "left").drop("__lkey", "__rkey")
+
+    ways = F.broadcast(_ways(l, left_hot, right_hot, hot_rows))
+    split = F.spark_partition_id()
+
+    def with_ways(df: DataFrame, key: str) -> DataFrame:
+        found = df.join(ways, F.col(key) == F.col("__hot"), "left").drop("__hot")
+        return found.withColumns({w: F.coalesce(w, F.lit(1)) for w in ("__lways", "__rways")})
+
+    def copies(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    no_key = F.col("__lkey").isNull()
+    l = (
+        with_ways(l, "__lkey")
+        .withColumn("__ls", F.when(no_key, F.pmod(split, F.lit(NULL_WAYS))).otherwise(F.pmod(split, F.col("__lways"))))
+        .withColumn("__rs", copies("__rways"))
+        .withColumn("__many", F.col("__rways") > 1)
+        .drop("__lways", "__rways")
+    )
+    r = (
+        with_ways(r, "__rkey")
+        .withColumn("__rs2", F.pmod(split, F.col("__rways")))
+        .withColumn("__ls2", copies("__lways"))
+        .drop("__lways", "__rways")
+    )
+    joined = l.join(r, same_key & (F.col("__ls") == F.col("__ls2")) & (F.col("__rs") == F.col("__rs2")), "left")
+    kept = joined.where(~F.col("__many") | F.col("__rkey").isNotNull())
+    return kept.drop("__lkey", "__rkey", "__ls", "__rs", "__ls2", "__rs2", "__many")
+
+
+def one_key(keys: list[str]) -> Column:
+    """The key itself, or several keys as one text that is null when any of them is."""
+    if len(keys) == 1:
+        return F.col(keys[0])
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return F.when(known, F.to_json(F.array(*[F.col(k).cast("string") for k in keys])))
+
+
+def _ways(l: DataFrame, left_hot: list, right_hot: list, hot_rows: int) -> DataFrame:
+    """One row per heavy key (``MAX_HOT`` per side at most) with its slots in either table."""
+    def slots(n: int) -> int:
+        return min(MAX_WAYS, 2 * -(-n // hot_rows))
+
+    ways: dict[object, list[int]] = {}
+    for side, found in enumerate((left_hot, right_hot)):
+        for key, n in found:
+            if key is not None:
+                ways.setdefault(key, [1, 1])[side] = slots(n)
+    schema = T.StructType([T.StructField("__hot", l.schema["__lkey"].dataType), T.StructField("__lways", T.IntegerType()), T.StructField("__rways", T.IntegerType())])
+    return l.sparkSession.createDataFrame([(k, *w) for k, w in ways.items()], schema)
 
 
 def small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:

@@ -144,7 +144,7 @@ def write_event_figures(events: DataFrame, path: str, categories: list[str] | No
     for c in categories or []:
         write_report(er.count_matrix(events, "year", c), f"{path}/{c}_distribution")
         write_report(er.event_share(events, "year", c), f"{path}/{c}_distribution_year")
-    write_report(er.event_flows(events, top_n, min_count, aggregate=False), f"{path}/flows")
+    write_listing(er.event_flows(events, top_n, min_count, aggregate=False), f"{path}/flows")
     er.time_to_event(events).write.mode("overwrite").option("header", True).partitionBy("event_type").csv(f"{path}/survival_data")
 
 

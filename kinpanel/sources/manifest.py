@@ -80,4 +80,4 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def write_catalogue(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.repartition(1).write.mode("overwrite").json(path)

@@ -72,7 +72,8 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     Reports are aggregates of few rows and go to one file; row-level listings
     should be written by ``write_listing``.
     """
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    # A shuffle to one task keeps the work before it parallel.
+    df.repartition(1).write.mode(mode).option("header", True).csv(path)
 
 
 def write_listing(df: DataFrame, path: str, mode: str = "overwrite") -> None:

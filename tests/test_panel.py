@@ -73,8 +73,9 @@ def test_parents_join(spark, hot_rows):
     )
 
 
-def test_parents_join_same_year(spark):
-    got = pn.join_parents(_people(spark), _income(spark), same_period=True)
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_parents_join_same_year(spark, hot_rows):
+    got = pn.join_parents(_people(spark), _income(spark), same_period=True, hot_rows=hot_rows)
     assert sorted(((r["PNR"], r["year"], r["FAR_income"], r["MOR_income"]) for r in got.collect()), key=str) == sorted(
         [("1", 2000, 10.0, None), ("1", 2001, 11.0, 20.0), ("1", 2002, None, 21.0), ("2", 2001, None, 20.0), ("2", 2002, None, 21.0), ("3", None, None, None)],
         key=str,

@@ -36,16 +36,40 @@ def _brute(left, right):
     return out
 
 
-@pytest.mark.parametrize("side", ["left", "right"])
+@pytest.mark.parametrize("given", [{}, {"left_hot": []}, {"right_hot": []}, {"left_hot": [("7", 61), (None, 30)], "right_hot": [("9", 50)]}])
 @pytest.mark.parametrize("hot_rows", [None, 10, 25, 10_000])
-def test_left_join_equals_brute_force(spark, side, hot_rows):
+def test_left_join_equals_brute_force(spark, given, hot_rows):
     left, right = _left(spark), _right(spark)
-    got = left_join(left, right, "k", "rk", hot_side=side, hot_rows=hot_rows)
+    got = left_join(left, right, "k", "rk", hot_rows=hot_rows, **given)
     assert got.columns == ["k", "a", "b"]
     key = lambda t: tuple(str(x) for x in t)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(_brute(left, right), key=key)
 
 
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_left_join_on_several_keys(spark, hot_rows):
+    left = spark.createDataFrame([("a", 1, "l1"), ("a", 2, "l2"), (None, 1, "l3"), ("b", 1, "l4")], "k string, y int, l string")
+    right = spark.createDataFrame([("a", 1, i) for i in range(50)] + [("b", 2, 0), (None, 1, 7), ("a", None, 8)], "k string, y int, r int").repartition(4)
+    got = left_join(left, right, ["k", "y"], hot_rows=hot_rows)
+    assert got.columns == ["k", "y", "l", "r"]
+    counts = {r["l"]: (r["n"], r["m"]) for r in got.groupBy("l").agg(F.count("*").alias("n"), F.count("r").alias("m")).collect()}
+    assert counts == {"l1": (50, 50), "l2": (1, 0), "l3": (1, 0), "l4": (1, 0)}
+
+
+def test_rows_without_a_key_are_spread(spark):
+    left = spark.range(0, 20_000, 1, 16).select(F.lit(None).cast("int").alias("k"), "id")
+    right = spark.createDataFrame([(1, "x")], "rk int, v string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        joined = left_join(left, right, "k", "rk", hot_rows=1_000)
+        per_task = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10 * 1024 * 1024)
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert sum(per_task) == 20_000 and max(per_task) < 15_000
+
+
 def test_left_join_spreads_a_heavy_key(spark):
     right = spark.range(0, 20_000, 1, 16).select(F.lit(1).alias("rk"), "id")
     left = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
