@@ -52,15 +52,19 @@ def without_prefix(col: Column | str) -> Column:
     return F.substring(c, 2, 100)
 
 
-def is_scd_code(col: Column | str, mode: str = "category") -> Column:
-    """Severe chronic disease predicate for one code column; never null.
+def code_head(col: Column | str) -> Column:
+    """The five characters after the leading letter, in upper case; empty for null."""
+    return F.substring(normal_code(col), 2, 5)
+
+
+def is_scd_head(head: Column | str, mode: str = "category") -> Column:
+    """Severe chronic disease predicate on the head of a code; never null.
 
     ``category`` compares the three-character category (and the P941-P949
     subcategories).  ``literal`` compares the four and five characters after
     the leading letter with the same lists, so only short codes match.
     """
-    code = normal_code(col)
-    three, four, five = (F.substring(code, 2, n) for n in (3, 4, 5))
+    three, four, five = (F.substring(head, 1, n) for n in (3, 4, 5))
     if mode == "category":
         return (
             three.isin(scd_categories())
@@ -77,8 +81,12 @@ def is_scd_code(col: Column | str, mode: str = "category") -> Column:
     raise ValueError(f"unknown mode {mode!r}; use 'category' or 'literal'")
 
 
-def any_scd(columns: list[str], mode: str = "category") -> Column:
-    return reduce(or_, [is_scd_code(c, mode) for c in columns])
+def is_scd_code(col: Column | str, mode: str = "category") -> Column:
+    return is_scd_head(code_head(col), mode)
+
+
+def any_of(tests: list[Column]) -> Column:
+    return reduce(or_, tests)
 
 
 def in_group(columns: list[str], group: str, mode: str = "category") -> Column:
@@ -88,9 +96,13 @@ def in_group(columns: list[str], group: str, mode: str = "category") -> Column:
     (``"D55-D61|D64-D73|D76"``) as a pattern anywhere in the code.
     """
     if mode == "category":
-        members = group_categories()[group]
-        return reduce(or_, [F.substring(normal_code(c), 2, 3).isin(members) for c in columns])
+        return heads_in_group([code_head(c) for c in columns], group)
     if mode == "literal":
         pattern = "|".join(DIAGNOSIS_GROUPS[group].split())
-        return reduce(or_, [F.coalesce(F.col(c).rlike(pattern), F.lit(False)) for c in columns])
+        return any_of([F.coalesce(F.col(c).rlike(pattern), F.lit(False)) for c in columns])
     raise ValueError(f"unknown mode {mode!r}; use 'category' or 'literal'")
+
+
+def heads_in_group(heads: list[Column], group: str) -> Column:
+    members = group_categories()[group]
+    return any_of([F.substring(h, 1, 3).isin(members) for h in heads])

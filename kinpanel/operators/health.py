@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinpanel.fixed_values import DIAGNOSIS_GROUPS, HEALTH_NAMES, UNKNOWN_DEPARTMENT
-from kinpanel.functions.codes import any_scd, column_name, in_group, without_prefix
+from kinpanel.functions.codes import any_of, code_head, column_name, heads_in_group, in_group, is_scd_code, is_scd_head, without_prefix
 from kinpanel.functions.dates import parse_date
 from kinpanel.operators.columns import rename_known, require
 from kinpanel.operators.scale import HOT_ROWS, hot_keys, left_join, small
@@ -85,10 +85,18 @@ def health_data(
     return combine_sources(v2, v3)
 
 
+def _with_heads(df: DataFrame, codes: list[str]) -> tuple[DataFrame, list[str]]:
+    """Heads of code columns in columns of their own, so that they are cut once per row."""
+    heads = {f"__head{i}": code_head(c) for i, c in enumerate(codes)}
+    return df.withColumns(heads), list(heads)
+
+
 def flag_records(df: DataFrame, diagnosis_columns: list[str], date: str, mode: str = "category") -> DataFrame:
     """``is_scd`` per record and the date where it is true."""
-    flag = any_scd(diagnosis_columns, mode)
-    return df.withColumn("is_scd", flag).withColumn("first_scd_date", F.when(F.col("is_scd"), F.col(date)))
+    rows, heads = _with_heads(df, diagnosis_columns)
+    flag = any_of([is_scd_head(h, mode) for h in heads])
+    flagged = rows.withColumn("is_scd", flag).drop(*heads)
+    return flagged.withColumn("first_scd_date", F.when(F.col("is_scd"), F.col(date)))
 
 
 def flag_patients(
@@ -117,11 +125,12 @@ def flag_contacts(
     Diagnoses are reduced to one flag per contact before they are joined, so the
     combinations of diagnoses and visits are never built.
     """
-    per_contact = diagnoses.groupBy(key).agg(F.bool_or(any_scd(diagnosis_codes, mode)).alias("__flag"))
+    rows, heads = _with_heads(diagnoses.select(key, *diagnosis_codes), diagnosis_codes)
+    per_contact = rows.groupBy(key).agg(F.bool_or(any_of([is_scd_head(h, mode) for h in heads])).alias("__flag"))
     joined = left_join(contacts.select(patient, key, date, *contact_codes), per_contact, key, hot_rows=hot_rows, right_hot=[])
     flag = F.coalesce("__flag", F.lit(False))
     if contact_codes:
-        flag = flag | any_scd(contact_codes, mode)
+        flag = flag | any_of([is_scd_code(c, mode) for c in contact_codes])
     return (
         joined.select(F.col(patient).alias("PNR"), flag.alias("is_scd"), F.col(date).alias("__date"))
         .groupBy("PNR")
@@ -218,11 +227,15 @@ def person_year_health(health: DataFrame, dedupe: bool = False) -> DataFrame:
 def diagnosis_groups(health: DataFrame, mode: str = "category") -> DataFrame:
     """Records and dated records per diagnosis group, person and year; zero where there are none."""
     names = {g: column_name(g) for g in DIAGNOSIS_GROUPS}
-    flags = health.select(
+    rows, heads = _with_heads(health, DIAGNOSES) if mode == "category" else (health, [])
+    members = {
+        n: heads_in_group([F.col(h) for h in heads], g) if heads else in_group(DIAGNOSES, g, mode) for g, n in names.items()
+    }
+    flags = rows.select(
         F.col("patient_id").alias("PNR"),
         F.year("admission_date").alias("year"),
         F.col("admission_date").isNotNull().alias("__dated"),
-        *[in_group(DIAGNOSES, g, mode).alias(n) for g, n in names.items()],
+        *[hit.alias(n) for n, hit in members.items()],
     )
     measures = []
     for n in names.values():
