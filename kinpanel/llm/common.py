@@ -68,3 +68,17 @@ def word_hashes(words: list[bytes], known: dict[bytes, int], most: int = 2_000_0
             h = known[w] = of(w)
         out.append(h)
     return out
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join with ``table`` (one row per ``key``; ``count`` rows of ``rows`` have it) whose rows may be large.
+
+    Nothing large is broadcast: a hot key's table row is repeated, and its rows are dealt over the repetitions by their own
+    values. Only the hot keys with their number of repetitions are broadcast; there are fewer than ``HOT_KEYS``.
+    """
+    limit = max(total // HOT_KEYS, 1)
+    ways = F.ceil(F.col(count) / F.lit(limit)).cast("int")
+    hot = table.filter(F.col(count) > limit).select(key, ways.alias("__ways"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__slot", F.pmod(F.xxhash64(*rows.columns), F.coalesce("__ways", F.lit(1))).cast("int"))
+    copies = table.withColumn("__slot", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return dealt.drop("__ways").join(copies.drop(count), [key, "__slot"]).drop("__slot")

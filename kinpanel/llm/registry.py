@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kinpanel.llm import exact, language, licenses, lines, mixing, pieces
+from kinpanel.llm import exact, jaccard, language, licenses, lines, mixing, pieces
 
 QUERIES = {
     "op1_source_mix": (mixing.op1_source_mix, None),
     "op2_sentencepiece": (pieces.op2_sentencepiece, None),
     "op3_exact_dedup": (exact.op3_exact_dedup, exact.EXACT_SQL),
+    "op5_ngram_jaccard": (jaccard.op5_ngram_jaccard, None),
     "op6_line_dedup": (lines.op6_line_dedup, lines.LINE_SQL),
     "op7_language_id": (language.op7_language_id, None),
     "op9_license_scans": (licenses.op9_license_scans, None),
