@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinpanel.llm import exact, jaccard, language, licenses, lines, mixing, pieces
+from kinpanel.llm import exact, jaccard, language, licenses, lines, mixing, pieces, substrings
 
 QUERIES = {
+    "op10_suffix_dedup": (substrings.op10_suffix_dedup, None),
     "op1_source_mix": (mixing.op1_source_mix, None),
     "op2_sentencepiece": (pieces.op2_sentencepiece, None),
     "op3_exact_dedup": (exact.op3_exact_dedup, exact.EXACT_SQL),
