@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinpanel.llm import exact, jaccard, language, licenses, lines, mixing, pieces, substrings
+from kinpanel.llm import exact, jaccard, language, licenses, lines, mixing, pieces, substrings, vectors
 
 QUERIES = {
     "op10_suffix_dedup": (substrings.op10_suffix_dedup, None),
@@ -12,5 +12,6 @@ QUERIES = {
     "op5_ngram_jaccard": (jaccard.op5_ngram_jaccard, None),
     "op6_line_dedup": (lines.op6_line_dedup, lines.LINE_SQL),
     "op7_language_id": (language.op7_language_id, None),
+    "op8_embedding_near_dedup": (vectors.op8_embedding_near_dedup, None),
     "op9_license_scans": (licenses.op9_license_scans, None),
 }
