@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kinpanel.llm import exact, jaccard, language, licenses, lines, mixing, pieces, substrings, vectors
+from kinpanel.llm import exact, jaccard, katz, language, licenses, lines, mixing, pieces, substrings, vectors
 
 QUERIES = {
     "op10_suffix_dedup": (substrings.op10_suffix_dedup, None),
     "op1_source_mix": (mixing.op1_source_mix, None),
     "op2_sentencepiece": (pieces.op2_sentencepiece, None),
     "op3_exact_dedup": (exact.op3_exact_dedup, exact.EXACT_SQL),
+    "op4_lm_scoring": (katz.op4_lm_scoring, None),
     "op5_ngram_jaccard": (jaccard.op5_ngram_jaccard, None),
     "op6_line_dedup": (lines.op6_line_dedup, lines.LINE_SQL),
     "op7_language_id": (language.op7_language_id, None),
