@@ -19,10 +19,10 @@ from kinpanel.fixed_values import (
 )
 
 
-def expand_ranges(text: str) -> list[str]:
-    """``"D55-D58 D64"`` -> ``["D55", "D56", "D57", "D58", "D64"]``."""
+def expand_ranges(ranges: list[str]) -> list[str]:
+    """``["D55-D58", "D64"]`` -> ``["D55", "D56", "D57", "D58", "D64"]``."""
     codes = []
-    for item in text.split():
+    for item in ranges:
         first, _, last = item.partition("-")
         last = last or first
         codes += [f"{first[0]}{n:02d}" for n in range(int(first[1:]), int(last[1:]) + 1)]
@@ -30,13 +30,22 @@ def expand_ranges(text: str) -> list[str]:
 
 
 def scd_categories() -> list[str]:
-    return expand_ranges(SCD_CATEGORIES)
+    return list(SCD_CATEGORIES)
 
 
 def group_categories() -> dict[str, list[str]]:
     return {name: expand_ranges(ranges) for name, ranges in DIAGNOSIS_GROUPS.items()}
 
 
+def group_masks() -> list[tuple[str, int]]:
+    """(category, bits of the groups it belongs to), bit i for the i-th group."""
+    masks: dict[str, int] = {}
+    for i, categories in enumerate(group_categories().values()):
+        for c in categories:
+            masks[c] = masks.get(c, 0) | 1 << i
+    return sorted(masks.items())
+
+
 def column_name(group: str) -> str:
     return group.lower().replace(" ", "_")
 
@@ -49,7 +58,7 @@ def normal_code(col: Column | str) -> Column:
 def without_prefix(col: Column | str) -> Column:
     """Code without its leading letter."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.substring(c, 2, 100)
+    return F.substr(c, F.lit(2))
 
 
 def is_scd_code(col: Column | str, mode: str = "category") -> Column:
@@ -91,6 +100,6 @@ def in_group(columns: list[str], group: str, mode: str = "category") -> Column:
         members = group_categories()[group]
         return reduce(or_, [F.substring(normal_code(c), 2, 3).isin(members) for c in columns])
     if mode == "literal":
-        pattern = "|".join(DIAGNOSIS_GROUPS[group].split())
+        pattern = "|".join(DIAGNOSIS_GROUPS[group])
         return reduce(or_, [F.coalesce(F.col(c).rlike(pattern), F.lit(False)) for c in columns])
     raise ValueError(f"unknown mode {mode!r}; use 'category' or 'literal'")

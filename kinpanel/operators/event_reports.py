@@ -54,7 +54,7 @@ def event_summary(events: DataFrame, categories: list[str] | None = None) -> Dat
     )
     n = F.col("count")
     return (
-        long.groupBy(F.substring("category", 3, 1000).alias("category"), "value")
+        long.groupBy(F.substr("category", F.lit(3)).alias("category"), "value")
         .agg(F.count("PNR").alias("count"))
         .select("category", "value", "count", (n / persons * 100).alias("pct_cohort"), (n / counted * 100).alias("pct_total"))
         .orderBy("category", F.desc("count"), "value")

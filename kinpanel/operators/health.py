@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinpanel.fixed_values import DIAGNOSIS_GROUPS, HEALTH_NAMES, UNKNOWN_DEPARTMENT
-from kinpanel.functions.codes import any_scd, column_name, in_group, without_prefix
+from kinpanel.functions.codes import any_scd, column_name, group_masks, in_group, normal_code, without_prefix
 from kinpanel.functions.dates import parse_date
 from kinpanel.operators.columns import rename_known, require
 from kinpanel.operators.scale import HOT_ROWS, hot_keys, left_join, small
@@ -168,12 +168,11 @@ def _one_row_per_record(health: DataFrame) -> DataFrame:
 
 
 def person_year_health(health: DataFrame, dedupe: bool = False) -> DataFrame:
-    """Use of hospital care per person and year.
+    """Use of hospital care per person and year, from records.
 
-    Each row is counted once for its admission type and once for its department
-    (combined map-side), then the two sets of counts are folded per person and
-    year: no window, and a person with very many records is spread by value.
+    Each row is counted once for its admission type and once for its department.
     ``dedupe`` counts a contact once however many diagnoses and visits it has.
+    From registers, ``person_year_care`` gives the same without building records.
     """
     rows = _one_row_per_record(health) if dedupe else health
     counts = {
@@ -182,6 +181,125 @@ def person_year_health(health: DataFrame, dedupe: bool = False) -> DataFrame:
         "num_secondary_diagnoses": "secondary_diagnosis",
         "num_admissions": "admission_date",
     }
+    one = F.lit(1).cast("long")
+    weighted = rows.select(
+        F.col("patient_id").alias("PNR"), F.year("admission_date").alias("year"), "admission_type", "department", "discharge_date", one.alias("rows"),
+        *[F.when(F.col(c).isNotNull(), one).otherwise(0).alias(name) for name, c in counts.items()],
+    )
+    return _person_years(weighted, list(counts))
+
+
+def care_summary(
+    contacts: DataFrame, diagnoses: DataFrame, visits: DataFrame | None, source: str, mode: str = "category", hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
+    """One row per contact that stands for all its combinations of diagnoses and visits.
+
+    Diagnoses and visits are counted per contact before they are joined, so their product is never built: ``rows`` is the number
+    of combinations, ``count_*`` and ``max_*`` describe each code column over them, ``groups`` holds the combinations in each
+    diagnosis group, ``is_scd`` whether any code is a severe chronic disease.
+    """
+    contacts = _renamed(_with_dates(contacts))
+    diagnoses = _renamed(diagnoses)
+    key = "record_id"
+    own = [c for c in DIAGNOSES if c in contacts.columns]
+    told = [c for c in DIAGNOSES if c in diagnoses.columns and c not in own]
+    of_contact = _with_groups(contacts, own, mode)
+    groups = range(len(DIAGNOSIS_GROUPS))
+    per_contact = _with_groups(diagnoses.select(key, *told), told, mode).groupBy(key).agg(
+        F.count("*").alias("__n"),
+        *[F.count(c).alias(f"__n_{c}") for c in told],
+        *[F.max(c).alias(f"__m_{c}") for c in told],
+        F.coalesce(F.bool_or(any_scd(told, mode)), F.lit(False)).alias("__scd") if told else F.lit(False).alias("__scd"),
+        F.array(*[F.count_if(F.col("__mask").bitwiseAND(1 << i) != 0) for i in groups]).alias("__hits"),
+    )
+    of_contacts = hot_keys(contacts, key, hot_rows, with_null=True)
+    joined = left_join(of_contact, per_contact, key, hot_rows=hot_rows, left_hot=of_contacts, right_hot=[])
+    if visits is not None:
+        seen = _renamed(visits).groupBy(key).agg(F.count("*").alias("__m"))
+        joined = left_join(joined, seen, key, hot_rows=hot_rows, left_hot=of_contacts, right_hot=[])
+    n = F.greatest(F.coalesce("__n", F.lit(0)), F.lit(1))
+    m = F.greatest(F.coalesce("__m", F.lit(0)), F.lit(1)) if visits is not None else F.lit(1)
+    zero = F.lit(0).cast("long")
+    none = F.lit(None).cast("string")
+    measures = {"rows": n * m}
+    for c in DIAGNOSES:
+        if c in own:
+            measures[f"count_{c}"] = F.when(F.col(c).isNotNull(), n * m).otherwise(zero)
+            measures[f"max_{c}"] = F.col(c).cast("string")
+        else:
+            measures[f"count_{c}"] = F.coalesce(F.col(f"__n_{c}") * m, zero) if c in told else zero
+            measures[f"max_{c}"] = F.col(f"__m_{c}").cast("string") if c in told else none
+    scd = F.coalesce("__scd", F.lit(False))
+    measures["is_scd"] = scd | any_scd(own, mode) if own else scd
+    hits = [
+        F.when(F.col("__mask").bitwiseAND(1 << i) != 0, n * m).otherwise(F.coalesce(F.col("__hits")[i] * m, zero)) for i in groups
+    ]
+    measures["groups"] = F.array(*hits)
+    plain = [F.col(c) if c in contacts.columns else none.alias(c) for c in ("patient_id", key, "admission_type")]
+    dates = [parse_date(c, joined.schema[c].dataType).alias(c) if c in contacts.columns else F.lit(None).cast("date").alias(c) for c in DATES[:2]]
+    unknown = F.lit(UNKNOWN_DEPARTMENT)
+    department = next((F.coalesce(F.col(c), unknown) for c in ("department", "department_code", "hospital_code") if c in contacts.columns and (c != "hospital_code" or source == "LPR3")), unknown)
+    return joined.select(*plain, *dates, department.alias("department"), F.lit(source).alias("source"), *[v.alias(k) for k, v in measures.items()])
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return rename_known(df, HEALTH_NAMES)
+
+
+def _with_groups(df: DataFrame, columns: list[str], mode: str) -> DataFrame:
+    """``__mask``: one bit per diagnosis group that any of the code columns belongs to."""
+    if mode == "literal":
+        bits = [F.when(in_group(columns, g, mode), F.lit(1 << i)).otherwise(F.lit(0)) for i, g in enumerate(DIAGNOSIS_GROUPS)] if columns else []
+        return df.withColumn("__mask", sum(bits[1:], bits[0]) if bits else F.lit(0))
+    out, mask = df, F.lit(0)
+    for i, c in enumerate(columns):
+        # A row per category of the fixed groups, a few hundred.
+        side = F.broadcast(df.sparkSession.createDataFrame(group_masks(), f"__cat{i} string, __bits{i} int"))
+        out = out.join(side, F.substring(normal_code(c), 2, 3) == F.col(f"__cat{i}"), "left").drop(f"__cat{i}")
+        mask = mask.bitwiseOR(F.coalesce(F.col(f"__bits{i}"), F.lit(0)))
+    return out.withColumn("__mask", mask).drop(*[f"__bits{i}" for i in range(len(columns))])
+
+
+def care_of_both(
+    contacts_v2: DataFrame, diagnoses_v2: DataFrame, visits_v2: DataFrame, contacts_v3: DataFrame, diagnoses_v3: DataFrame,
+    mode: str = "category", hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Summaries of the contacts of both systems."""
+    v2 = care_summary(contacts_v2, diagnoses_v2, visits_v2, "LPR2", mode, hot_rows)
+    v3 = care_summary(contacts_v3, diagnoses_v3, None, "LPR3", mode, hot_rows)
+    return v2.unionByName(v3)
+
+
+def care_flags(care: DataFrame) -> DataFrame:
+    """Flags per person from contact summaries, under the population's person key."""
+    first = F.min(F.when(F.col("is_scd"), F.col("admission_date")))
+    return care.groupBy(F.col("patient_id").alias("PNR")).agg(F.coalesce(F.bool_or("is_scd"), F.lit(False)).alias("is_scd"), first.alias("first_scd_date"))
+
+
+def person_year_care(care: DataFrame, dedupe: bool = False) -> DataFrame:
+    """``person_year_health`` from contact summaries: the same numbers without the combinations."""
+    if dedupe:
+        codes = [f"max_{c}" for c in DIAGNOSES]
+        rows = care.groupBy("patient_id", "record_id", "admission_date").agg(*[F.max(c).alias(c) for c in (*codes, "discharge_date", "admission_type", "department")])
+        one = F.lit(1).cast("long")
+        rows = rows.withColumns({"rows": one, **{f"count_{c}": F.when(F.col(f"max_{c}").isNotNull(), one).otherwise(0) for c in DIAGNOSES}})
+    else:
+        rows = care
+    counts = {
+        "num_primary_diagnoses": F.col("count_primary_diagnosis"),
+        "num_diagnoses": F.col("count_diagnosis"),
+        "num_secondary_diagnoses": F.col("count_secondary_diagnosis"),
+        "num_admissions": F.when(F.col("admission_date").isNotNull(), F.col("rows")).otherwise(0),
+    }
+    weighted = rows.select(
+        F.col("patient_id").alias("PNR"), F.year("admission_date").alias("year"), "admission_type", "department", "discharge_date", "rows", *[v.alias(k) for k, v in counts.items()]
+    )
+    return _person_years(weighted, list(counts))
+
+
+def _person_years(weighted: DataFrame, counts: list[str]) -> DataFrame:
+    """Counts folded per person, year and value, then per person and year: no window, and a person with very many
+    records is spread by value. The commonest admission type is the smallest among equals."""
     kinds = F.explode(
         F.array(
             F.struct(F.lit("type").alias("kind"), F.col("admission_type").alias("v")),
@@ -190,15 +308,10 @@ def person_year_health(health: DataFrame, dedupe: bool = False) -> DataFrame:
     )
     is_type = F.col("kind") == "type"
     per_value = (
-        rows.withColumn("year", F.year("admission_date"))
-        .select(F.col("patient_id").alias("PNR"), "year", *counts.values(), "discharge_date", kinds.alias("k"))
+        weighted.select("PNR", "year", *counts, "rows", "discharge_date", kinds.alias("k"))
         .select("*", "k.kind", "k.v")
         .groupBy("PNR", "year", "kind", "v")
-        .agg(
-            F.count("*").alias("n"),
-            *[F.count(c).alias(name) for name, c in counts.items()],
-            F.max("discharge_date").alias("last_discharge"),
-        )
+        .agg(F.sum("rows").alias("n"), *[F.sum(c).alias(c) for c in counts], F.max("discharge_date").alias("last_discharge"))
     )
     mode = F.min(F.when(is_type & F.col("v").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("v").alias("v"))))
     return (
@@ -209,12 +322,20 @@ def person_year_health(health: DataFrame, dedupe: bool = False) -> DataFrame:
             mode.alias("__mode"),
             F.count(F.when(~is_type, F.col("v"))).alias("num_unique_departments"),
         )
-        .select(
-            "PNR", "year", *counts, "last_discharge", F.col("__mode.v").alias("most_common_admission_type"), "num_unique_departments"
-        )
+        .select("PNR", "year", *counts, "last_discharge", F.col("__mode.v").alias("most_common_admission_type"), "num_unique_departments")
     )
 
 
+def care_groups(care: DataFrame) -> DataFrame:
+    """``diagnosis_groups`` from contact summaries."""
+    measures = []
+    for i, g in enumerate(DIAGNOSIS_GROUPS):
+        n = F.col("groups")[i]
+        measures.append(F.sum(n).alias(f"num_{column_name(g)}_diagnoses"))
+        measures.append(F.coalesce(F.sum(F.when(F.col("admission_date").isNotNull(), n)), F.lit(0)).alias(f"num_{column_name(g)}_admissions"))
+    return care.groupBy(F.col("patient_id").alias("PNR"), F.year("admission_date").alias("year")).agg(*measures)
+
+
 def diagnosis_groups(health: DataFrame, mode: str = "category") -> DataFrame:
     """Records and dated records per diagnosis group, person and year; zero where there are none."""
     names = {g: column_name(g) for g in DIAGNOSIS_GROUPS}

@@ -21,7 +21,7 @@ def _long(df: DataFrame, columns: list[str], by: list[str], spark_type: str) ->
     values = [F.col(c).cast(spark_type).alias(f"__{c}") for c in columns]
     wide = df.select(*by, *values)
     long = wide.unpivot(by, [f"__{c}" for c in columns], "column", "value")
-    return long.withColumn("column", F.substring("column", 3, 1000))
+    return long.withColumn("column", F.substr("column", F.lit(3)))
 
 
 def numeric_statistics(

@@ -64,7 +64,7 @@ def test_age_band_and_gap(spark):
 
 def test_code_lists():
     assert len(codes.scd_categories()) == len(set(codes.scd_categories())) == 222
-    assert codes.expand_ranges("D55-D57 A01") == ["D55", "D56", "D57", "A01"]
+    assert codes.expand_ranges(["D55-D57", "A01"]) == ["D55", "D56", "D57", "A01"]
     groups = codes.group_categories()
     assert len(groups) == 10
     assert groups["Congenital"][0] == "P27" and groups["Congenital"][-1] == "Q99"
