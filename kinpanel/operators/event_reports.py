@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,25 +100,42 @@ def count_matrix(events: DataFrame, rows: str = "year", columns: str = "event_ty
     return events.groupBy(rows).pivot(columns, values).count().na.fill(0, [str(v) for v in values])
 
 
+def count_long(events: DataFrame, rows: str = "year", columns: str = "event_type") -> DataFrame:
+    """Counts as (row, value, count), without a limit on values; combinations without rows are absent."""
+    return events.groupBy(rows, columns).agg(F.count("*").alias("count"))
+
+
 def event_correlation(events: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Pearson correlation of the per-person counts for every pair of event types.
 
-    ``correlation`` is null where a type has the same count for everyone.
+    ``correlation`` is null where a type has the same count for everyone. Types are rows, not columns: counts per person and
+    type, products over the pairs of types a person really has, then one row per pair, so their number is not limited.
     """
-    types = types if types is not None else event_types(events)
-    per_person = events.groupBy("PNR").agg(*[F.count_if(F.col("event_type") == t).cast("double").alias(f"t{i}") for i, t in enumerate(types)])
-    pairs = list(combinations_with_replacement(range(len(types)), 2))
-    # A constant has no deviation; F.corr would fail on it.
-    one = per_person.agg(
-        *[F.covar_pop(f"t{i}", f"t{j}").alias(f"v{i}_{j}") for i, j in pairs],
-        *[F.stddev_pop(f"t{i}").alias(f"d{i}") for i in range(len(types))],
-    )
-    correlation = {(i, j): F.try_divide(F.col(f"v{i}_{j}"), F.col(f"d{i}") * F.col(f"d{j}")) for i, j in pairs}
-    cells = []
-    for i, j in pairs:
-        for a, b in {(i, j), (j, i)}:
-            cells.append(F.struct(F.lit(types[a]).alias("event_a"), F.lit(types[b]).alias("event_b"), correlation[i, j].alias("correlation")))
-    return one.select(F.inline(F.array(*cells)))
+    counts = events.groupBy("PNR", "event_type").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    persons = counts.select("PNR").distinct().agg(F.count("*").cast("decimal(38,0)").alias("persons"))
+    own = counts.where(F.col("event_type").isNotNull())
+    if types is not None:
+        own = own.where(F.col("event_type").isin(types))
+    right = own.select(F.col("PNR").alias("__p"), F.col("event_type").alias("event_b"), F.col("n").alias("m"))
+    both = own.withColumnRenamed("event_type", "event_a").join(right, F.col("PNR").eqNullSafe(F.col("__p")))
+    products = both.groupBy("event_a", "event_b").agg(F.sum(F.col("n") * F.col("m")).alias("product"))
+    sums = own.groupBy("event_type").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    if types is not None:  # a type asked for that nobody has is a row too
+        wanted = events.sparkSession.createDataFrame([(t,) for t in types], "event_type string")
+        sums = wanted.join(sums, "event_type", "left").na.fill(0)
+        sums = sums.select("event_type", *[F.col(c).cast("decimal(38,0)").alias(c) for c in ("s", "q")])
+    # One row per type, then one per pair: as many as the result has.
+    listed = sums.agg(F.collect_list(F.struct("event_type", "s", "q")).alias("types")).join(persons)
+    pairs = listed.select("persons", "types", F.explode("types").alias("a")).select("persons", "a", F.explode("types").alias("b"))
+    pairs = pairs.select("persons", *[F.col(f"{x}.{y}").alias(f"{z}_{x}") for x in "ab" for y, z in (("event_type", "event"), ("s", "s"), ("q", "q"))])
+    n = F.col("persons")
+
+    def spread(x: str) -> Column:
+        return (n * F.col(f"q_{x}") - F.col(f"s_{x}") * F.col(f"s_{x}")).cast("double")
+
+    together = (n * F.coalesce("product", F.lit(0)) - F.col("s_a") * F.col("s_b")).cast("double")
+    correlation = F.try_divide(together, F.sqrt(spread("a")) * F.sqrt(spread("b")))
+    return pairs.join(products, ["event_a", "event_b"], "left").select("event_a", "event_b", correlation.alias("correlation"))
 
 
 def event_share(events: DataFrame, group: str, column: str = "event_type") -> DataFrame:

@@ -39,11 +39,20 @@ def changed(column: str) -> Event:
 
 
 def increased(column: str) -> Event:
-    return Event((column,), lambda now, before: now.cast("bigint") - before.cast("bigint") > 0, looks_back=True)
+    return Event((column,), lambda now, before: now > before, looks_back=True)
 
 
 def decreased(column: str) -> Event:
-    return Event((column,), lambda now, before: now.cast("bigint") - before.cast("bigint") < 0, looks_back=True)
+    return Event((column,), lambda now, before: now < before, looks_back=True)
+
+
+def more(column: str) -> Event:
+    """A larger whole number; text and fractions are read as whole numbers."""
+    return Event((column,), lambda now, before: now.cast("bigint") > before.cast("bigint"), looks_back=True)
+
+
+def fewer(column: str) -> Event:
+    return Event((column,), lambda now, before: now.cast("bigint") < before.cast("bigint"), looks_back=True)
 
 
 def moved(column: str) -> Event:
@@ -67,10 +76,38 @@ def fell_by(column: str, share: float) -> Event:
 CHILD_EVENTS = {
     "municipality_change": changed("KOM"),
     "family_composition_change": changed("FAMILIE_TYPE"),
-    "household_size_increase": increased("ANTPERSH"),
-    "household_size_decrease": decreased("ANTPERSH"),
-    "number_of_children_increase": increased("ANTBOERNH"),
-    "number_of_children_decrease": decreased("ANTBOERNH"),
+    "household_size_increase": more("ANTPERSH"),
+    "household_size_decrease": fewer("ANTPERSH"),
+    "number_of_children_increase": more("ANTBOERNH"),
+    "number_of_children_decrease": fewer("ANTBOERNH"),
+}
+
+
+FATHER_EVENTS = {
+    "father_education_change": changed("FAR_EDU_LVL"),
+    "father_income_change": moved("FAR_PERINDKIALT_13"),
+    "significant_income_increase_father": rose_by("FAR_PERINDKIALT_13", 0.10),
+    "significant_income_decrease_father": fell_by("FAR_PERINDKIALT_13", 0.10),
+    "father_employment_status_change": changed("FAR_BESKST13"),
+    "father_job_change": changed("FAR_STILL"),
+    "father_socioeconomic_status_change": changed("FAR_SOCIO13"),
+}
+MOTHER_EVENTS = {
+    "mother_education_change": changed("MOR_EDU_LVL"),
+    "mother_income_change": moved("MOR_PERINDKIALT_13"),
+    "significant_income_increase_mother": rose_by("MOR_PERINDKIALT_13", 0.10),
+    "significant_income_decrease_mother": fell_by("MOR_PERINDKIALT_13", 0.10),
+    "mother_employment_status_change": changed("MOR_BESKST13"),
+    "mother_job_change": changed("MOR_STILL"),
+    "mother_socioeconomic_status_change": changed("MOR_SOCIO13"),
+}
+EVENTS = {
+    "municipality_change": changed("KOM"),
+    "family_composition_change": changed("FAMILIE_TYPE"),
+    "household_size_increase": more("ANTPERSH"),
+    "household_size_decrease": fewer("ANTPERSH"),
+    "number_of_children_increase": more("ANTBOERNH"),
+    "number_of_children_decrease": fewer("ANTBOERNH"),
 }
 
 

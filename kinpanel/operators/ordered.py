@@ -25,20 +25,25 @@ def with_previous(
     Persons up to ``hot_rows`` rows are handled by a plain window.  The rows of
     heavier ones are sorted over the cluster by range, written to the checkpoint
     folder, and linked across range borders by one border row per range.
+    Rows without a person have no preceding row.
     """
-    hot = hot_keys(df, person, hot_rows, with_null=True)
+    nobody = df.where(F.col(person).isNull())
+    df = df.where(F.col(person).isNotNull())
+    hot = hot_keys(df, person, hot_rows)
     within = within or []
     window = Window.partitionBy(person, *within).orderBy(*order, *columns)
     lagged = F.lag(F.struct(*columns)).over(window)
+    none = F.lit(None).cast(T.StructType([df.schema[c] for c in columns]))
+    nobody = nobody.withColumn(PREVIOUS, none)
     if not hot:
-        return df.withColumn(PREVIOUS, lagged)
+        return df.withColumn(PREVIOUS, lagged).unionByName(nobody)
     key = T.StructType([T.StructField("__hot", df.schema[person].dataType)])
     hot_table = F.broadcast(df.sparkSession.createDataFrame([(k,) for k, _ in hot], key))
     is_hot = F.col(person).eqNullSafe(F.col("__hot"))
     rest = df.join(hot_table, is_hot, "left_anti").withColumn(PREVIOUS, lagged)
     heavy = df.join(hot_table, is_hot, "left_semi")
     ranges = 2 * -(-sum(n for _, n in hot) // hot_rows)
-    return rest.unionByName(_by_range(heavy, [person, *within], order, columns, ranges))
+    return rest.unionByName(nobody).unionByName(_by_range(heavy, [person, *within], order, columns, ranges))
 
 
 def _by_range(df: DataFrame, group: list[str], order: list[str], columns: list[str], ranges: int) -> DataFrame:

@@ -109,7 +109,9 @@ def exact_quantiles(
     out = []
     for i, (name, p) in enumerate(probs):
         below, above = F.col(f"__a{i}"), F.col(f"__b{i}")
-        out.append(F.when(below == above, below).otherwise(below + (above - below) * _ends(p)[2]).alias(name))
+        # The weights the built-in percentile uses, so that both ways give the same bits.
+        lower, upper, at = _ends(p)
+        out.append(F.when(below == above, below).otherwise((upper - at) * below + (at - lower) * above).alias(name))
     return found.select(*by, *out)
 
 
@@ -118,9 +120,9 @@ def _as_is(df: DataFrame) -> DataFrame:
 
 
 def _ends(p: float) -> tuple[Column, Column, Column]:
-    """Lower rank, upper rank and fraction of quantile ``p`` among ``__n`` values."""
+    """Lower rank, upper rank and place of quantile ``p`` among ``__n`` values."""
     h = (F.col("__n") - 1) * F.lit(p)
-    return F.floor(h), F.ceil(h), h - F.floor(h)
+    return F.floor(h), F.ceil(h), h
 
 
 def _holds(rank: Column) -> Column:

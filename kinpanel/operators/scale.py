@@ -54,9 +54,10 @@ def left_join(
 ) -> DataFrame:
     """Left join that survives heavy keys on either side; the right keys are not kept.
 
-    A row of a heavy key gets a slot number from the input split it comes from
-    (stable when a task is run again, and different for equal rows of different
-    splits); the other side is repeated once per slot, for those keys only.
+    A row of a heavy key gets a slot number from its own values and the input
+    split it comes from (stable when a task is run again; rows of one split part
+    by their values, equal rows by their split); the other side is repeated once
+    per slot, for those keys only.
     Rows without a key match nothing and are spread over tasks.  A heavy key of
     the right side has matches by definition, so a repeated left row that meets
     an empty slot is dropped and nothing is lost.
@@ -77,7 +78,11 @@ def left_join(
         return l.join(r, same_key, "left").drop("__lkey", "__rkey")
 
     ways = F.broadcast(_ways(l, left_hot, right_hot, hot_rows))
-    split = F.spark_partition_id()
+
+    def spread(df: DataFrame) -> Column:
+        return F.xxhash64(F.spark_partition_id(), *[F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
+
+    split, right_split = spread(l), spread(r)
 
     def with_ways(df: DataFrame, key: str) -> DataFrame:
         found = df.join(ways, F.col(key) == F.col("__hot"), "left").drop("__hot")
@@ -89,14 +94,14 @@ def left_join(
     no_key = F.col("__lkey").isNull()
     l = (
         with_ways(l, "__lkey")
-        .withColumn("__ls", F.when(no_key, F.pmod(split, F.lit(NULL_WAYS))).otherwise(F.pmod(split, F.col("__lways"))))
+        .withColumn("__ls", F.when(no_key, F.pmod(split, F.lit(NULL_WAYS))).otherwise(F.pmod(split, F.col("__lways"))).cast("int"))
         .withColumn("__rs", copies("__rways"))
         .withColumn("__many", F.col("__rways") > 1)
         .drop("__lways", "__rways")
     )
     r = (
         with_ways(r, "__rkey")
-        .withColumn("__rs2", F.pmod(split, F.col("__rways")))
+        .withColumn("__rs2", F.pmod(right_split, F.col("__rways")).cast("int"))
         .withColumn("__ls2", copies("__lways"))
         .drop("__lways", "__rways")
     )
