@@ -16,10 +16,15 @@ def child_events(spark, sf):
 
 
 def mother_events(spark, sf):
-    """Changes in the mother's rows; definitions on columns that are not there are left out."""
+    """Changes in the mother's rows."""
     return ev.identify_events(register(spark, sf, "mother"), role="mother")
 
 
+def father_events(spark, sf):
+    """Changes in the father's rows; rows without a father have no row before them."""
+    return ev.identify_events(register(spark, sf, "father"), role="father")
+
+
 def income_events(spark, sf):
     definitions = {
         "rise": ev.rose_by("PERINDKIALT_13", 0.10),
@@ -92,6 +97,14 @@ def event_correlation(spark, sf):
     return rounded(er.event_correlation(register(spark, sf, "log")))
 
 
+def event_correlation_many(spark, sf):
+    return rounded(er.event_correlation(register(spark, sf, "many")))
+
+
+def event_matrix_long(spark, sf):
+    return er.count_long(register(spark, sf, "many"))
+
+
 def event_share(spark, sf):
     return rounded(er.event_share(register(spark, sf, "log"), "year"))
 
@@ -138,7 +151,10 @@ _CHILD = with_registers("bef") + "," + _lagged(
     "bef", "PNR", "year NULLS FIRST, month NULLS FIRST", ["KOM", "FAMILIE_TYPE", "ANTPERSH", "ANTBOERNH"]
 )
 _MOTHER = with_registers("mother") + "," + _lagged(
-    "mother", "MOTHER_PNR", "MOR_year NULLS FIRST, MOR_month NULLS FIRST", ["MOR_EDU_LVL", "MOR_PERINDKIALT_13", "MOR_BESKST13"]
+    "mother", "MOTHER_PNR", "MOR_year NULLS FIRST, MOR_month NULLS FIRST", ["MOR_EDU_LVL", "MOR_PERINDKIALT_13", "MOR_BESKST13", "MOR_STILL", "MOR_SOCIO13"]
+)
+_FATHER = with_registers("father") + "," + _lagged(
+    "(SELECT * FROM father WHERE FATHER_PNR IS NOT NULL)", "FATHER_PNR", "FAR_year NULLS FIRST, FAR_month NULLS FIRST", ["FAR_EDU_LVL", "FAR_PERINDKIALT_13", "FAR_BESKST13", "FAR_STILL", "FAR_SOCIO13"]
 )
 _INCOME = with_registers("ind") + "," + _lagged("ind", "PNR", "year NULLS FIRST", ["PERINDKIALT_13"])
 _LOG = with_registers("log")
@@ -212,11 +228,42 @@ QUERIES = {
                 "significant_income_increase_mother": _ratio("MOR_PERINDKIALT_13") + " > 0.10",
                 "significant_income_decrease_mother": _ratio("MOR_PERINDKIALT_13") + " < -0.10",
                 "mother_employment_status_change": "p_MOR_BESKST13 <> MOR_BESKST13",
+                "mother_job_change": "p_MOR_STILL <> MOR_STILL",
+                "mother_socioeconomic_status_change": "p_MOR_SOCIO13 <> MOR_SOCIO13",
             },
             "MOTHER_PNR",
             "MOR_year",
         ),
     ),
+    "father_events": (
+        father_events,
+        _FATHER
+        + _events_sql(
+            {
+                "father_education_change": "p_FAR_EDU_LVL <> FAR_EDU_LVL",
+                "father_income_change": "FAR_PERINDKIALT_13 - p_FAR_PERINDKIALT_13 <> 0",
+                "significant_income_increase_father": _ratio("FAR_PERINDKIALT_13") + " > 0.10",
+                "significant_income_decrease_father": _ratio("FAR_PERINDKIALT_13") + " < -0.10",
+                "father_employment_status_change": "p_FAR_BESKST13 <> FAR_BESKST13",
+                "father_job_change": "p_FAR_STILL <> FAR_STILL",
+                "father_socioeconomic_status_change": "p_FAR_SOCIO13 <> FAR_SOCIO13",
+            },
+            "FATHER_PNR",
+            "FAR_year",
+        ),
+    ),
+    "event_correlation_many": (
+        event_correlation_many,
+        with_registers("many")
+        + """, types AS (SELECT DISTINCT event_type AS t FROM many WHERE event_type IS NOT NULL),
+        people AS (SELECT DISTINCT PNR AS p FROM many),
+        grid AS (SELECT p, t, (SELECT 0) AS zero FROM people, types),
+        n AS (SELECT PNR AS p, event_type AS t, count(*) AS n FROM many GROUP BY 1, 2),
+        full_ AS (SELECT g.p, g.t, CAST(coalesce(n.n, 0) AS DOUBLE) AS n FROM grid g LEFT JOIN n ON g.p IS NOT DISTINCT FROM n.p AND g.t = n.t)
+        SELECT a.t AS event_a, b.t AS event_b, round(corr(a.n, b.n), 6) AS correlation
+        FROM full_ a JOIN full_ b ON a.p IS NOT DISTINCT FROM b.p GROUP BY 1, 2""",
+    ),
+    "event_matrix_long": (event_matrix_long, with_registers("many") + "SELECT year, event_type, count(*) AS count FROM many GROUP BY 1, 2"),
     "income_events": (
         income_events,
         _INCOME

@@ -37,6 +37,10 @@ def _unless(condition: str, expr: str) -> str:
     return f"CASE WHEN {condition} THEN NULL ELSE {expr} END"
 
 
+_Y, _M, _D = (f"CAST({part}(o_orderdate) AS STRING)" for part in ("year", "month", "day"))
+_MM, _DD = f"lpad({_M}, 2, '0')", f"lpad({_D}, 2, '0')"
+_MMM = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(month(o_orderdate) AS INT) * 3 - 2, 3)"
+
 REGISTERS: dict[str, tuple[str, dict[str, str]]] = {
     # Population register, several rows per person and year.
     "bef": (
@@ -167,10 +171,27 @@ REGISTERS: dict[str, tuple[str, dict[str, str]]] = {
             "MOR_EDU_LVL": _unless("o_orderkey % 9 = 0", _id("o_orderkey % 4")),
             "MOR_PERINDKIALT_13": _unless("o_orderkey % 12 = 5", "CASE WHEN o_orderkey % 12 = 6 THEN 0.0 ELSE o_totalprice END"),
             "MOR_BESKST13": "CAST(o_orderkey % 5 AS INT)",
+            "MOR_STILL": _unless("o_orderkey % 7 = 0", _id("o_orderkey % 3")),
+            "MOR_SOCIO13": "CAST(o_orderkey % 4 AS INT)",
             "MOR_year": "CAST(year(o_orderdate) AS INT)",
             "MOR_month": "CAST(month(o_orderdate) AS INT)",
         },
     ),
+    # Father's panel; some rows have no father.
+    "father": (
+        "orders",
+        {
+            "CHILD_PNR": _id("o_custkey"),
+            "FATHER_PNR": _unless("o_orderkey % 29 = 0", _id(_part("o_custkey", 3))),
+            "FAR_EDU_LVL": _unless("o_orderkey % 9 = 0", _id("o_orderkey % 4")),
+            "FAR_PERINDKIALT_13": _unless("o_orderkey % 12 = 5", "CASE WHEN o_orderkey % 12 = 6 THEN 0.0 ELSE o_totalprice END"),
+            "FAR_BESKST13": "CAST(o_orderkey % 5 AS INT)",
+            "FAR_STILL": _unless("o_orderkey % 7 = 0", _id("o_orderkey % 3")),
+            "FAR_SOCIO13": "CAST(o_orderkey % 4 AS INT)",
+            "FAR_year": "CAST(year(o_orderdate) AS INT)",
+            "FAR_month": "CAST(month(o_orderdate) AS INT)",
+        },
+    ),
     # Person-year panel with parents, for the baseline table.
     "panel": (
         "orders",
@@ -213,20 +234,35 @@ REGISTERS: dict[str, tuple[str, dict[str, str]]] = {
             "year": "CAST(year(l_shipdate) AS INT)",
         },
     ),
-    # Dates as text in one of six formats, and junk.
+    # An event table with more types than a panel has.
+    "many": (
+        "lineitem",
+        {
+            "event_type": _unless("l_partkey % 31 = 0", "concat('e', CAST(l_partkey % 24 AS STRING))"),
+            "PNR": _unless("l_orderkey % 37 = 0", _id("l_orderkey")),
+            "year": "CAST(year(l_shipdate) AS INT)",
+        },
+    ),
+    # Dates as text in one of eleven formats, and junk.
     "dates": (
         "orders",
         {
             "id": "o_orderkey",
-            "text": "CASE CAST(o_orderkey % 7 AS INT) "
-            "WHEN 0 THEN concat(CAST(year(o_orderdate) AS STRING), '/', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '/', lpad(CAST(day(o_orderdate) AS STRING), 2, '0')) "
-            "WHEN 1 THEN concat(CAST(day(o_orderdate) AS STRING), '/', CAST(month(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING)) "
-            "WHEN 2 THEN concat(CAST(year(o_orderdate) AS STRING), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(day(o_orderdate) AS STRING), 2, '0')) "
-            "WHEN 3 THEN concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(month(o_orderdate) AS INT) * 3 - 2, 3), CAST(year(o_orderdate) AS STRING)) "
-            "WHEN 4 THEN concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', CAST(year(o_orderdate) AS STRING)) "
-            "WHEN 5 THEN concat(CAST(year(o_orderdate) AS STRING), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), ' 10:11:12') "
+            "text": "CASE CAST(o_orderkey % 12 AS INT) "
+            f"WHEN 0 THEN concat({_Y}, '/', {_MM}, '/', {_DD}) "
+            f"WHEN 1 THEN concat({_D}, '/', {_M}, '/', {_Y}) "
+            f"WHEN 2 THEN concat({_Y}, '-', {_MM}, '-', {_DD}) "
+            f"WHEN 3 THEN concat({_DD}, {_MMM}, {_Y}) "
+            f"WHEN 4 THEN concat({_DD}, '-', {_MM}, '-', {_Y}) "
+            f"WHEN 5 THEN concat({_Y}, '-', {_MM}, '-', {_DD}, ' 10:11:12') "
+            # The American forms can only be told where the day is above twelve.
+            f"WHEN 6 THEN CASE WHEN day(o_orderdate) > 12 THEN concat({_M}, '/', {_D}, '/', {_Y}) ELSE concat({_D}, '/', {_M}, '/', {_Y}) END "
+            f"WHEN 7 THEN concat({_M}, '/', {_D}, '/', substr({_Y}, 3, 2)) "
+            f"WHEN 8 THEN CASE WHEN day(o_orderdate) > 12 THEN concat({_M}, '-', {_D}, '-', {_Y}) ELSE concat({_D}, '-', {_M}, '-', {_Y}) END "
+            f"WHEN 9 THEN concat({_Y}, '/', {_M}, '/', {_D}, ' 10:11:12') "
+            f"WHEN 10 THEN concat('Mon ', {_MMM}, ' ', {_D}, ' 01:02:03 ', {_Y}) "
             "ELSE o_orderpriority END",
-            "expected": _unless("o_orderkey % 7 = 6", "CAST(o_orderdate AS DATE)"),
+            "expected": _unless("o_orderkey % 12 = 11", "CAST(o_orderdate AS DATE)"),
         },
     ),
     # Code dictionary without some of the codes in use.
