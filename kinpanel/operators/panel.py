@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinpanel.fixed_values import LABELLED_COLUMNS, LABELS
-from kinpanel.functions.labels import label
+from kinpanel.functions.labels import MAX_LITERAL_ENTRIES, label
 from kinpanel.operators.columns import prefixed, unique_names
 from kinpanel.operators.scale import HOT_ROWS, MAX_HOT, hot_keys, left_join, one_key, small
 
@@ -60,13 +60,24 @@ def join_parents(
     return out
 
 
+def join_parent(population: DataFrame, register: DataFrame, parent: str, key: str = "PNR", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Register rows of one parent beside each child: no product with the other parent's rows. ``parent``: father or mother."""
+    prefix, own = (FATHER, "FAR_ID") if parent == "father" else (MOTHER, "MOR_ID")
+    side = prefixed(register, prefix, key).withColumnRenamed(key, f"__{prefix}key")
+    return left_join(population, side, own, f"__{prefix}key", hot_rows=hot_rows)
+
+
 def _by_year(heavy: list[tuple[object, int]], years: DataFrame) -> list[tuple[object, int]]:
     """Heavy parents by parent and year; a parent has a row per child and year at most."""
     count = {k: n for k, n in heavy if k is not None}
     found = [(None, n) for k, n in heavy if k is None]
     if count:
-        rows = years.where(F.col("__person").isin(list(count))).select("__person", one_key(["__person", "year"]).alias("k")).limit(MAX_HOT)
-        found += [(r["k"], count[r["__person"]]) for r in rows.collect()]
+        parents = years.sparkSession.createDataFrame([(k,) for k in count], years.select("__person").schema)
+        rows = years.join(F.broadcast(parents), "__person").select("__person", one_key(["__person", "year"]).alias("k"))
+        # Only steers the spreading of rows; a list cut here leaves some keys in one task. The parents with most children come first.
+        most = F.broadcast(years.sparkSession.createDataFrame(list(count.items()), f"__person {years.schema['__person'].dataType.simpleString()}, n long"))
+        rows = rows.join(most, "__person").orderBy(F.desc("n"), "k").limit(MAX_HOT)
+        found += [(r["k"], r["n"]) for r in rows.collect()]
     return found
 
 
@@ -85,10 +96,17 @@ def label_codes(df: DataFrame, register: str, dictionaries: dict[str, DataFrame]
         if dictionaries and name in dictionaries:
             out = apply_dictionary(out, column, dictionaries[name])
         elif name in LABELS:
-            out = out.withColumn(column, label(column, LABELS[name]))
+            out = with_label(out, column, LABELS[name])
     return out
 
 
+def with_label(df: DataFrame, column: str, entries: dict[str, str]) -> DataFrame:
+    """Labels from a dictionary: as a map in the plan when short, else by a join."""
+    if len(entries) <= MAX_LITERAL_ENTRIES:
+        return df.withColumn(column, label(column, entries))
+    return apply_dictionary(df, column, df.sparkSession.createDataFrame(list(entries.items()), "code string, label string"))
+
+
 def apply_dictionary(df: DataFrame, column: str, dictionary: DataFrame, into: str | None = None) -> DataFrame:
     """Label from a ``code``/``label`` table; unmapped codes pass through, null stays null."""
     target = into or column

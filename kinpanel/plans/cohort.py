@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,14 @@ from kinpanel.operators import health as h
 from kinpanel.operators import population as p
 from kinpanel.operators import statistics as st
 from kinpanel.operators.events import EVENTS, Event, identify_events
-from kinpanel.operators.panel import add_education_level, join_parents, join_register, label_codes, split_roles, stack_registers
+from kinpanel.operators.panel import PERSON, add_education_level, join_parent, join_register, label_codes, split_roles, stack_registers
 from kinpanel.operators.tables import baseline_table, baseline_text
 from kinpanel.plans.zones import write_zones
+from kinpanel.sources.manifest import is_changed, mark_done
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
-from kinpanel.sources.tables import read_panel, write_listing, write_panel, write_report, write_table
+from kinpanel.sources.tables import check_partitions, read_panel, write_listing, write_panel, write_report, write_table
+
+log = logging.getLogger(__name__)
 
 YEARLY = ("bef", "uddf", "ind", "akm", "idan")
 HOSPITAL = ("lpr_adm", "lpr_diag", "lpr_bes", "lpr3_kontakter", "lpr3_diagnoser")
@@ -52,8 +56,17 @@ def build_population(spark: SparkSession, study: Study) -> DataFrame:
     return spark.read.parquet(f"{study.output}/population")
 
 
+def build_care(spark: SparkSession, study: Study) -> DataFrame | None:
+    """One row per hospital contact of both systems, written once; None when a register is not given."""
+    if not all(r in study.registers for r in HOSPITAL):
+        return None
+    parts = [read_parquet(spark, study.registers[r]) for r in HOSPITAL]
+    write_table(h.care_of_both(*parts, mode=study.scd_mode), f"{study.output}/care")
+    return spark.read.parquet(f"{study.output}/care")
+
+
 def build_health(spark: SparkSession, study: Study) -> DataFrame | None:
-    """Harmonised hospital records of both systems, written once; None when a register is not given."""
+    """Harmonised records, every combination of a contact's diagnoses and visits, for callers that want them."""
     if not all(r in study.registers for r in HOSPITAL):
         return None
     parts = [read_parquet(spark, study.registers[r]) for r in HOSPITAL]
@@ -78,37 +91,75 @@ def build_panels(spark: SparkSession, study: Study) -> dict[str, DataFrame]:
     return panels
 
 
-def build_role_panels(
-    spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame], same_period: bool = False
-) -> dict[str, DataFrame]:
-    """Panels of child, mother and father: own rows from BEF, parents' rows from the other registers."""
-    stacked = {}
+def build_role_panels(spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Panels of child, mother and father: own rows from BEF, parents' rows from the other registers.
+
+    Each role has a plan of its own, so the rows of one parent are never multiplied by those of the other, and is
+    written by year; years without rows between the first and the last are logged.
+    """
+    frames: dict[str, list[dict[str, DataFrame]]] = {"child": [], "mother": [], "father": []}
     for name, panel in panels.items():
         if name == "bef":
             own = panel.drop("FOED_DAG", "FAR_ID", "MOR_ID", "FAMILIE_ID")
-            stacked[name] = join_register(population, own)
+            frames["child"].append({name: join_register(population, own)})
         else:
-            stacked[name] = join_parents(population, panel, same_period=same_period)
+            for parent in ("mother", "father"):
+                frames[parent].append({name: join_parent(population, panel, parent)})
     out = {}
-    for role, df in split_roles(stack_registers(stacked)).items():
-        write_table(df, f"{study.output}/long/{role}")
-        out[role] = spark.read.parquet(f"{study.output}/long/{role}")
+    for role, parts in frames.items():
+        if not parts:
+            continue
+        stacked = stack_registers({k: v for part in parts for k, v in part.items()})
+        df = split_roles(stacked)[role]
+        year, person = PERSON[role]
+        path = f"{study.output}/long/{role}"
+        write_panel(df, path, year, [person])
+        out[role] = read_panel(spark, path)
+        gaps = [r[0] for r in check_partitions(spark, path, year).collect()]
+        if gaps:
+            log.warning("%s panel has no rows in %s", role, gaps)
     return out
 
 
 def build_cohort(spark: SparkSession, study: Study) -> DataFrame:
-    """Run the whole study; returns the population with disease flags."""
+    """Population, care, panels and zones; returns the population with disease flags."""
     population = build_population(spark, study)
-    health = build_health(spark, study)
+    care = build_care(spark, study)
     panels = build_panels(spark, study)
-    cohort = population
-    if health is not None:
-        cohort = h.add_flags(population, h.scd_by_person(health, study.scd_mode))
+    cohort = population if care is None else h.add_flags(population, h.care_flags(care))
     write_table(cohort, f"{study.output}/cohort")
-    write_zones(spark, f"{study.output}/analytical_data", population, panels, health)
+    write_zones(spark, f"{study.output}/analytical_data", population, panels, care)
     return spark.read.parquet(f"{study.output}/cohort")
 
 
+def build_study(spark: SparkSession, study: Study, categories: list[str] | None = None) -> bool:
+    """The whole study from register files to reports, if a file of any register is new, changed or gone.
+
+    Returns whether it ran. ``categories`` are columns of the panels carried along events into the category reports.
+    """
+    stale = [name for name, path in study.registers.items() if is_changed(spark, name, path, f"{study.output}/manifest")]
+    if not stale:
+        return False
+    log.info("changed registers: %s", ", ".join(stale))
+    cohort = build_cohort(spark, study)
+    population = spark.read.parquet(f"{study.output}/population")
+    panels = {name: read_panel(spark, f"{study.output}/panels/{name}") for name in YEARLY if name in study.registers}
+    roles = build_role_panels(spark, study, population, panels)
+    events = build_events(spark, study, roles, keep=categories)
+    reports = f"{study.output}/reports"
+    if "is_scd" in cohort.columns:
+        h.check_people_kept(population, cohort, "PNR", "PNR")
+        write_scd_report(cohort, f"{reports}/scd")
+    write_population_reports(population, f"{reports}/population")
+    write_event_reports(events, f"{reports}/events")
+    write_event_figures(events, f"{reports}/figures", [c for c in categories or [] if c in events.columns])
+    if "child" in roles:
+        write_baseline(roles["child"], f"{reports}/baseline")
+    for name in stale:
+        mark_done(spark, name, f"{study.output}/manifest")
+    return True
+
+
 def build_events(
     spark: SparkSession, study: Study, role_panels: dict[str, DataFrame], definitions: dict[str, dict[str, Event]] | None = None, keep: list[str] | None = None
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinpanel.fixed_values import DOMAIN_NAMES, DOMAIN_SOURCES, DOMAIN_STATISTICS
 from kinpanel.operators.columns import rename_known
-from kinpanel.operators.health import diagnosis_groups, person_year_health
+from kinpanel.operators.health import care_groups, person_year_care
 from kinpanel.operators.population import family_size, individuals, relationships
 from kinpanel.operators.statistics import table_statistics
 from kinpanel.sources.manifest import catalogue, write_catalogue
@@ -45,10 +45,10 @@ def write_zones(
     base: str,
     population: DataFrame,
     panels: dict[str, DataFrame],
-    health: DataFrame | None = None,
+    care: DataFrame | None = None,
     statistics: dict[str, dict[str, list[str]]] | None = None,
 ) -> None:
-    """Write every zone under ``base``; statistics are computed from the tables just written."""
+    """Write every zone under ``base``; statistics are computed from the tables just written. ``care``: one row per contact."""
     write_table(individuals(population), f"{base}/static/individual_attributes")
     write_table(relationships(population), f"{base}/family/family_relationships")
     families = spark.read.parquet(f"{base}/family/family_relationships")
@@ -68,9 +68,9 @@ def write_zones(
         if stats is not None:
             write_table(stats, f"{base}/derived/statistics/longitudinal/{domain}", partition_by="year")
 
-    if health is not None:
-        write_panel(person_year_health(health), f"{base}/longitudinal/health/health_summary")
-        write_panel(diagnosis_groups(health), f"{base}/longitudinal/health/diagnosis_groups")
+    if care is not None:
+        write_panel(person_year_care(care), f"{base}/longitudinal/health/health_summary")
+        write_panel(care_groups(care), f"{base}/longitudinal/health/diagnosis_groups")
 
     write_table(static_statistics(spark.read.parquet(f"{base}/static/individual_attributes")), f"{base}/derived/statistics/static")
     write_table(family_statistics(families), f"{base}/derived/statistics/family")

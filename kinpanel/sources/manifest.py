@@ -12,10 +12,9 @@ from kinpanel.fixed_values import DOMAIN_DESCRIPTIONS, ZONE_DESCRIPTIONS
 def file_manifest(spark: SparkSession, register: str, path: str, fingerprint: str = "stamp") -> DataFrame:
     """One row per file: register, path, fingerprint.
 
-    ``stamp`` is size and time of change, from the listing.  ``bytes`` is the
-    SHA-256 of the file's content.  ``rows`` combines hashes of all rows, so
-    large parquet files are split over tasks and rewrites with the same rows
-    count as unchanged.
+    ``stamp`` is size and time of change, from the listing.  ``rows`` combines
+    hashes of all rows, so large parquet files are split over tasks and rewrites
+    with the same rows count as unchanged.
     """
     if fingerprint == "rows":
         df = spark.read.option("mergeSchema", True).parquet(path)
@@ -26,12 +25,9 @@ def file_manifest(spark: SparkSession, register: str, path: str, fingerprint: st
             F.concat_ws("-", F.count("*"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).alias("fingerprint")
         ).select(F.lit(register).alias("register"), "path", "fingerprint")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    if fingerprint == "stamp":
-        mark = F.concat_ws("-", F.col("length"), F.unix_micros("modificationTime"))
-    elif fingerprint == "bytes":
-        mark = F.sha2("content", 256)
-    else:
+    if fingerprint != "stamp":
         raise ValueError(f"unknown fingerprint {fingerprint!r}")
+    mark = F.concat_ws("-", F.col("length"), F.unix_micros("modificationTime"))
     return files.select(F.lit(register).alias("register"), "path", mark.alias("fingerprint"))
 
 
@@ -55,20 +51,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def run_if_changed(spark: SparkSession, register: str, path: str, manifest: str, job, fingerprint: str = "stamp") -> bool:
-    """Run ``job()`` when a file of the register is new, changed or gone; remember the files afterwards.
-
-    The files are listed once, before the job, into a table of their own: files
-    that arrive while the job runs count as new the next time.
-    """
-    listed, done = f"{manifest}/listed/{register}", f"{manifest}/done/{register}"
+def is_changed(spark: SparkSession, register: str, path: str, manifest: str, fingerprint: str = "stamp") -> bool:
+    """List the register's files into a table of their own; whether one is new, changed or gone since ``mark_done``."""
+    listed = f"{manifest}/listed/{register}"
     file_manifest(spark, register, path, fingerprint).write.mode("overwrite").parquet(listed)
-    current = spark.read.parquet(listed)
-    stored = read_manifest(spark, done)
-    if stored is not None and changed_files(current, stored).isEmpty() and removed_files(current, stored).isEmpty():
+    current, stored = spark.read.parquet(listed), read_manifest(spark, f"{manifest}/done/{register}")
+    return stored is None or not (changed_files(current, stored).isEmpty() and removed_files(current, stored).isEmpty())
+
+
+def mark_done(spark: SparkSession, register: str, manifest: str) -> None:
+    """Remember the files listed last; files that arrived since count as new the next time."""
+    spark.read.parquet(f"{manifest}/listed/{register}").write.mode("overwrite").parquet(f"{manifest}/done/{register}")
+
+
+def run_if_changed(spark: SparkSession, register: str, path: str, manifest: str, job, fingerprint: str = "stamp") -> bool:
+    """Run ``job()`` when a file of the register is new, changed or gone; remember the files afterwards."""
+    if not is_changed(spark, register, path, manifest, fingerprint):
         return False
     job()
-    current.write.mode("overwrite").parquet(done)
+    mark_done(spark, register, manifest)
     return True
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,22 @@ def read_parquet(spark: SparkSession, path: str | list[str], merge: bool = True)
     return spark.read.option("mergeSchema", merge).parquet(*paths)
 
 
+def read_by_type(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """The files as one table, or, where a column's type changes between files, as one table for each set of types.
+
+    File schemas are looked at one by one only after merging them has failed; there is a file per year or month.
+    """
+    try:
+        return [read_parquet(spark, path)]
+    except Py4JJavaError as e:
+        if "CANNOT_MERGE" not in str(e):
+            raise
+    by_types: dict[str, list[str]] = {}
+    for file in sorted(read_parquet(spark, path, merge=False).inputFiles()):
+        by_types.setdefault(spark.read.parquet(file).schema.json(), []).append(file)
+    return [read_parquet(spark, files) for files in by_types.values()]
+
+
 def with_period(df: DataFrame) -> DataFrame:
     """``year`` and ``month`` from the name of the file a row was read from; null when the name has none.
 
@@ -49,13 +68,18 @@ def read_register(
     """
     if keep and drop:
         raise ValueError("give columns to keep or columns to drop, not both")
-    df = with_period(read_parquet(spark, path))
-    if keep:
-        df = keep_existing(df, keep)
-    else:
-        df = keep_or_drop(df, drop=drop if drop is not None else PANEL_DROPS.get(name, []))
     wanted = layout if layout is not None else REGISTERS.get(name, {})
-    df = apply_layout(df, {c: t for c, t in wanted.items() if c in df.columns}, cast)
+
+    def shaped(df: DataFrame) -> DataFrame:
+        df = with_period(df)
+        if keep:
+            df = keep_existing(df, keep)
+        else:
+            df = keep_or_drop(df, drop=drop if drop is not None else PANEL_DROPS.get(name, []))
+        return apply_layout(df, {c: t for c, t in wanted.items() if c in df.columns}, cast)
+
+    # Types differ between files at most before they are cast to the layout.
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(shaped, read_by_type(spark, path)))
     return in_order_of(df, ["year", "PNR"]) if ordered else df
 
 

@@ -59,7 +59,7 @@ def check_partitions(spark: SparkSession, path: str, key: str = "year") -> DataF
 
     Raises when the dataset has no partition at all.
     """
-    found = partition_rows(spark, path, key).select(F.col(key).cast("int").alias(key))
+    found = partition_rows(spark, path, key).select(F.col(key).try_cast("int").alias(key))
     span = found.agg(F.min(key).alias("a"), F.max(key).alias("b"))
     if span.first()["a"] is None:
         raise ValueError(f"no {key} partitions in {path}")

@@ -81,6 +81,7 @@ def test_events_and_reports(spark, study, built, folder):
     panels = c.build_panels(spark, study)
     roles = c.build_role_panels(spark, study, population, panels)
     assert set(roles) == {"child", "mother", "father"}
+    assert glob.glob(f"{study.output}/long/mother/MOR_year=*") and glob.glob(f"{study.output}/long/child/year=*")
     events = c.build_events(spark, study, roles)
     types = {r[0] for r in events.select("event_type").distinct().collect()}
     assert {"municipality_change", "mother_income_change", "father_education_change"} <= types
@@ -100,3 +101,10 @@ def test_events_and_reports(spark, study, built, folder):
 def test_without_hospital_registers(spark, study, folder):
     only = c.Study({"bef": study.registers["bef"]}, f"{folder}/out", 2000, 2004)
     assert c.build_cohort(spark, only).count() == 30
+
+
+def test_whole_study_runs_once(spark, study, folder):
+    whole = c.Study(study.registers, f"{folder}/out", 2000, 2004, education_levels=study.education_levels)
+    assert c.build_study(spark, whole) and not c.build_study(spark, whole)
+    for name in ("scd", "events/event_counts", "figures/event_correlation", "baseline", "population/basic_stats"):
+        assert glob.glob(f"{folder}/out/reports/{name}/*.csv"), name

@@ -123,3 +123,28 @@ def test_time_to_event(log):
     got = {(r["event_type"], r["PNR"]): (r["time_to_event"], r["events"]) for r in er.time_to_event(log).collect()}
     assert got["a", "3"] == (1, 1) and got["c", "3"] == (2, 1) and len(got) == 6
     assert {r["PNR"] for r in er.time_to_event(log, "b").collect()} == {"1", "2"}
+
+
+def test_no_events_of_nobody(spark):
+    rows = [(None, 2001, 1), (None, 2002, 5), ("a", 2001, 1), ("a", 2002, 5)]
+    df = spark.createDataFrame(rows, "PNR string, year int, KOM int")
+    for hot in (None, 1):
+        found = ev.identify_events(df, {"move": ev.changed("KOM")}, hot_rows=hot).collect()
+        assert [(r["PNR"], r["year"]) for r in found] == [("a", 2002)]
+
+
+def test_fractions_rise(spark):
+    df = spark.createDataFrame([("a", 1, 10.2, 10.2), ("a", 2, 10.9, 10.9), ("a", 3, 12.0, 12.0)], "PNR string, year int, x double, n double")
+    found = ev.identify_events(df, {"up": ev.increased("x"), "whole": ev.more("n"), "down": ev.decreased("x")}).collect()
+    assert sorted((r["event_type"], r["year"]) for r in found) == [("up", 2), ("up", 3), ("whole", 3)]
+
+
+def test_correlation_of_many_types(spark):
+    from kinpanel.operators import event_reports as er
+
+    df = spark.range(3000).selectExpr("concat('e', id % 40) AS event_type", "CAST(id % 97 AS STRING) AS PNR", "2000 AS year")
+    got = er.event_correlation(df)
+    assert got.count() == 1600 and got.where("event_a = event_b and abs(correlation - 1) > 1e-9").isEmpty()
+    assert er.count_long(df).count() == 40
+    few = er.event_correlation(df, ["e1", "e2", "absent"]).collect()
+    assert len(few) == 9 and all(r["correlation"] is None for r in few if "absent" in (r["event_a"], r["event_b"]))
