@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinpanel.functions.dates import parse_date
 from kinpanel.operators import population as p
+from kinpanel.sources.registers import read_parquet, read_register
 from queries.proxies import register, with_registers
 
 YEARS = (1990, 2010)
@@ -16,6 +17,17 @@ def date_parse(spark, sf):
     return d.select("id", parse_date("text").alias("parsed"))
 
 
+def parquet_scan(spark, sf):
+    """Two tables' files in one scan: columns that one lacks are null."""
+    return read_parquet(spark, [f"{sf}/nation.parquet", f"{sf}/region.parquet"])
+
+
+def register_scan(spark, sf):
+    """A register file with chosen columns, declared types and the period of its name (here: none)."""
+    layout = {"o_custkey": "string", "o_shippriority": "string", "o_totalprice": "double"}
+    return read_register(spark, "orders", f"{sf}/orders.parquet", keep=["o_orderkey", "o_custkey", "o_totalprice", "o_absent", "year", "month"], layout=layout)
+
+
 def birth_window(spark, sf):
     return p.born_between(register(spark, sf, "person"), *YEARS).select("PNR", "FOED_DAG")
 
@@ -91,6 +103,15 @@ people AS (
 """
 
 QUERIES = {
+    "parquet_scan": (
+        parquet_scan,
+        "SELECT * FROM (SELECT n_nationkey, n_name, n_regionkey, NULL AS r_regionkey, NULL AS r_name FROM nation "
+        "UNION ALL SELECT NULL, NULL, NULL, r_regionkey, r_name FROM region)",
+    ),
+    "register_scan": (
+        register_scan,
+        "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice, CAST(NULL AS INT) AS year, CAST(NULL AS INT) AS month FROM orders",
+    ),
     "date_parse": (date_parse, with_registers("dates") + "SELECT id, expected AS parsed FROM dates"),
     "birth_window": (birth_window, with_registers("person") + f"SELECT PNR, FOED_DAG FROM person WHERE {_BORN}"),
     "first_record": (first_record, _CHILDREN + "SELECT * FROM children"),
