@@ -523,3 +523,26 @@ LABELLED_COLUMNS = {
     "akm": ["SOCIO13"],
     "idan": ["JOBKAT", "TILKNYT"],
 }
+
+# -- Fixed values: sections and variables of the baseline table ----------------
+# (section, variable, ...); yearly ones are told for each study year.
+
+BASELINE_INCLUSION_AGE = ("Child Characteristics", "Age at inclusion (years)")
+BASELINE_AGES = [
+    ("Maternal Characteristics", "Mother's age at child birth", "MOR_FDAG"),
+    ("Paternal Characteristics", "Father's age at child birth", "FAR_FDAG"),
+]
+BASELINE_NUMBERS = [
+    ("Maternal Characteristics", "Mother's income (DKK)", True, "MOR_PERINDKIALT_13", 0),
+    ("Paternal Characteristics", "Father's income (DKK)", True, "FAR_PERINDKIALT_13", 0),
+    ("Family Characteristics", "Number of persons in household", False, "ANTPERSH", 1),
+    ("Family Characteristics", "Number of children in family", False, "ANTBOERNF", 1),
+]
+BASELINE_CATEGORIES = [
+    ("Child Characteristics", "Sex", False, "KOEN"),
+    ("Maternal Characteristics", "Mother's education", True, "MOR_EDU_LVL"),
+    ("Maternal Characteristics", "Mother's employment status", True, "MOR_BESKST13"),
+    ("Paternal Characteristics", "Father's education", True, "FAR_EDU_LVL"),
+    ("Paternal Characteristics", "Father's employment status", True, "FAR_BESKST13"),
+    ("Family Characteristics", "Family type", False, "FAMILIE_TYPE"),
+]

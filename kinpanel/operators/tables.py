@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinpanel.fixed_values import STUDY_YEARS
+from kinpanel.fixed_values import BASELINE_AGES, BASELINE_CATEGORIES, BASELINE_INCLUSION_AGE, BASELINE_NUMBERS, STUDY_YEARS
 from kinpanel.functions.dates import years_between
 from kinpanel.functions.text import count_share, mean_median, percent
 from kinpanel.operators.statistics import numeric_statistics
 
 ALL = "all"
-CHILD, MATERNAL, PATERNAL, FAMILY = (f"{s} Characteristics" for s in ("Child", "Maternal", "Paternal", "Family"))
 
 
 def distribution(df: DataFrame, column: str, years: list[int] | None = None, person: str = "PNR") -> DataFrame:
@@ -32,25 +31,18 @@ def _numeric_items(df: DataFrame, reference: Column | None) -> list[tuple[str, s
     has = set(df.columns).__contains__
     items = []
     if has("FOED_DAG") and reference is not None:
-        items.append((CHILD, "Age at inclusion (years)", False, years_between(reference, F.col("FOED_DAG")), 1))
-    for section, who, prefix, birth in ((MATERNAL, "Mother", "MOR_", "MOR_FDAG"), (PATERNAL, "Father", "FAR_", "FAR_FDAG")):
+        items.append((*BASELINE_INCLUSION_AGE, False, years_between(reference, F.col("FOED_DAG")), 1))
+    for section, variable, birth in BASELINE_AGES:
         if has("FOED_DAG") and has(birth):
-            items.append((section, f"{who}'s age at child birth", False, years_between("FOED_DAG", birth), 1))
-        if has(f"{prefix}PERINDKIALT_13"):
-            items.append((section, f"{who}'s income (DKK)", True, F.col(f"{prefix}PERINDKIALT_13").cast("double"), 0))
-    for column, variable in (("ANTPERSH", "Number of persons in household"), ("ANTBOERNF", "Number of children in family")):
+            items.append((section, variable, False, years_between("FOED_DAG", birth), 1))
+    for section, variable, yearly, column, decimals in BASELINE_NUMBERS:
         if has(column):
-            items.append((FAMILY, variable, False, F.col(column).cast("double"), 1))
+            items.append((section, variable, yearly, F.col(column).cast("double"), decimals))
     return items
 
 
 def _category_items(df: DataFrame) -> list[tuple[str, str, bool, str]]:
-    items = [(CHILD, "Sex", False, "KOEN")]
-    for section, who, prefix in ((MATERNAL, "Mother", "MOR_"), (PATERNAL, "Father", "FAR_")):
-        items.append((section, f"{who}'s education", True, f"{prefix}EDU_LVL"))
-        items.append((section, f"{who}'s employment status", True, f"{prefix}BESKST13"))
-    items.append((FAMILY, "Family type", False, "FAMILIE_TYPE"))
-    return [i for i in items if i[3] in df.columns]
+    return [i for i in BASELINE_CATEGORIES if i[3] in df.columns]
 
 
 def _cells(df: DataFrame, items: list[tuple[str, str, bool, Column]], years: list[int], stratum: Column) -> DataFrame:
@@ -90,7 +82,7 @@ def baseline_table(
 
     parts = [
         df.agg(F.count_distinct("PNR").alias("n")).select(
-            F.lit(CHILD).alias("category"),
+            F.lit(BASELINE_INCLUSION_AGE[0]).alias("category"),
             F.lit("Total children").alias("variable"),
             F.lit(None).cast("int").alias("period"),
             F.lit(ALL).alias("stratum"),
