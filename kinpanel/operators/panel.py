@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinpanel.fixed_values import LABELLED_COLUMNS, LABELS
 from kinpanel.functions.labels import MAX_LITERAL_ENTRIES, label
 from kinpanel.operators.columns import prefixed, unique_names
-from kinpanel.operators.scale import HOT_ROWS, MAX_HOT, hot_keys, left_join, one_key, small
+from kinpanel.operators.scale import HOT_ROWS, MAX_HOT, hot_keys, hot_keys_of, left_join, one_key, small
 
 FATHER, MOTHER = "FAR_", "MOR_"
 PERSON = {"child": ("year", "PNR"), "father": ("FAR_year", "FATHER_PNR"), "mother": ("MOR_year", "MOTHER_PNR")}
@@ -32,7 +32,7 @@ def join_parents(
     father, mother = (
         prefixed(register, prefix, key).withColumnRenamed(key, f"__{prefix}key") for prefix in (FATHER, MOTHER)
     )
-    of_parent = {p: hot_keys(population, p, hot_rows, with_null=True) for p in ("FAR_ID", "MOR_ID")}
+    of_parent = hot_keys_of(population, ["FAR_ID", "MOR_ID"], hot_rows, with_null=True)
     if not same_period:
         of_register = hot_keys(register, key, hot_rows)
         out = left_join(

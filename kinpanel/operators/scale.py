@@ -36,10 +36,16 @@ def hot_keys(
     only steers the spreading of rows: a key missed here is joined like any
     other, so results never depend on the estimate.
     """
+    return hot_keys_of(df, [key], hot_rows, with_null)[key]
+
+
+def hot_keys_of(df: DataFrame, keys: list[str], hot_rows: int | None = HOT_ROWS, with_null: bool = False) -> dict[str, list[tuple[object, int]]]:
+    """``hot_keys`` of several columns in one scan."""
     if hot_rows is None:
-        return []
-    top = df.agg(F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {TRACKED})").alias("top")).first()["top"]
-    return [(r["item"], r["count"]) for r in top if r["count"] > hot_rows and (with_null or r["item"] is not None)]
+        return {k: [] for k in keys}
+    sketches = [F.expr(f"approx_top_k(`{k}`, {MAX_HOT}, {TRACKED})").alias(f"t{i}") for i, k in enumerate(keys)]
+    top = df.agg(*sketches).first()
+    return {k: [(r["item"], r["count"]) for r in top[f"t{i}"] if r["count"] > hot_rows and (with_null or r["item"] is not None)] for i, k in enumerate(keys)}
 
 
 def left_join(
