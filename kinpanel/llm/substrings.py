@@ -17,7 +17,9 @@ from kinpanel.llm.common import lookup, partitions, stored
 #: Bytes of a string that counts as repeated, and of the grams by which strings are anchored (a power of two).
 LENGTH, GRAM = 400, 64
 #: Bytes that are anchored at a time, and the depth down to which multikey quicksort goes.
-PIECE, SHALLOW = 1 << 21, GRAM + 32
+PIECE, SHALLOW = 1 << 20, GRAM + 32
+#: Texts of an Arrow batch that are worked on at a time.
+ROWS = 500
 #: Groups of more places than this are solved by counts of windows over the cluster in place of one sorted group.
 GROUP = 50_000
 #: Texts whose ids are few enough (16 bytes each) are picked out of the corpus by broadcast; else by a join.
@@ -89,10 +91,16 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, gram, bytes, anchor, first, last, times). What repeats inside a text is told once, with two times, and
     its other places as covered spans (times 0): a text of one repeated byte gives few rows."""
-    for batch in batches:
+    for batch in _sliced(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         seen: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
         for i, gram, body, a, lo, hi in places(texts):
@@ -233,7 +241,7 @@ def group_cover(members: list[tuple[bytes, int]]) -> list[list[tuple[int, int]]]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         rows = []
         for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             text = text.as_py()
@@ -291,7 +299,7 @@ def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         removed, n, digest = [], [], []
         for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
             text = text.as_py()
