@@ -37,7 +37,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest id stays; repeated rows of it count as copies."""
+    """Of each group of near-duplicate documents the one with the smallest id stays; repeated rows of it count as copies.
+    Rows without an id cannot be told apart by it and stay."""
     groups = near_groups(docs.select("doc_id", "text")).filter("doc_id is not null")
     gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
     gone = stored(gone.filter("not stays or rows > 1"))

@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +18,9 @@ GRAMS_PER_LANG = 20_000
 MOST_LANGS = 400
 ORDERS = (4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 600_000
+_REMEMBERED = 200_000
+#: Rows of an Arrow batch that are worked on at a time.
+_ROWS = 250
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -28,7 +29,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word, n in Counter(_WORD.findall(text.lower())).items():
@@ -124,12 +125,13 @@ def identify(documents: DataFrame, model: dict, text_col: str = "text") -> DataF
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded, see fit()
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
-        for batch in texts:
-            yield pd.DataFrame([scorer(t) for t in batch], columns=["lang_pred", "score"])
+        for batch in batches:
+            found = [scorer(t) for i in range(0, len(batch), _ROWS) for t in batch.slice(i, _ROWS).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
 
+    predict = F.arrow_udf(run, "lang_pred string, score double")
     rest = [c for c in documents.columns if c not in ("lang_pred", "score")]
     return documents.select(*rest, predict(F.col(text_col)).alias("__p")).select(*rest, "__p.lang_pred", "__p.score")
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
-_REMEMBERED = 1_000_000
+_REMEMBERED = 400_000
+#: Rows of an Arrow batch that are worked on at a time.
+_ROWS = 250
 #: Runs that no piece crosses, given that the space sign stands only at the front of pieces.
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -168,13 +170,16 @@ def encode(documents: DataFrame, model_path: str = MODEL, text_col: str = "text"
         spelled = np.zeros(len(encoder.pieces.texts) + 1, bool)
         spelled[list(encoder.byte_ids.values())] = True
         for batch in batches:
-            found = [None if t is None else encoder.encode(t) for t in batch.to_pylist()]
+            found, same = [], []
+            for i in range(0, len(batch), _ROWS):
+                for t in batch.slice(i, _ROWS).to_pylist():
+                    found.append(None if t is None else encoder.encode(t))
+                    same.append(None if t is None else decoder.decode(found[-1].tolist()) == t)
             lengths = np.array([0 if f is None else len(f) for f in found], np.int64)
             ends = np.zeros(len(found) + 1, np.int32)
             np.cumsum(lengths, out=ends[1:])
             flat = np.concatenate([f for f in found if f is not None] or [np.empty(0, np.int32)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(f is None for f in found), False])), pa.array(flat, pa.int32()))
-            same = [None if f is None else decoder.decode(f.tolist()) == t for f, t in zip(found, batch.to_pylist(), strict=True)]
             spelled_out = [0 if f is None else int(spelled[f].sum()) for f in found]
             yield pa.StructArray.from_arrays([lists, pa.array(lengths), pa.array(spelled_out, pa.int64()), pa.array(same, pa.bool_())], names=names)
 
