@@ -19,6 +19,8 @@ WORDS, PERCENT = 5, 75
 PER_BLOCK, FINE = 2.4, 128
 #: Texts of a bucket that are compared at a time.
 CHUNK = 512
+#: Larger buckets are first joined through nearest partners.
+FEW = 32
 #: Texts whose ids are few enough (16 bytes each) are picked out of the corpus by broadcast; else by a join.
 PICKED = 2_000_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -27,7 +29,7 @@ _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 class Shingler:
     """Distinct hashed shingles of a text, sorted. Words are remembered as rows of a table, up to a bound."""
 
-    def __init__(self, size: int = WORDS, most: int = 1_000_000):
+    def __init__(self, size: int = WORDS, most: int = 500_000):
         self.size, self.most = size, most
         self.rows: dict[bytes, int] = {}
         self.table = np.zeros(1024, np.uint64)
@@ -216,8 +218,10 @@ def may_link(na: int, nb: int, sa: bytes, sb: bytes) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) <= bound(na, nb)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that link, by their whole sets."""
+def _linked(pairs: DataFrame, documents: DataFrame, body, info: DataFrame) -> DataFrame:
+    """Pairs that link, by their whole sets, which are read for the classes of these pairs alone."""
+    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = _sets(documents, body, stored(asked.join(info, "cls").select("cls", "text_key")))
     for side in ("a", "b"):
         seen = pairs.groupBy(side).agg(F.count("*").alias("times"))
         mine = stored(sets.select(F.col("cls").alias(side), F.col("tokens").alias(f"t{side}")).join(seen, side))
@@ -235,46 +239,73 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def _across(members: DataFrame, info: DataFrame) -> DataFrame:
+def _across(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
     """Pairs of different components in one bucket whose sizes and sketches allow a link; compared in blocks, not listed.
-    ``members``: bucket, cls, component. Large buckets are dealt over tasks as pairs of chunks."""
+
+    ``members``: bucket, cls, component. Large buckets are dealt over tasks as pairs of chunks. ``nearest``: of a text's
+    possible partners in a block only the one with the nearest sketch.
+    """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     rows = members.join(sizes, "bucket").join(info.select("cls", "n_shingles", "sketch"), "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "component", "n_shingles", "sketch")
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        cls = table.column("cls").to_numpy()
-        comp, n, mine = table.column("component").to_numpy(), table.column("n_shingles").to_numpy(), table.column("mine").to_numpy()
-        raw = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
-        size = min(map(len, raw))
-        bits = np.stack([folded(x, size) for x in raw])
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [], []
-        for x in left:
-            some = right[(comp[right] != comp[x]) & ((right > x) if i == j else True)]
-            lo, hi = np.minimum(n[some], n[x]), np.maximum(n[some], n[x])
-            some = some[lo * 100 >= hi * PERCENT]
-            if len(some):
-                apart = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1)
-                some = some[apart <= (n[some] + n[x]) * (100 - PERCENT) // (100 + PERCENT)]
-                a += [cls[x]] * len(some)
-                b += cls[some].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    place = ["bucket", "i", "j"]
+    dealt = rows.repartition(partitions(members.sparkSession), *place).sortWithinPartitions(*place)
+    found = dealt.mapInArrow(lambda batches: _compared(batches, nearest), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _compared(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come block by block, a block of ``2 * CHUNK`` rows or so at a time."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        i, j = rows[0][1:3]
+        cls, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
+        if comp.min() == comp.max():
+            return []
+        size = min(len(r[7]) for r in rows)
+        bits = np.stack([folded(np.frombuffer(r[7], np.uint8), size) for r in rows])
+        mine = np.array([r[3] for r in rows])
+        right = np.flatnonzero(mine == j)
+        out = []
+        for x in np.flatnonzero(mine == i):
+            some = right[(comp[right] != comp[x]) & ((right > x) if i == j and not nearest else True)]
+            some = some[np.minimum(n[some], n[x]) * 100 >= np.maximum(n[some], n[x]) * PERCENT]
+            apart = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1)
+            close = apart <= (n[some] + n[x]) * (100 - PERCENT) // (100 + PERCENT)
+            if nearest and close.any():
+                out.append((int(cls[x]), int(cls[some[apart.argmin()]])))
+            elif not nearest:
+                out += [(int(cls[x]), int(c)) for c in cls[some[close]]]
+        return out
+
+    at, rows, found = None, [], []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != at:
+                if len(rows) > 1:
+                    found += pairs(rows)
+                at, rows = row[:3], []
+            rows.append(row)
+        yield _pairs(found)
+        found = []
+    if len(rows) > 1:
+        yield _pairs(pairs(rows))
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``, the smallest id reachable by links.
 
     Texts with one set of shingles are a class and link among themselves. Classes that share a key of their parity
     sketches meet in a bucket. First every class is compared with the first of its buckets, which joins large groups of
-    copies with few comparisons; then classes of a bucket that are still in different components are compared in blocks,
-    so no link is lost. A link counts only after both whole sets were compared.
+    copies with few comparisons. Then classes of a bucket that are still in different components are compared in blocks:
+    with the nearest of them as long as that finds links, at last with all, so no link is lost. Sketches only rule
+    pairs out; a link counts after both whole sets were compared.
 
     A null or empty text has no shingles and is alone. With fewer than five words the whole sequence is the one shingle.
     Rows without id take part; their component is the smallest id reached, null if there is none. Rows that repeat an id
@@ -293,15 +324,30 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = 2 * partitions(spark)
     packed = documents.select(body.alias("body")).mapInArrow(lambda batches: _keyed(batches, parts), "part int, keys binary, classes binary")
     met = stored(packed.repartitionById(parts, "part").mapInArrow(_met, "bucket long, first long, cls long"))
-    stars = stored(met.filter("first <> cls").select(F.least("first", "cls").alias("a"), F.greatest("first", "cls").alias("b")).distinct())
-    sets = _sets(documents, body, stored(met.select("cls").distinct().join(info, "cls").select("cls", "text_key")))
-    links = _linked(stored(_likely(stars, info)), sets)
-    reached = stored(components(links))
-    # One bucket name stands for one set of members, which several tasks may have told.
-    members = stored(met.select("bucket", "cls").distinct().join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    open_ = members.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("bucket")
-    more = _linked(stored(_across(stored(members.join(open_, "bucket")), info)), sets)
-    whole = stored(components(links.unionByName(more)))
+    stars = met.filter("first <> cls").select(F.least("first", "cls").alias("a"), F.greatest("first", "cls").alias("b")).distinct()
+    links = _linked(stored(_likely(stored(stars), info)), documents, body, info)
+    whole = stored(components(links))
+    # One bucket name stands for one set of members, which several tasks may have told. In a bucket of two classes all is said.
+    members = met.select("bucket", "cls").distinct()
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 2")
+    members = stored(members.join(several, "bucket"))
+    nearest = True
+    while True:
+        # Small buckets wait for the last pass, which compares all pairs that are left.
+        some = members.filter(F.col("n") > FEW) if nearest else members
+        placed = some.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        open_ = placed.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("bucket")
+        apart = stored(placed.join(open_, "bucket").select("bucket", "cls", "component"))
+        found = 0
+        if apart.limit(1).count():
+            more = _linked(stored(_across(apart, info, nearest)), documents, body, info)
+            found = more.limit(1).count()
+        if found:
+            links = stored(links.unionByName(more))
+            whole = stored(components(links))
+        if not nearest:
+            break
+        nearest = bool(found)
     named = info.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "component", "least_id")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     per_class = stored(named.join(least, "component").join(filled.groupBy("cls").agg(F.count("*").alias("rows")), "cls").select("cls", "component_id", "rows"))
