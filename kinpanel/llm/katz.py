@@ -30,8 +30,8 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _packed(value) -> bytearray:
-    return bytearray(zstandard.compress(pickle.dumps(value, 5), 3))
+def _packed(value, level: int = 3) -> bytearray:
+    return bytearray(zstandard.compress(pickle.dumps(value, 5), level))
 
 
 def _unpacked(blob):
@@ -44,23 +44,26 @@ class Chunk:
     def __init__(self, blobs):
         self.rows = [row for blob in blobs for row in _unpacked(blob)]
         numbers: dict[bytes, int] = {}
-        each = [np.array([numbers.setdefault(w, len(numbers)) for w in (body or b"").lower().split()], np.int64) for _, _, body in self.rows]
+        each = [np.array([numbers.setdefault(w, len(numbers)) for w in (body or b"").lower().split()], np.int32) for _, _, body in self.rows]
+        self.rows = [row[:2] for row in self.rows]
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
         self.hashes = np.append(self.hashes, END)
         end = len(numbers)
         self.sizes = np.array([len(x) + 1 for x in each], np.int64)
-        parts = [y for x in each for y in (x, np.array([end]))]
-        self.tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        self.doc = np.repeat(np.arange(len(self.rows)), self.sizes)
-        self.train = np.array([not held for _, held, _ in self.rows], bool)
+        last = np.array([end], np.int32)
+        parts = [y for x in each for y in (x, last)]
+        self.tokens = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        self.doc = np.repeat(np.arange(len(self.rows), dtype=np.int32), self.sizes)
+        self.train = np.array([not held for _, held in self.rows], bool)
 
     def bigrams(self):
         """(context, word, training count, number of places, documents of the places) of each distinct bigram; the
         context of a first word is numbered one above the end."""
         start = len(self.hashes)
-        before = np.concatenate([[start], self.tokens[:-1]]) if len(self.tokens) else self.tokens
-        before[np.cumsum(self.sizes)[:-1]] = start
-        code, place = np.unique(before * (start + 1) + self.tokens, return_inverse=True)
+        code = np.empty(len(self.tokens), np.int64)
+        code[1:] = self.tokens[:-1]
+        code[np.cumsum(self.sizes) - self.sizes] = start
+        code, place = np.unique(code * (start + 1) + self.tokens, return_inverse=True)
         seen = np.bincount(place, weights=self.train[self.doc], minlength=len(code)).astype(np.int64)
         return code // (start + 1), code % (start + 1), seen, np.bincount(place, minlength=len(code)), self.doc[np.argsort(place, kind="stable")]
 
@@ -253,7 +256,7 @@ def _finished(pair, parts: int, stats: dict[str, int]):
     score = np.zeros(len(chunk.rows))
     for part in sorted(bytes(s) for _, s in sums):  # one order of adding, whatever arrives first
         score += np.frombuffer(part)
-    for i, (doc, held, _) in enumerate(chunk.rows):
+    for i, (doc, held) in enumerate(chunk.rows):
         yield doc, held, int(chunk.sizes[i]), int(found[i]), n, float(base[i]), float(score[i])
 
 
@@ -270,7 +273,7 @@ def _chunks(documents: DataFrame, id_col: str, text_col: str, parts: int) -> RDD
                 for row in rows:
                     dealt.setdefault(at % parts, []).append(row)
                     at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([bytes(_packed(d)) for d in dealt.values()], pa.binary())], names=["chunk", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([bytes(_packed(d, 9)) for d in dealt.values()], pa.binary())], names=["chunk", "rows"])
 
     rows = documents.select(F.col(id_col).alias("doc_id"), held_out(id_col, FOLDS).alias("held"), F.col(text_col).cast("binary").alias("body"))
     return rows.mapInArrow(run, "chunk int, rows binary").rdd.map(tuple)
@@ -302,7 +305,7 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = documents.sparkSession
     size = documents.select(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
-    parts = max(partitions(spark), size // CHUNK_BYTES + 1)
+    parts = max(partitions(spark) * 3 // 2, size // CHUNK_BYTES + 1)
     add = lambda a, b: a + b
     chunks = _dealt(_chunks(documents, id_col, text_col, parts), parts)
     requests = _dealt(chunks.mapPartitionsWithIndex(lambda i, it: _word_counts(i, it, parts)), parts)
