@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import RDD
+from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +39,12 @@ def _unpacked(blob):
 
 
 class Chunk:
-    """Documents of one partition as word numbers. Words are numbered in order of appearance; the end comes last."""
+    """Documents of one partition as word numbers. Words are numbered in order of appearance; the end comes last. The chunk is
+    built several times, and what was told of one building is laid over the next: blobs are taken in order of their places,
+    since they arrive in any order."""
 
     def __init__(self, blobs):
-        self.rows = [row for blob in blobs for row in _unpacked(blob)]
+        self.rows = [row for _, blob in sorted(blobs) for row in _unpacked(blob)]
         numbers: dict[bytes, int] = {}
         each = [np.array([numbers.setdefault(w, len(numbers)) for w in (body or b"").lower().split()], np.int32) for _, _, body in self.rows]
         self.rows = [row[:2] for row in self.rows]
@@ -261,10 +263,11 @@ def _finished(pair, parts: int, stats: dict[str, int]):
 
 
 def _chunks(documents: DataFrame, id_col: str, text_col: str, parts: int) -> RDD:
-    """Documents dealt in turn into ``parts`` chunks, compressed."""
+    """Documents dealt in turn into ``parts`` chunks, compressed: chunk, (place, blob). The place is that of the rows in the
+    input, by partition and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
+        at, place = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 some = batch.slice(start, 2000)
@@ -273,10 +276,12 @@ def _chunks(documents: DataFrame, id_col: str, text_col: str, parts: int) -> RDD
                 for row in rows:
                     dealt.setdefault(at % parts, []).append(row)
                     at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([bytes(_packed(d, 9)) for d in dealt.values()], pa.binary())], names=["chunk", "rows"])
+                columns = [pa.array(list(dealt), pa.int32()), pa.array([place] * len(dealt), pa.int64()), pa.array([bytes(_packed(d, 9)) for d in dealt.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "rows"])
+                place += 1
 
     rows = documents.select(F.col(id_col).alias("doc_id"), held_out(id_col, FOLDS).alias("held"), F.col(text_col).cast("binary").alias("body"))
-    return rows.mapInArrow(run, "chunk int, rows binary").rdd.map(tuple)
+    return rows.mapInArrow(run, "chunk int, place long, rows binary").rdd.map(lambda r: (r[0], (r[1], r[2])))
 
 
 def _dealt(rdd: RDD, parts: int) -> RDD:
@@ -301,7 +306,8 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     chunks. Each chunk asks the owners of its words for their counts; then it sends its distinct bigrams, with the documents
     that have them, to the owners of their contexts, which hold the partitioned table of counts, weigh the contexts and send
     sums by document back. Both tables are read twice from one shuffle (counts of counts, then answers); a lost
-    executor's part is made again from its inputs. The driver holds counts of counts and fewer than ``HOT`` hot words.
+    executor's part is made again from its inputs, whose partitions must then give their rows in the same order, as files do.
+    Shuffled blocks may arrive in any order. The driver holds counts of counts and fewer than ``HOT`` hot words.
     """
     spark = documents.sparkSession
     size = documents.select(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]

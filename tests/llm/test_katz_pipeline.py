@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,6 +94,23 @@ def test_scores_of_odd_rows(odd, none, clash):
     assert katz.score_documents(none).count() == 0 and katz.score_documents(clash).count() == len(ODD)
 
 
+def test_scores_do_not_hang_on_arrival_order(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % (7 + i % 50)}" for j in range(1, 4 + i % 17))) for i in range(600)]
+    dealt = katz._dealt
+
+    def in_any_order(rdd, parts):
+        def mixed(items):
+            items = list(items)
+            random.SystemRandom().shuffle(items)  # another order at each reading
+            return iter(items)
+
+        return dealt(rdd, parts).mapPartitions(mixed)
+
+    monkeypatch.setattr(katz, "_dealt", in_any_order)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")
+    _check(rows, katz.score_documents(docs).collect())
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     assert sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in katz.score_documents(docs).collect()) == [(1, 0, 0.0, 0.0), (3, 0, 0.0, 0.0)]
