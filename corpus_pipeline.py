@@ -28,7 +28,10 @@ def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines of a source out of the texts; ``n_chars`` follows the text. No document goes."""
+    """Takes boilerplate lines of a source out of the texts; ``n_chars`` follows the text. No document goes.
+
+    Copies are pages of their own: a text whose copies are more than a tenth of a source (and at least five) is boilerplate as a
+    whole. All copies stay as empty rows, which the next stage links with nothing, so none of that text of the source goes on."""
     out = dedup_lines(docs, "source", "text")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

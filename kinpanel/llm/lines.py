@@ -47,7 +47,8 @@ def dedup_lines(pages: DataFrame, host_col: str, text_col: str, max_ratio: float
 
     No row is dropped: a page of boilerplate only keeps an empty text. Blank lines always stay. Rows without a host form
     one host of their own. A null text stays null with 0 lines and is no page of its host; an empty text is a page with
-    one blank line. Repeated rows count as pages of their own. Other columns are kept as they are; the columns
+    one blank line. Repeated rows count as pages of their own: when copies of one text are more than ``max_ratio`` of a host's
+    pages (and at least ``min_pages``), all its lines are boilerplate and every copy keeps an empty text. Other columns are kept as they are; the columns
     ``n_lines`` and ``n_dropped`` of the input, if any, are replaced. An empty table gives an empty table.
     Hosts are looked up without moving the texts of large hosts (see ``lookup``).
     """

@@ -157,6 +157,16 @@ def test_stages_survive_odd_tables(spark, odd, tmp_path, rows):
     assert docs.count() >= 0
 
 
+def test_text_of_many_copies_is_boilerplate(spark):
+    copied = "first line of the copy\n\nlast line of the copy"
+    rows = [(i, copied, "en", "a", 99) for i in range(6)] + [(i, f"own text number {i} of this page", "en", "a", 99) for i in range(6, 18)] + [(20, copied, "en", "b", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_boilerplate(spark, docs, ""), "").collect()
+    left = {r.doc_id: (r.text, r.n_chars) for r in out}
+    assert [left[i] for i in range(6)] == [("", 0)] * 6  # the six copies stay, empty
+    assert left[20] == (copied, 99) and len([i for i in left if 6 <= i < 18 and left[i][0]]) >= 1
+
+
 def test_near_copies_keep_one_of_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(2, text), (1, text), (1, text), (5, "other text of its own"), (None, text)], "doc_id long, text string")
