@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinpanel.llm.common import shared_folder, stored
+from kinpanel.llm.common import lookup, shared_folder, stored, text_hash
 from kinpanel.llm.jaccard import near_groups
 from kinpanel.llm.language import fit, held_out, identify
 from kinpanel.llm.lines import dedup_lines
@@ -40,15 +40,24 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest id stays; repeated rows of it count as copies.
-    Rows without an id cannot be told apart by it and stay."""
-    groups = near_groups(docs.select("doc_id", "text")).filter("doc_id is not null")
-    gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
-    gone = stored(gone.filter("not stays or rows > 1"))
-    rest = docs.join(gone.filter("not stays").select("doc_id"), "doc_id", "left_anti")
-    if gone.filter("stays").limit(1).count():
-        rest = rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
-    return rest.select(*docs.columns)
+    """Of each group of near-duplicate documents the one with the smallest id stays. Where rows repeat an id, each goes by its own
+    text: of the rows of one id in one group the least in order of the columns stays, rows in different groups all stay.
+    Texts without words are in one group only where they are equal, null counting as empty. Rows without an id cannot be
+    told apart by it and stay."""
+    groups = near_groups(docs.select("doc_id", "text"), by_text=True).filter("doc_id is not null")
+    stays = F.max(F.col("doc_id") == F.col("component_id")).alias("__stays")
+    texts = stored(groups.groupBy("doc_id", F.col("text_key").alias("__text"), F.col("component").alias("__group")).agg(stays, F.count("*").alias("__rows")))
+    first = texts.filter("__stays")
+    shared = stored(first.groupBy("doc_id", "__group").agg(F.count("*").alias("__texts"), F.sum("__rows").alias("__n")).filter("__n > 1").drop("__n"))
+    repeated = lookup(first, shared, ["doc_id", "__group"], "__texts", texts.count()).select(*texts.columns)
+    marked = stored(texts.filter("not __stays").unionByName(repeated))
+    rows, key, total = docs.withColumn("__text", text_hash("text")), ["doc_id", "__text"], docs.count()
+    rest = lookup(rows, marked, key, "__rows", total, how="left").filter("__stays is null").select(*docs.columns)
+    again = marked.filter("__stays")
+    if again.limit(1).count():
+        least = lookup(rows, again, key, "__rows", total).groupBy("doc_id", "__group").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+        rest = rest.unionByName(least.select("__row.*"))
+    return rest
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,8 +298,10 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``, the smallest id reachable by links.
+def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``, the smallest id reachable by links; with ``by_text`` also
+    ``text_key`` (see ``text_hash``) and ``component``, which tells components apart where ids repeat. A text without shingles has
+    its ``text_key`` for a component.
 
     Texts with one set of shingles are a class and link among themselves. Classes that share a key of their parity
     sketches meet in a bucket. First every class is compared with the first of its buckets, which joins large groups of
@@ -350,11 +352,12 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         nearest = bool(found)
     named = info.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "component", "least_id")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    per_class = stored(named.join(least, "component").join(filled.groupBy("cls").agg(F.count("*").alias("rows")), "cls").select("cls", "component_id", "rows"))
+    per_class = stored(named.join(least, "component").join(filled.groupBy("cls").agg(F.count("*").alias("rows")), "cls").select("cls", "component_id", "rows", *(["component"] if by_text else [])))
     # A class may hold any part of the rows.
-    alone = described.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = spread_join(filled.select("doc_id", "n_shingles", "cls"), per_class, "cls", "rows", filled.count())
-    return joined.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    keys = ["text_key"] if by_text else []
+    alone = described.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *keys, *(F.col(k).alias("component") for k in keys))
+    joined = spread_join(filled.select("doc_id", "n_shingles", "cls", *keys), per_class, "cls", "rows", filled.count())
+    return joined.select(*alone.columns).unionByName(alone)
 
 
 def _sets(documents: DataFrame, body, wanted: DataFrame) -> DataFrame:

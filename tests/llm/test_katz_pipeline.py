@@ -174,6 +174,17 @@ def test_near_copies_keep_one_of_repeated_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 5), (True, 0)]
 
 
+def test_near_copies_tell_rows_of_one_id_apart(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "wv")
+    near = one + " more"
+    rows = [(1, one), (1, two), (1, near), (2, near), (2, "a text of its own kind"), (3, ""), (3, ""), (3, "words of three"), (None, two), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    for parts in (1, 5):
+        kept = corpus_pipeline.drop_near_copies(spark, docs.repartition(parts), "").collect()
+        want = [(1, one), (1, two), (2, "a text of its own kind"), (3, ""), (3, "words of three"), (None, two), (None, two)]
+        assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
+
+
 def test_every_operator_is_registered(spark):
     import __spark_entry__ as entry
 
