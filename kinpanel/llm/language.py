@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the classifier: labelled rows read for it a language (by hash, expected number), words and n-grams kept.
+#: Bounds of the classifier: different labelled texts read for it a language, words and n-grams kept.
 DOCS_PER_LANG = 2000
 WORDS_PER_LANG = 50_000
 GRAMS_PER_LANG = 20_000
@@ -48,23 +48,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> dict:
     """Word and n-gram log frequencies of each language, from a bounded, repeatable sample of the labelled rows.
 
-    Rows without text or language are left out. The sample takes each row by the hash of its text at the rate that gives
-    ``docs_per_lang`` rows a language; the model keeps the most frequent words and n-grams, so it has a size bound:
+    Rows without text or language are left out. The sample holds, of the different texts of a language, the ``docs_per_lang``
+    with the least hashes (all where there are fewer), each once however often it is repeated. A language whose chosen texts
+    hold no letter is not learned. More than ``MOST_LANGS`` languages are an error, not a choice of some of them. The model
+    keeps the most frequent words and n-grams, so it has a size bound:
     {langs: [...], tables: {size: {gram: row}}, logs: {size: matrix}} where size 0 stands for words.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = dict(rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect())
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = dict(rows.select("lang", "h").distinct().groupBy("lang").count().limit(MOST_LANGS + 1).collect())
     if len(sizes) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return {"langs": [], "tables": {}, "logs": {}}
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, docs_per_lang / n))]), F.col("lang"))
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate * 1_000_000)
+    # Hashes are even over 64 bits: below this cut are twice the texts wanted and some more, of which the least are taken.
+    cuts = {k: int(min((2 * docs_per_lang + 100) / n, 1.0) * (2**64 - 2**12)) - 2**63 if n > docs_per_lang else 2**63 - 1 for k, n in sizes.items()}
+    cut = F.element_at(F.create_map(*[F.lit(x) for k, c in sorted(cuts.items()) for x in (k, c)]).cast("map<string,long>"), F.col("lang"))
+    least = Window.partitionBy("lang").orderBy("h")
+    keys = rows.select("lang", "h").filter(F.col("h") <= cut).distinct().withColumn("k", F.row_number().over(least)).filter(F.col("k") <= docs_per_lang)
+    last = F.create_map(*[F.lit(x) for k, h in sorted(keys.groupBy("lang").agg(F.max("h")).collect()) for x in (k, h)]).cast("map<string,long>")
+    chosen = rows.filter(F.col("h") <= F.element_at(last, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
     counted = chosen.select("lang", "text").mapInArrow(_counted, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= F.when(F.col("size") == 0, WORDS_PER_LANG).otherwise(GRAMS_PER_LANG))
     found = sorted((r["size"], r["gram"], r["lang"], r["n"]) for r in top.select("lang", "size", "gram", "n").toLocalIterator())
-    langs = sorted(sizes)
+    langs = sorted({f[2] for f in found})
     tables, logs = {}, {}
     for size in (0, *ORDERS):
         mine = [f for f in found if f[0] == size]

@@ -60,6 +60,22 @@ def test_odd_rows(odd, none, clash):
     assert pieces.encode(none).count() == 0
 
 
+def test_language_sample_is_bounded_and_holds_every_language(spark):
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05}")
+    rows = [("many", word(i)) for i in range(900)] + [("many", word(7))] * 500  # more than a third are copies
+    for k in range(20):
+        rows += [(f"copies{k:02}", "klmnopqrst"[k % 10] * 4 + "uv"[k // 10] * 3)] * 300
+    rows += [("none", "123 456")] * 300
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string").repartition(4), docs_per_lang=100)
+    assert model["langs"] == [*(f"copies{k:02}" for k in range(20)), "many"]
+    logs, column = model["logs"][0], model["langs"].index("many")
+    seen = logs[:, column] > logs[:, column].min()
+    assert seen.sum() == 100 and len(set(logs[seen, column].round(9))) == 1  # a copied text counts once
+    scorer = language.Scorer(model)
+    for lang, text in {r for r in rows if r[0].startswith("copies")}:
+        assert scorer(text)[0] == lang
+
+
 def test_language_is_right_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs.filter(~language.held_out()))
