@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kinpanel.llm import exact, jaccard, katz, language, licenses, lines, mixing, pieces, substrings, vectors
+from kinpanel.llm import alignment, exact, jaccard, katz, language, licenses, lines, mixing, pieces, substrings, vectors
 
 QUERIES = {
     "op10_suffix_dedup": (substrings.op10_suffix_dedup, None),
+    "op11_token_alignment": (alignment.op11_token_alignment, None),
     "op1_source_mix": (mixing.op1_source_mix, None),
     "op2_sentencepiece": (pieces.op2_sentencepiece, None),
     "op3_exact_dedup": (exact.op3_exact_dedup, exact.EXACT_SQL),
