@@ -300,7 +300,7 @@ def _blob(number: np.ndarray, times: np.ndarray) -> bytes:
 _FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 
 
-def _merged(batches: Iterator[pa.RecordBatch], byte_file, piece_file) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], byte_file, piece_file, block_bytes: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     a, b = byte_level(byte_file.value), piece_level(piece_file.value)
     sizes = tuple(np.array([len(x) for x in t[1]], np.int64) for t in (a, b))
     chunk, kind = TaskContext.get().partitionId() << 32, pa.null()
@@ -312,10 +312,10 @@ def _merged(batches: Iterator[pa.RecordBatch], byte_file, piece_file) -> Iterato
             ids.append(doc.as_py())
             texts.append(body)
             held += len(body or b"") + 64
-            if held >= BLOCK_BYTES:
+            if held >= block_bytes:
                 blocks.append(Block(ids, texts, a, b, sizes))
                 ids, texts, held, done = [], [], 0, done + held
-            if done >= CHUNK_BYTES:
+            if done >= chunk_bytes:
                 yield from _chunk_rows(chunk, blocks, kind)
                 blocks, done, chunk = [], 0, chunk + 1
     if ids:
@@ -358,7 +358,7 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
     return [0, *cut.tolist()] if len(x) else [], [*cut.tolist(), len(x)] if len(x) else []
 
 
-def align(documents: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def align(documents: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Figures of every document, and the corpus's links: ``a, b, n`` (documents that hold the pair linked) and ``best`` (none of
     the A id's pairs is in more documents).
 
@@ -369,7 +369,7 @@ def align(documents: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str =
     tokenizer changes, has no tokens: zeros and an empty digest. Repeated rows are documents of their own; null ids stay null.
     Other columns are not read. An empty table gives empty tables.
 
-    Texts are read once, in blocks of ``BLOCK_BYTES``, whose documents are merged in lockstep (see ``lockstep``). About ``CHUNK_BYTES`` of
+    Texts are read once, in blocks of ``block_bytes``, whose documents are merged in lockstep (see ``lockstep``). About ``chunk_bytes`` of
     text form a chunk, which counts its pairs, so that a pair is shuffled once a chunk however many documents hold it. The
     sums go back to the chunks, which are read in order: pairs, groups as pairs, documents as groups. A task holds one chunk's pairs and
     groups; documents pass by one batch after the other. Memory follows the longest text, about 60 bytes for each of its bytes.
@@ -383,7 +383,7 @@ def align(documents: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str =
     kind = documents.schema[id_col].dataType.simpleString()
     own = f"doc_id {kind}, {', '.join(f'{k} long' for k in _FIGURES)}, groups_sha256 string"
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    parts = stored(rows.mapInArrow(lambda it: _merged(it, byte_file, piece_file), f"chunk long, kind int, place int, a int, b int, docs long, {own}, data binary"))
+    parts = stored(rows.mapInArrow(lambda it: _merged(it, byte_file, piece_file, block_bytes, chunk_bytes), f"chunk long, kind int, place int, a int, b int, docs long, {own}, data binary"))
     pairs = parts.filter(F.col("kind") == _PAIR).select("chunk", "kind", "place", "a", "b", "docs")
     counts = pairs.groupBy("a", "b").agg(F.sum("docs").alias("n"))
     most = counts.groupBy("a").agg(F.max("n").alias("most"))

@@ -66,15 +66,13 @@ def rows(df):
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_against_a_plain_merge(spark, odd, monkeypatch, small):
-    if small:  # many blocks and chunks, several states a document
-        for name, value in (("BLOCK_BYTES", 2000), ("CHUNK_BYTES", 6000), ("_SLICE", 50), ("LANE", 3)):
-            monkeypatch.setattr(alignment, name, value)
+def test_against_a_plain_merge(spark, odd, small):
+    sizes = {"block_bytes": 2000, "chunk_bytes": 6000} if small else {}
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
     texts = [(100 + i, t) for i, t in enumerate(TEXTS)]
     short = odd.select("doc_id", "text").filter("text is null or length(text) < 10000")
     docs = given.unionByName(short).unionByName(spark.createDataFrame(texts, "doc_id long, text string")).repartition(3)
-    figures, links = align(docs)
+    figures, links = align(docs, **sizes)
     expected, pairs = plain([(r[0], r[1]) for r in docs.collect()])
     assert rows(figures) == expected
     assert {(r["a"], r["b"]): (r["n"], r["best"]) for r in links.collect()} == pairs
@@ -98,6 +96,16 @@ def test_lockstep_by_lanes():
     assert lockstep(a[:0], b[:0], np.array([], np.int64))[2].tolist() == []
 
 
+def test_pairs_in_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    n_a, n_b = rng.integers(1, 9, 300), rng.integers(1, 9, 300)
+    g = Groups(rng.integers(0, 4, n_a.sum()), n_a, rng.integers(0, 4, n_b.sum()), n_b)
+    whole = g.pairs()
+    monkeypatch.setattr(alignment, "_SLICE", 7)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, g.pairs(), strict=True))
+    assert whole[2].sum() == (n_a * n_b).sum()
+
+
 def test_groups_are_told_apart_by_their_ids():
     g = Groups(np.array([1, 2, 1, 2, 1, 2, 7]), np.array([2, 2, 1, 2]), np.array([3, 3, 3, 4, 3]), np.array([1, 1, 2, 1]))
     different, number = g.distinct()
