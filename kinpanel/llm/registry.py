@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kinpanel.llm import alignment, exact, jaccard, katz, language, licenses, lines, mixing, pieces, substrings, trie, vectors
+from kinpanel.llm import alignment, contamination, exact, jaccard, katz, language, licenses, lines, mixing, pieces, substrings, trie, vectors
 
 QUERIES = {
     "op10_suffix_dedup": (substrings.op10_suffix_dedup, None),
     "op11_token_alignment": (alignment.op11_token_alignment, None),
     "op12_prefix_trie": (trie.op12_prefix_trie, trie.TRIE_SQL),
+    "op13_contamination": (contamination.op13_contamination, contamination.CONTAMINATION_SQL),
     "op1_source_mix": (mixing.op1_source_mix, None),
     "op2_sentencepiece": (pieces.op2_sentencepiece, None),
     "op3_exact_dedup": (exact.op3_exact_dedup, exact.EXACT_SQL),
