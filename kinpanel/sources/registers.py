@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinpanel.fixed_values import BEF_FAMILY, MFR, PANEL_DROPS, REGISTERS
 from kinpanel.functions.dates import file_month, file_year, parse_date
-from kinpanel.operators.columns import apply_layout, in_order_of, keep_existing, keep_or_drop, require
-
-
-def read_parquet(spark: SparkSession, path: str | list[str], merge: bool = True) -> DataFrame:
-    """A file, folder or glob; files may lack columns that others have."""
-    paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.option("mergeSchema", merge).parquet(*paths)
+from kinpanel.operators.columns import apply_layout, in_order_of, keep_existing, keep_or_drop
+from kinpanel.sources.schemas import read_each, read_reconciled, together
 
 
-def read_by_type(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
-    """The files as one table, or, where a column's type changes between files, as one table for each set of types.
-
-    File schemas are looked at one by one only after merging them has failed; there is a file per year or month.
-    """
-    try:
-        return [read_parquet(spark, path)]
-    except Py4JJavaError as e:
-        if "CANNOT_MERGE" not in str(e):
-            raise
-    by_types: dict[str, list[str]] = {}
-    for file in sorted(read_parquet(spark, path, merge=False).inputFiles()):
-        by_types.setdefault(spark.read.parquet(file).schema.json(), []).append(file)
-    return [read_parquet(spark, files) for files in by_types.values()]
+def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A file, folder or glob; files may lack columns that others have, and have columns of other types (see ``read_reconciled``)."""
+    return read_reconciled(spark, path)
 
 
 def with_period(df: DataFrame) -> DataFrame:
@@ -78,40 +59,43 @@ def read_register(
             df = keep_or_drop(df, drop=drop if drop is not None else PANEL_DROPS.get(name, []))
         return apply_layout(df, {c: t for c, t in wanted.items() if c in df.columns}, cast)
 
-    # Types differ between files at most before they are cast to the layout.
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(shaped, read_by_type(spark, path)))
+    df = read_reconciled(spark, path, shaped)
     return in_order_of(df, ["year", "PNR"]) if ordered else df
 
 
+def _require_any(frames: list[DataFrame], names: list[str]) -> None:
+    """Every column must be in some file; the others have nulls there."""
+    missing = [c for c in names if not any(c in df.columns for df in frames)]
+    if missing:
+        raise ValueError("missing columns: " + ", ".join(missing))
+
+
+def _people(df: DataFrame, columns: dict[str, str], born: str) -> DataFrame:
+    """Person columns as text under common names, the birth date parsed, the file's period."""
+    text = [(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(n) for c, n in columns.items() if c != born]
+    date = parse_date(born, df.schema[born].dataType) if born in df.columns else F.lit(None).cast("date")
+    return with_period(df).select(*text, date.alias("FOED_DAG"), "year", "month")
+
+
 def read_population(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Family columns of the population register as text, birth dates parsed, with the file's period."""
-    df = read_parquet(spark, path)
-    require(df, BEF_FAMILY)
-    born = parse_date("FOED_DAG", df.schema["FOED_DAG"].dataType)
-    typed = with_period(df)
-    ids = [F.col(c).cast("string").alias(c) for c in BEF_FAMILY if c != "FOED_DAG"]
-    return typed.select(*ids, born.alias("FOED_DAG"), "year", "month")
+    frames = read_each(spark, path)
+    _require_any(frames, BEF_FAMILY)
+    return together([_people(df, {c: c for c in BEF_FAMILY}, "FOED_DAG") for df in frames])
 
 
 def read_births(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
     """Birth register under the population register's names, or None where there are no files.
 
-    A file without a needed column is an error.
+    A needed column that no file has is an error.
     """
     try:
-        df = read_parquet(spark, path)
+        frames = read_each(spark, path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    require(df, list(MFR))
-    born = parse_date("FOEDSELSDATO", df.schema["FOEDSELSDATO"].dataType)
-    return with_period(df).select(
-        F.col("CPR_BARN").cast("string").alias("PNR"),
-        F.col("CPR_FADER").cast("string").alias("FAR_ID"),
-        F.col("CPR_MODER").cast("string").alias("MOR_ID"),
-        born.alias("FOED_DAG"),
-        F.lit(None).cast("string").alias("FAMILIE_ID"),
-        "year",
-        "month",
-    )
+    _require_any(frames, list(MFR))
+    names = {"CPR_BARN": "PNR", "CPR_FADER": "FAR_ID", "CPR_MODER": "MOR_ID"}
+    rows = together([_people(df, names | {"FOEDSELSDATO": "FOED_DAG"}, "FOEDSELSDATO") for df in frames])
+    return rows.withColumn("FAMILIE_ID", F.lit(None).cast("string")).select("PNR", "FAR_ID", "MOR_ID", "FOED_DAG", "FAMILIE_ID", "year", "month")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinpanel.sources.schemas import read_reconciled
+
 # About 1 GiB of a narrow panel; writers start a new file beyond it.
 ROWS_PER_FILE = 20_000_000
 
@@ -38,8 +40,8 @@ def write_panel(
 
 
 def read_panel(spark: SparkSession, path: str, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
-    """Panel, optionally for a range of years; other years' folders are not read."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+    """Panel, optionally for a range of years; other years' folders are not read. Years may differ in columns and types."""
+    df = read_reconciled(spark, path, base=path)
     if first_year is not None:
         df = df.where(F.col("year") >= first_year)
     if last_year is not None:

@@ -98,8 +98,8 @@ def year_gaps(spark, sf):
 
 
 def renamed_duplicates(spark, sf):
-    rows = table(spark, sf, "nation")
-    return c.unique_names(rows.select("n_nationkey", "n_name", "n_name", "n_regionkey", "n_name"))
+    rows = table(spark, sf, "customer")
+    return c.unique_names(rows.select("c_custkey", "c_name", "c_name", "c_nationkey", "c_name"))
 
 
 def panel_in_order(spark, sf):
@@ -187,7 +187,7 @@ QUERIES = {
     ),
     "renamed_duplicates": (
         renamed_duplicates,
-        "SELECT n_nationkey, n_name, n_name AS n_name_1, n_regionkey, n_name AS n_name_2 FROM nation",
+        "SELECT c_custkey, c_name, c_name AS c_name_1, c_nationkey, c_name AS c_name_2 FROM customer",
     ),
     "panel_in_order": (panel_in_order, with_registers("ind") + "SELECT * FROM ind ORDER BY year, PNR"),
 }
