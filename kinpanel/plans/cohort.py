@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinpanel.fixed_values import FIRST_BIRTH_YEAR, LAST_BIRTH_YEAR
 from kinpanel.operators import event_reports as er
@@ -15,14 +19,16 @@ from kinpanel.operators import statistics as st
 from kinpanel.operators.events import EVENTS, Event, identify_events
 from kinpanel.operators.panel import PERSON, add_education_level, join_parent, join_register, label_codes, split_roles, stack_registers
 from kinpanel.operators.tables import baseline_table, baseline_text
-from kinpanel.plans.zones import write_zones
-from kinpanel.sources.manifest import is_changed, mark_done
+from kinpanel.plans.zones import write_domains, write_health, write_people, write_zones
+from kinpanel.sources.manifest import Change, catalogue, find_change, is_changed, mark_done, read_manifest, write_catalogue
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
-from kinpanel.sources.tables import check_partitions, read_panel, write_listing, write_panel, write_report, write_table
+from kinpanel.sources.tables import check_partitions, exists, of_years, partition_rows, read_panel, write_listing, write_panel, write_report, write_table
 
 log = logging.getLogger(__name__)
 
 YEARLY = ("bef", "uddf", "ind", "akm", "idan")
+#: Name of the folder of rows without a year.
+NO_YEAR = "__HIVE_DEFAULT_PARTITION__"
 HOSPITAL = ("lpr_adm", "lpr_diag", "lpr_bes", "lpr3_kontakter", "lpr3_diagnoser")
 
 
@@ -38,6 +44,8 @@ class Study:
     with_labels: bool = False
     dictionaries: dict[str, DataFrame] = field(default_factory=dict)
     education_levels: DataFrame | None = None
+    #: By register: applied to the rows of its files before columns are kept and typed.
+    prepare: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
 
 def build_population(spark: SparkSession, study: Study) -> DataFrame:
@@ -74,46 +82,95 @@ def build_health(spark: SparkSession, study: Study) -> DataFrame | None:
     return spark.read.parquet(f"{study.output}/health")
 
 
-def build_panels(spark: SparkSession, study: Study) -> dict[str, DataFrame]:
-    """Yearly panels of the registers given, written partitioned by year."""
+def build_panels(spark: SparkSession, study: Study, changes: dict[str, Change] | None = None, failed: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Yearly panels of the registers given, written partitioned by year.
+
+    ``changes``: the registers to write, and of each the years; others stay as they are. With ``failed``, a register that cannot be
+    read or written is left out, its error noted there under its name; without it the error ends the job.
+    """
     panels = {}
     for name in YEARLY:
         if name not in study.registers:
             continue
-        df = read_register(spark, name, study.registers[name])
-        if study.with_labels:
-            df = label_codes(df, name, study.dictionaries)
-        if name == "uddf" and study.education_levels is not None:
-            df = add_education_level(df, study.education_levels)
         path = f"{study.output}/panels/{name}"
-        write_panel(df, path)
-        panels[name] = read_panel(spark, path)
+        try:
+            if changes is None or name in changes:
+                _write_register(spark, study, name, path, Change() if changes is None else changes[name])
+            panels[name] = read_panel(spark, path)
+        except (PySparkException, Py4JJavaError, ValueError) as e:
+            if failed is None:
+                raise
+            failed.setdefault(name, f"{type(e).__name__}: {e}".split("\n", 1)[0][:500])
+            log.warning("register %s is left out: %s", name, failed[name])
+            if exists(spark, path):  # as it was
+                panels[name] = read_panel(spark, path)
     return panels
 
 
-def build_role_panels(spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def _write_register(spark: SparkSession, study: Study, name: str, path: str, change: Change) -> None:
+    prepare = study.prepare.get(name)
+    partial = change.years is not None and exists(spark, path)
+    df = read_register(spark, name, list(change.files) if partial else study.registers[name], prepare=prepare)
+    if study.with_labels:
+        df = label_codes(df, name, study.dictionaries)
+    if name == "uddf" and study.education_levels is not None:
+        df = add_education_level(df, study.education_levels)
+    if partial:
+        write_panel(of_years(df, change.years), path, only_given=True)
+        return
+    # Written beside it first: a register that fails half-way leaves the panel it had.
+    if exists(spark, path):
+        write_panel(df, f"{path}_new")
+        df = read_panel(spark, f"{path}_new")
+    write_panel(df, path)
+
+
+ROLE_OF = {"bef": ("child",)}
+PARENTS = ("mother", "father")
+
+
+def _role_frames(population: DataFrame, panels: dict[str, DataFrame], role: str, years: frozenset[int] | None) -> dict[str, DataFrame]:
+    """Rows of one role by register. With ``years``: those of these years, and those of people without any row."""
+    out = {}
+    for name, panel in panels.items():
+        if role not in ROLE_OF.get(name, PARENTS):
+            continue
+        own = panel.drop("FOED_DAG", "FAR_ID", "MOR_ID", "FAMILIE_ID") if role == "child" else panel
+        join = join_register if role == "child" else (lambda a, b: join_parent(a, b, role))
+        if years is None:
+            out[name] = join(population, own)
+            continue
+        key = {"child": "PNR", "mother": "MOR_ID", "father": "FAR_ID"}[role]
+        year = PERSON[role][0]
+        some = join(population, of_years(own, years)).where(F.col(year).isNotNull())
+        known = panel.select(F.col("PNR").alias("__known")).distinct()
+        none = population.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("__known"), "left_anti")
+        none = none.unionByName(population.where(F.col(key).isNull()))
+        out[name] = some.unionByName(none, allowMissingColumns=True).select(*some.columns)
+    return out
+
+
+def build_role_panels(
+    spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame], years: dict[str, frozenset[int] | None] | None = None
+) -> dict[str, DataFrame]:
     """Panels of child, mother and father: own rows from BEF, parents' rows from the other registers.
 
     Each role has a plan of its own, so the rows of one parent are never multiplied by those of the other, and is
-    written by year; years without rows between the first and the last are logged.
+    written by year; years without rows between the first and the last are logged. ``years``: the registers that changed
+    and the years of each (None for all); a role is written only for the years of its registers, from the panels' folders of these
+    years. The population must be the same as before then.
     """
-    frames: dict[str, list[dict[str, DataFrame]]] = {"child": [], "mother": [], "father": []}
-    for name, panel in panels.items():
-        if name == "bef":
-            own = panel.drop("FOED_DAG", "FAR_ID", "MOR_ID", "FAMILIE_ID")
-            frames["child"].append({name: join_register(population, own)})
-        else:
-            for parent in ("mother", "father"):
-                frames[parent].append({name: join_parent(population, panel, parent)})
     out = {}
-    for role, parts in frames.items():
-        if not parts:
+    for role, (year, person) in PERSON.items():
+        sources = [n for n in panels if role in ROLE_OF.get(n, PARENTS)]
+        if not sources:
             continue
-        stacked = stack_registers({k: v for part in parts for k, v in part.items()})
-        df = split_roles(stacked)[role]
-        year, person = PERSON[role]
         path = f"{study.output}/long/{role}"
-        write_panel(df, path, year, [person])
+        touched = None if years is None else [years[n] for n in sources if n in years]
+        if touched is None or None in touched or not exists(spark, path):
+            _write_role(population, panels, role, path)
+        elif touched and not _write_role_years(spark, population, panels, role, path, frozenset().union(*touched)):
+            _write_role(population, panels, role, path)
         out[role] = read_panel(spark, path)
         gaps = [r[0] for r in check_partitions(spark, path, year).collect()]
         if gaps:
@@ -121,6 +178,24 @@ def build_role_panels(spark: SparkSession, study: Study, population: DataFrame,
     return out
 
 
+def _write_role(population: DataFrame, panels: dict[str, DataFrame], role: str, path: str) -> None:
+    year, person = PERSON[role]
+    write_panel(split_roles(stack_registers(_role_frames(population, panels, role, None)))[role], path, year, [person])
+
+
+def _write_role_years(spark: SparkSession, population: DataFrame, panels: dict[str, DataFrame], role: str, path: str, years: frozenset[int]) -> bool:
+    """Replace some years of a role's panel. False, and nothing replaced, where a folder would have to go."""
+    year, person = PERSON[role]
+    df = split_roles(stack_registers(_role_frames(population, panels, role, years)))[role]
+    write_panel(df, f"{path}_years", year, [person])
+    folders = lambda p: {r[0] for r in partition_rows(spark, p, year).select(year).collect()}
+    given, before = folders(f"{path}_years"), folders(path)
+    if (before & ({str(y) for y in years} | {NO_YEAR})) - given:
+        return False
+    write_panel(read_panel(spark, f"{path}_years"), path, year, [person], only_given=True)
+    return True
+
+
 def build_cohort(spark: SparkSession, study: Study) -> DataFrame:
     """Population, care, panels and zones; returns the population with disease flags."""
     population = build_population(spark, study)
@@ -136,17 +211,93 @@ def build_study(spark: SparkSession, study: Study, categories: list[str] | None
     """The whole study from register files to reports, if a file of any register is new, changed or gone.
 
     Returns whether it ran. ``categories`` are columns of the panels carried along events into the category reports.
+
+    Only what depends on the changed files is built again: of a yearly register the years that they have rows of, in its panel, its
+    domain and the panels of its roles; the population if its registers changed, and the role panels as a whole only if its
+    rows did; care and flags if a hospital register changed. Events and reports look across years and are made anew.
+
+    A yearly register that cannot be read is left out (its former panel stays, if there is one), so are the hospital registers together;
+    ``{output}/outcomes`` and the catalogue say so, and the next run tries again. The population needs its register.
     """
-    stale = [name for name, path in study.registers.items() if is_changed(spark, name, path, f"{study.output}/manifest")]
-    if not stale:
+    out, manifest, failed = study.output, f"{study.output}/manifest", {}
+    changes = {name: _change(spark, study, name, failed) for name in study.registers}
+    changes = {name: c for name, c in changes.items() if c is not None}
+    if not changes:
         return False
-    log.info("changed registers: %s", ", ".join(stale))
-    cohort = build_cohort(spark, study)
-    population = spark.read.parquet(f"{study.output}/population")
-    panels = {name: read_panel(spark, f"{study.output}/panels/{name}") for name in YEARLY if name in study.registers}
-    roles = build_role_panels(spark, study, population, panels)
-    events = build_events(spark, study, roles, keep=categories)
-    reports = f"{study.output}/reports"
+    log.info("changed registers: %s", ", ".join(changes))
+    population, same = _population(spark, study, bool(changes.keys() & {"bef", "mfr"}))
+    care, new_care = _care(spark, study, bool(changes.keys() & set(HOSPITAL)), failed)
+    yearly = {n: c for n, c in changes.items() if n in YEARLY}
+    panels = build_panels(spark, study, yearly, failed)
+    years = {n: c.years for n, c in yearly.items() if n not in failed}
+    if not same or new_care or not exists(spark, f"{out}/cohort"):
+        write_table(population if care is None else h.add_flags(population, h.care_flags(care)), f"{out}/cohort")
+    base = f"{out}/analytical_data"
+    if not same or not exists(spark, f"{base}/static"):
+        write_people(spark, base, population)
+    write_domains(spark, base, panels, years=years)
+    if care is not None and (new_care or not exists(spark, f"{base}/longitudinal/health")):
+        write_health(base, care)
+    roles = build_role_panels(spark, study, population, panels, years if same else None)
+    _write_reports(spark, study, population, roles, categories)
+    outcomes = spark.createDataFrame([(n, "failed" if n in failed else "written", failed.get(n)) for n in changes], "register string, outcome string, error string")
+    write_table(outcomes.withColumn("at", F.current_timestamp()), f"{out}/outcomes")
+    told = spark.createDataFrame([("register", n, f"left out: {e}") for n, e in failed.items()], "kind string, name string, description string")
+    write_catalogue(catalogue(spark).unionByName(told, allowMissingColumns=True), f"{base}/catalogue")
+    for name in changes:
+        if name not in failed:
+            mark_done(spark, name, manifest)
+    return True
+
+
+def _change(spark: SparkSession, study: Study, name: str, failed: dict[str, str]) -> Change | None:
+    """What changed of a register; of the registers of the population and of the hospital whether anything did."""
+    path, manifest = study.registers[name], f"{study.output}/manifest"
+    try:
+        if name in YEARLY:
+            return find_change(spark, name, path, manifest)
+        return Change() if is_changed(spark, name, path, manifest) else None
+    except (PySparkException, Py4JJavaError, ValueError) as e:
+        if name == "bef":
+            raise
+        failed[name] = f"{type(e).__name__}: {e}".split("\n", 1)[0][:500]
+        log.warning("register %s cannot be read: %s", name, failed[name])
+        return Change()
+
+
+def _population(spark: SparkSession, study: Study, changed: bool) -> tuple[DataFrame, bool]:
+    """The population, built again if its registers changed, and whether it has the same rows as before."""
+    path, mark = f"{study.output}/population", f"{study.output}/manifest/population"
+    if not changed and exists(spark, path):
+        return spark.read.parquet(path), True
+    population = build_population(spark, study)
+    # Rows counted and hashed in the one pass that remembers them.
+    hashed = F.xxhash64(*population.columns)
+    now = population.agg(F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(hashed.cast("decimal(38,0)")).alias("s"))
+    before = read_manifest(spark, mark)
+    old, new = None if before is None else before.first(), now.first()
+    spark.createDataFrame([new], now.schema).write.mode("overwrite").parquet(mark)
+    return population, old == new
+
+
+def _care(spark: SparkSession, study: Study, changed: bool, failed: dict[str, str]) -> tuple[DataFrame | None, bool]:
+    """Contacts of both hospital systems, built again if one of their registers changed, and whether they were."""
+    path = f"{study.output}/care"
+    if not changed and exists(spark, path):
+        return spark.read.parquet(path), False
+    try:
+        care = build_care(spark, study)
+        return care, care is not None
+    except (PySparkException, Py4JJavaError, ValueError) as e:
+        message = f"{type(e).__name__}: {e}".split("\n", 1)[0][:500]
+        failed.update({n: failed.get(n, message) for n in HOSPITAL})
+        log.warning("hospital registers are left out: %s", message)
+        return (spark.read.parquet(path), False) if exists(spark, path) else (None, False)
+
+
+def _write_reports(spark: SparkSession, study: Study, population: DataFrame, roles: dict[str, DataFrame], categories: list[str] | None) -> None:
+    events, reports = build_events(spark, study, roles, keep=categories), f"{study.output}/reports"
+    cohort = spark.read.parquet(f"{study.output}/cohort")
     if "is_scd" in cohort.columns:
         h.check_people_kept(population, cohort, "PNR", "PNR")
         write_scd_report(cohort, f"{reports}/scd")
@@ -155,9 +306,8 @@ def build_study(spark: SparkSession, study: Study, categories: list[str] | None
     write_event_figures(events, f"{reports}/figures", [c for c in categories or [] if c in events.columns])
     if "child" in roles:
         write_baseline(roles["child"], f"{reports}/baseline")
-    for name in stale:
-        mark_done(spark, name, f"{study.output}/manifest")
-    return True
+        if "KOEN" in roles["child"].columns:
+            write_baseline(roles["child"], f"{reports}/baseline_by_sex", stratify_by="KOEN")
 
 
 def build_events(
@@ -189,11 +339,11 @@ def write_event_reports(events: DataFrame, path: str) -> None:
 
 def write_event_figures(events: DataFrame, path: str, categories: list[str] | None = None, top_n: int = 5, min_count: int = 10) -> None:
     """Data behind the event figures: matrix, correlation, shares, flows and time to event."""
-    write_report(er.count_matrix(events), f"{path}/event_occurrences")
+    write_report(er.count_long(events), f"{path}/event_occurrences")
     write_report(er.event_correlation(events), f"{path}/event_correlation")
     write_report(er.event_share(events, "year"), f"{path}/event_distribution_year")
     for c in categories or []:
-        write_report(er.count_matrix(events, "year", c), f"{path}/{c}_distribution")
+        write_report(er.count_long(events, "year", c), f"{path}/{c}_distribution")
         write_report(er.event_share(events, "year", c), f"{path}/{c}_distribution_year")
     write_listing(er.event_flows(events, top_n, min_count, aggregate=False), f"{path}/flows")
     er.time_to_event(events).write.mode("overwrite").option("header", True).partitionBy("event_type").csv(f"{path}/survival_data")

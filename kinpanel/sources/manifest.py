@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinpanel.fixed_values import DOMAIN_DESCRIPTIONS, ZONE_DESCRIPTIONS
+from kinpanel.sources.registers import with_period
+from kinpanel.sources.schemas import read_each, together
 
 
 def file_manifest(spark: SparkSession, register: str, path: str, fingerprint: str = "stamp") -> DataFrame:
@@ -60,8 +64,66 @@ def is_changed(spark: SparkSession, register: str, path: str, manifest: str, fin
 
 
 def mark_done(spark: SparkSession, register: str, manifest: str) -> None:
-    """Remember the files listed last; files that arrived since count as new the next time."""
-    spark.read.parquet(f"{manifest}/listed/{register}").write.mode("overwrite").parquet(f"{manifest}/done/{register}")
+    """Remember the files listed last, and their years if they were looked at; files that arrived since count as new the next time."""
+    for listed, done in (("listed", "done"), ("listed_years", "done_years")):
+        found = read_manifest(spark, f"{manifest}/{listed}/{register}")
+        if found is not None:
+            found.write.mode("overwrite").parquet(f"{manifest}/{done}/{register}")
+
+
+@dataclass(frozen=True)
+class Change:
+    """What has to be built again of a register: ``files`` hold all rows of ``years``; without years everything."""
+
+    years: frozenset[int] | None = None
+    files: tuple[str, ...] = ()
+
+
+def _file_name(path):
+    """One spelling of a file's place: listings and scans differ in slashes and in escaped characters."""
+    return F.regexp_replace(F.try_url_decode(path), "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def file_years(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, year``: the years that each file has rows of, by a column of its own or else by its name."""
+    frames = [with_period(df.withColumn("__path", F.col("_metadata.file_path"))) for df in read_each(spark, path)]
+    return together([df.select(_file_name(F.col("__path")).alias("path"), F.col("year").cast("int").alias("year")) for df in frames]).distinct()
+
+
+def find_change(spark: SparkSession, register: str, path: str, manifest: str, fingerprint: str = "stamp") -> Change | None:
+    """What to build again since ``mark_done``, or None when no file is new, changed or gone.
+
+    The manifest knows which years each file has rows of (``done_years``). The years of files that are new, changed or gone,
+    before and now, are built again, from all files that have rows of them; only new and changed files are read to find that
+    out. Everything is built again the first time, when rows without a year are touched, when a year has lost its last file, and when
+    the manifest does not know a file.
+    """
+    if not is_changed(spark, register, path, manifest, fingerprint):
+        return None
+    named = lambda df: df.select(_file_name(F.col("path")).alias("path"), F.col("path").alias("place"), "fingerprint")
+    current = named(spark.read.parquet(f"{manifest}/listed/{register}").select("register", "path", "fingerprint"))
+    before, known = read_manifest(spark, f"{manifest}/done/{register}"), read_manifest(spark, f"{manifest}/done_years/{register}")
+    listed = f"{manifest}/listed_years/{register}"
+    if before is None or known is None:
+        file_years(spark, path).write.mode("overwrite").parquet(listed)
+        return Change()
+    before = named(before)
+    new = current.join(before, ["path", "fingerprint"], "left_anti")
+    touched = before.join(current, ["path", "fingerprint"], "left_anti").select("path")
+    places = [r["place"] for r in new.select("place").collect()]  # paths to read: no more than the register has files
+    kept = known.join(new.select("path").unionByName(touched), "path", "left_anti")
+    now = kept.unionByName(file_years(spark, places)) if places else kept
+    now.write.mode("overwrite").parquet(listed)
+    now = spark.read.parquet(listed)
+    old_years = touched.join(known, "path", "left").select("year")
+    new_years = now.join(new.select("path"), "path").select("year")
+    years = {r["year"] for r in old_years.unionByName(new_years).distinct().collect()}
+    left = {r["year"] for r in now.select("year").distinct().collect()}
+    if None in years or None in left or not years <= left:
+        return Change()
+    wanted = now.filter(F.col("year").isin(sorted(years))).select("path").distinct()
+    files = [r["place"] for r in current.join(wanted, "path").select("place").collect()]
+    return Change(frozenset(years), tuple(sorted(files)))
 
 
 def run_if_changed(spark: SparkSession, register: str, path: str, manifest: str, job, fingerprint: str = "stamp") -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +43,13 @@ def read_register(
     layout: dict[str, str] | None = None,
     cast: str = "strict",
     ordered: bool = False,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Yearly panel of a register: all files in one scan, period columns, types, columns kept or dropped.
 
     Without lists the register's usual columns are dropped.  ``ordered`` sorts
-    the whole table by year and person.
+    the whole table by year and person.  ``prepare`` is applied first, to rows with all
+    columns of their files and the period.
     """
     if keep and drop:
         raise ValueError("give columns to keep or columns to drop, not both")
@@ -53,6 +57,8 @@ def read_register(
 
     def shaped(df: DataFrame) -> DataFrame:
         df = with_period(df)
+        if prepare:
+            df = prepare(df)
         if keep:
             df = keep_existing(df, keep)
         else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +12,18 @@ from kinpanel.sources.schemas import read_reconciled
 ROWS_PER_FILE = 20_000_000
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None = None, mode: str = "overwrite") -> None:
-    """Parquet, snappy; the rows of a large partition value are split over several files."""
+def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None = None, mode: str = "overwrite", only_given: bool = False) -> None:
+    """Parquet, snappy; the rows of a large partition value are split over several files. ``only_given`` leaves other partitions as they are."""
     by = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     out = df.hint("rebalance", *[F.col(c) for c in by]) if by else df
-    writer = out.write.mode(mode).option("compression", "snappy").option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer = out.write.mode(mode).option("partitionOverwriteMode", "dynamic" if only_given else "static").option("compression", "snappy").option("maxRecordsPerFile", ROWS_PER_FILE)
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
 def write_panel(
-    df: DataFrame, path: str, partition_by: str = "year", sort_by: list[str] | None = None, rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite"
+    df: DataFrame, path: str, partition_by: str = "year", sort_by: list[str] | None = None, rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite", only_given: bool = False
 ) -> None:
-    """Panel partitioned by year, zstd, rows of a file ordered by person.
+    """Panel partitioned by year, zstd, rows of a file ordered by person. ``only_given`` leaves years that ``df`` has no rows of as they are.
 
     The rebalance hint moves each year together but lets the runtime split a
     year that is too large for one task.
@@ -31,6 +32,7 @@ def write_panel(
     placed = df.hint("rebalance", F.col(partition_by)).sortWithinPartitions(partition_by, *order)
     (
         placed.write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic" if only_given else "static")
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", 3)
         .option("maxRecordsPerFile", rows_per_file)
@@ -39,6 +41,17 @@ def write_panel(
     )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        return not files.select("path").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def read_panel(spark: SparkSession, path: str, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
     """Panel, optionally for a range of years; other years' folders are not read. Years may differ in columns and types."""
     df = read_reconciled(spark, path, base=path)
@@ -49,6 +62,11 @@ def read_panel(spark: SparkSession, path: str, first_year: int | None = None, la
     return df
 
 
+def of_years(df: DataFrame, years: frozenset[int] | set[int], year: str = "year") -> DataFrame:
+    """Rows of some years; other years' folders are not read."""
+    return df.where(F.col(year).isin(sorted(years)))
+
+
 def partition_rows(spark: SparkSession, path: str, key: str = "year") -> DataFrame:
     """Files and bytes per partition folder of a dataset, from the file listing alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import glob
+import os
 import random
+import shutil
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinpanel.operators.population import relationships
 from kinpanel.plans import cohort as c
+from kinpanel.sources.tables import read_panel
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +112,114 @@ def test_whole_study_runs_once(spark, study, folder):
     assert c.build_study(spark, whole) and not c.build_study(spark, whole)
     for name in ("scd", "events/event_counts", "figures/event_correlation", "baseline", "population/basic_stats"):
         assert glob.glob(f"{folder}/out/reports/{name}/*.csv"), name
+
+
+def files(base, *names):
+    """Files of each folder below the tables given, with their times of change."""
+    found = {}
+    for name in names:
+        for f in glob.glob(f"{base}/{name}/**/*.parquet", recursive=True):
+            found.setdefault(os.path.dirname(f).removeprefix(f"{base}/"), set()).add((os.path.basename(f), os.stat(f).st_mtime_ns))
+    return found
+
+
+TABLES = ("panels/ind", "panels/akm", "panels/bef", "long/child", "long/mother", "long/father", "analytical_data/longitudinal/income", "population", "care")
+
+
+@pytest.fixture(scope="module")
+def copy(study, tmp_path_factory):
+    """The registers in a place where they may be changed."""
+    base = str(tmp_path_factory.mktemp("copy"))
+    for name, path in study.registers.items():
+        shutil.copytree(path.removesuffix("/*.parquet"), f"{base}/{name}")
+    return base
+
+
+def whole(study, base, out):
+    return c.Study({n: f"{base}/{n}/*.parquet" for n in study.registers}, out, 2000, 2004, education_levels=study.education_levels)
+
+
+def replace(spark, base, file, change):
+    """One register file written anew."""
+    df = change(spark.read.parquet(f"{base}/{file}"))
+    rows = spark.createDataFrame(df.collect(), df.schema)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{base}/{file}")
+    spark.catalog.refreshByPath(f"{base}/{file}")
+
+
+def same_rows(spark, a, b, names):
+    for name in names:
+        left, right = (read_panel(spark, f"{x}/{name}") for x in (a, b))
+        order = sorted(left.columns)
+        assert order == sorted(right.columns), name
+        rows = [sorted(map(str, df.select(*order).collect())) for df in (left, right)]
+        assert rows[0] == rows[1], name
+
+
+def test_one_changed_file_rewrites_its_year(spark, study, copy, folder):
+    one = whole(study, copy, f"{folder}/one")
+    assert c.build_study(spark, one)
+    before = files(one.output, *TABLES)
+    replace(spark, copy, "ind/ind2011.parquet", lambda df: df.withColumn("PERINDKIALT_13", F.col("PERINDKIALT_13") * 2).filter("PNR <> 'f3'"))
+    assert c.build_study(spark, one)
+    after = files(one.output, *TABLES)
+    changed = {k for k in before if before[k] != after.get(k)}
+    assert {"panels/ind/year=2011", "long/mother/MOR_year=2011", "long/father/FAR_year=2011", "analytical_data/longitudinal/income/ind/year=2011"} <= changed
+    assert not any("2010" in k or "2012" in k or k.startswith(("panels/akm", "panels/bef", "long/child", "population", "care")) for k in changed)
+    fresh = whole(study, copy, f"{folder}/fresh")
+    assert c.build_study(spark, fresh)
+    same_rows(spark, one.output, fresh.output, [*TABLES, "events", "cohort", "analytical_data/derived/statistics/longitudinal/income"])
+    # A year more, and then a year less, which no folder may outlive.
+    replace(spark, copy, "ind/ind2012.parquet", lambda df: df)
+    shutil.copytree(f"{copy}/ind/ind2012.parquet", f"{copy}/ind/ind2013.parquet")
+    assert c.build_study(spark, one) and glob.glob(f"{one.output}/long/mother/MOR_year=2013")
+    shutil.move(f"{copy}/ind/ind2013.parquet", f"{folder}/ind2013.parquet")
+    assert c.build_study(spark, one) and not glob.glob(f"{one.output}/long/mother/MOR_year=2013")
+    same_rows(spark, one.output, fresh.output, TABLES[:6])
+
+
+def test_changed_population_rebuilds_roles(spark, study, copy, folder):
+    one = whole(study, copy, f"{folder}/one")
+    assert c.build_study(spark, one)
+    before = files(one.output, *TABLES)
+    replace(spark, copy, "bef/bef_201112.parquet", lambda df: df.withColumn("KOM", F.col("KOM") + 1))
+    assert c.build_study(spark, one)  # the same people: one year only
+    changed = {k for k, v in files(one.output, *TABLES).items() if before.get(k) != v}
+    assert "long/child/year=2011" in changed and "panels/bef/year=2011" in changed and not {"long/child/year=2010", "long/mother/MOR_year=2010"} & changed
+    replace(spark, copy, "mfr/mfr.parquet", lambda df: df.withColumn("FOEDSELSDATO", F.lit("2003-03-04")))
+    assert c.build_study(spark, one)
+    changed = {k for k, v in files(one.output, *TABLES).items() if before.get(k) != v}
+    assert {"long/child/year=2010", "long/mother/MOR_year=2010", "population"} <= changed
+    fresh = whole(study, copy, f"{folder}/fresh")
+    assert c.build_study(spark, fresh)
+    same_rows(spark, one.output, fresh.output, [*TABLES, "events", "cohort"])
+
+
+def test_unreadable_register_is_left_out(spark, study, copy, folder):
+    base = f"{folder}/in"
+    shutil.copytree(copy, base)
+    good = glob.glob(f"{base}/akm/akm2011.parquet/part-*.parquet")[0]
+    with open(good, "rb") as f:
+        content = f.read()
+    with open(good, "wb") as f:
+        f.write(b"no table at all")
+    one = whole(study, base, f"{folder}/one")
+    assert c.build_study(spark, one)
+    outcomes = {r["register"]: (r["outcome"], r["error"]) for r in spark.read.parquet(f"{one.output}/outcomes").collect()}
+    assert outcomes["akm"][0] == "failed" and outcomes["akm"][1] and outcomes["ind"] == ("written", None)
+    assert spark.read.json(f"{one.output}/analytical_data/catalogue").filter("kind = 'register' and name = 'akm'").count() == 1
+    assert read_panel(spark, f"{one.output}/panels/ind").count() and not glob.glob(f"{one.output}/panels/akm/year=*")
+    assert c.build_study(spark, one)  # tried again, though no file changed
+    with open(good, "wb") as f:
+        f.write(content)
+    assert c.build_study(spark, one)
+    assert spark.read.parquet(f"{one.output}/outcomes").select("register", "outcome").collect() == [("akm", "written")]
+    assert read_panel(spark, f"{one.output}/panels/akm").count() == 165 and not c.build_study(spark, one)
+    assert read_panel(spark, f"{one.output}/long/mother").filter("register = 'akm'").count() > 0
+
+
+def test_prepared_register(spark, study, folder):
+    only = c.Study({"bef": study.registers["bef"], "ind": study.registers["ind"]}, f"{folder}/out", 2000, 2004, prepare={"ind": lambda df: df.filter("year > 2010").withColumn("PERINDKIALT_13", F.lit(1.0))})
+    panels = c.build_panels(spark, only)
+    assert {tuple(r) for r in panels["ind"].select("year", "PERINDKIALT_13").distinct().collect()} == {(2011, 1.0), (2012, 1.0)}
+    c.write_baseline(panels["bef"], f"{folder}/by_sex", stratify_by="KOEN")
