@@ -14,6 +14,8 @@ from kinpanel.llm.common import lookup, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, in texts whose A-Z are small letters.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same in texts as they are.
+BETWEEN_ANY = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Words of a window; words of it that must stand near their places for a proximity match; and how far off these may be.
 WINDOW, NEAR, SLACK = 10, 8, 2
 
@@ -126,8 +128,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
         F.count_if("exact").alias("n_items"), F.count_if(~F.col("exact")).alias("n_near"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item_id")))), ",").cast("binary"), 256).alias("items_sha256")
     )
     texts = stored(items.join(hit, DOC, "left"))
-    # The same characters part words before A-Z are made small.
-    rows = stored(documents.select(F.col(id_col).alias("doc_id"), *_text_key(text_col), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("long").alias("n_words")))
+    n_words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BETWEEN_ANY), "")).cast("long")
+    rows = stored(documents.select(F.col(id_col).alias("doc_id"), *_text_key(text_col), n_words.alias("n_words")))
     copies = rows.join(texts.select(*DOC), DOC, "left_semi").groupBy(*DOC).agg(F.count("*").alias("copies"))
     table = stored(texts.join(copies, DOC))
     out = lookup(rows, table, DOC, "copies", rows.count(), how="left")
