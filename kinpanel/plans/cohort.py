@@ -20,6 +20,7 @@ from kinpanel.operators.events import EVENTS, Event, identify_events
 from kinpanel.operators.panel import PERSON, add_education_level, join_parent, join_register, label_codes, split_roles, stack_registers
 from kinpanel.operators.tables import baseline_table, baseline_text
 from kinpanel.plans.zones import write_domains, write_health, write_people, write_zones
+from kinpanel.sources.buckets import read_bucketed, write_bucketed
 from kinpanel.sources.manifest import Change, catalogue, find_change, is_changed, mark_done, read_manifest, write_catalogue
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
 from kinpanel.sources.tables import check_partitions, exists, of_years, partition_rows, read_panel, write_listing, write_panel, write_report, write_table
@@ -44,6 +45,8 @@ class Study:
     with_labels: bool = False
     dictionaries: dict[str, DataFrame] = field(default_factory=dict)
     education_levels: DataFrame | None = None
+    #: Write population and panels in so many buckets by person (see ``sources.buckets``), so that role joins move the population only.
+    buckets: int | None = None
     #: By register: applied to the rows of its files before columns are kept and typed.
     prepare: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
@@ -58,10 +61,18 @@ def build_population(spark: SparkSession, study: Study) -> DataFrame:
     # Written once: the lookups and both summaries read it.
     write_table(p.combine_children(bef, mfr), f"{study.output}/children")
     children = spark.read.parquet(f"{study.output}/children")
-    write_table(p.add_parent_births(children, p.parent_births(register)), f"{study.output}/population")
+    population = p.add_parent_births(children, p.parent_births(register))
+    if study.buckets:
+        write_bucketed(population, f"{study.output}/population", buckets=study.buckets, year=None)
+    else:
+        write_table(population, f"{study.output}/population")
     write_table(p.summary_before(bef, mfr), f"{study.output}/population_summary_before")
     write_table(p.summary_after(children), f"{study.output}/population_summary_after")
-    return spark.read.parquet(f"{study.output}/population")
+    return _open(spark, study, f"{study.output}/population", spark.read.parquet)
+
+
+def _open(spark: SparkSession, study: Study, path: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    return read_bucketed(spark, path) if study.buckets else read(path)
 
 
 def build_care(spark: SparkSession, study: Study) -> DataFrame | None:
@@ -96,14 +107,14 @@ def build_panels(spark: SparkSession, study: Study, changes: dict[str, Change] |
         try:
             if changes is None or name in changes:
                 _write_register(spark, study, name, path, Change() if changes is None else changes[name])
-            panels[name] = read_panel(spark, path)
+            panels[name] = _open(spark, study, path, lambda p: read_panel(spark, p))
         except (PySparkException, Py4JJavaError, ValueError) as e:
             if failed is None:
                 raise
             failed.setdefault(name, f"{type(e).__name__}: {e}".split("\n", 1)[0][:500])
             log.warning("register %s is left out: %s", name, failed[name])
             if exists(spark, path):  # as it was
-                panels[name] = read_panel(spark, path)
+                panels[name] = _open(spark, study, path, lambda p: read_panel(spark, p))
     return panels
 
 
@@ -115,6 +126,9 @@ def _write_register(spark: SparkSession, study: Study, name: str, path: str, cha
         df = label_codes(df, name, study.dictionaries)
     if name == "uddf" and study.education_levels is not None:
         df = add_education_level(df, study.education_levels)
+    if study.buckets:
+        write_bucketed(of_years(df, change.years) if partial else df, path, buckets=study.buckets, only_given=partial)
+        return
     if partial:
         write_panel(of_years(df, change.years), path, only_given=True)
         return
@@ -269,7 +283,7 @@ def _population(spark: SparkSession, study: Study, changed: bool) -> tuple[DataF
     """The population, built again if its registers changed, and whether it has the same rows as before."""
     path, mark = f"{study.output}/population", f"{study.output}/manifest/population"
     if not changed and exists(spark, path):
-        return spark.read.parquet(path), True
+        return _open(spark, study, path, spark.read.parquet), True
     population = build_population(spark, study)
     # Rows counted and hashed in the one pass that remembers them.
     hashed = F.xxhash64(*population.columns)

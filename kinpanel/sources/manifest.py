@@ -46,15 +46,20 @@ def removed_files(current: DataFrame, stored: DataFrame) -> DataFrame:
     return stored.join(current.select("register", "path"), ["register", "path"], "left_anti")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+def missing_is_none(read):
+    """What ``read()`` returns, or None where there are no files."""
     try:
-        return spark.read.parquet(path)
+        return read()
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    return missing_is_none(lambda: spark.read.parquet(path))
+
+
 def is_changed(spark: SparkSession, register: str, path: str, manifest: str, fingerprint: str = "stamp") -> bool:
     """List the register's files into a table of their own; whether one is new, changed or gone since ``mark_done``."""
     listed = f"{manifest}/listed/{register}"
