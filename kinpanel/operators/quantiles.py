@@ -1,27 +1,30 @@
 """Exact quantiles that never gather a large group's values in one place.
 
 Groups are measured first.  When the largest is small enough for one task the
-built-in percentile is used.  Beyond that, quantiles are found by selection:
-each pass counts the rows of a group in equal-width buckets between the group's
-bounds and keeps the buckets that hold a wanted rank; the next pass splits only
-those.  Counts, minima and maxima are combined map-side, so a pass moves
-``buckets`` rows per group and task, whatever the size of the group.  The last
-pass counts the distinct values left (a 1/buckets**levels slice of the range).
+built-in percentile is used.  Beyond that, quantiles are found by selection,
+guided by a sketch: a mergeable sketch of the values left gives two values that
+stand closely around each wanted rank; one pass then counts exactly how many
+values lie below, at, between and above them, which solves the rank or narrows
+it to what lies strictly between.  The sketch only guides, the counts decide, so
+an interval shrinks by the same factor whatever the values are: outliers of any
+size and values that fill half of a group cost no more passes.  This goes on
+until what is left of every interval fits a task, where its values are counted.
+Sketches and counts are combined map-side: a pass moves a few rows per group and
+task, whatever the size of the group.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinpanel.operators.scale import SMALL_BYTES, SMALL_ROWS, attach
+from kinpanel.operators.scale import SMALL_BYTES, SMALL_ROWS, attach, shared_folder
 
-BUCKETS = 4096
-LEVELS = 2
+# Steps of the grid that a sketch is asked for, and its accuracy: ranks are off
+# by a 1/ACCURACY of the values at most.
+GRID, ACCURACY = 512, 10_000
 # Up to this many values a group may be gathered by one task.
 GROUP_ROWS = 1_000_000
 # A task holds the values of up to 128 groups before it turns to sorting; all of
@@ -66,18 +69,21 @@ def exact_quantiles(
     *,
     method: str = "auto",
     sizes: Sizes | None = None,
-    buckets: int = BUCKETS,
-    levels: int = LEVELS,
+    fit: int = GROUP_ROWS,
+    grid: int = GRID,
+    passes: list[int] | None = None,
 ) -> DataFrame:
     """One row per group with the quantiles asked for, linearly interpolated.
 
     ``method`` is ``auto`` (by the size of the largest group), ``builtin`` or
-    ``selection``.  Groups without a value have no row.
+    ``selection``.  Groups without a value have no row.  Selection narrows until
+    at most ``fit`` values are left around a rank; ``passes``, if given, receives
+    that number before each pass over the values.
     """
     x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
     if not by:
         return exact_quantiles(
-            x.withColumn("__all", F.lit(0)), ["__all"], "__v", quantiles, method=method, buckets=buckets, levels=levels
+            x.withColumn("__all", F.lit(0)), ["__all"], "__v", quantiles, method=method, fit=fit, grid=grid, passes=passes
         ).drop("__all")
     if method not in ("auto", "builtin", "selection"):
         raise ValueError(f"unknown method {method!r}")
@@ -87,28 +93,11 @@ def exact_quantiles(
     if method == "builtin":
         return x.groupBy(*by).agg(*[F.percentile("__v", F.lit(p)).alias(name) for name, p in quantiles.items()])
 
-    probs = list(quantiles.items())
-    intervals = x.groupBy(*by).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.lit(0).cast("bigint").alias("__below"), F.count("*").alias("__n")
-    )
     mark = F.broadcast if sizes.fit_a_broadcast else _as_is
-    for _ in range(levels):
-        intervals = _narrow(x, mark(intervals), by, probs, buckets)
-    cells = (
-        _inside(x, mark(intervals), by)
-        .groupBy(*by, "__below", "__v")
-        .agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
-    )
-    cells = _with_first_rank(cells, by, "__v").where(_holds_rank(probs))
-    # A cell is one value here, so the value at a rank is that of the cell holding it.
-    ends = {}
-    for i, (_, p) in enumerate(probs):
-        for side, rank in zip(("a", "b"), _ends(p)[:2]):
-            ends[f"__{side}{i}"] = F.max(F.when(_holds(rank), F.col("__v")))
-    found = cells.groupBy(*by).agg(F.max("__n").alias("__n"), *[e.alias(n) for n, e in ends.items()])
+    found = _select(x, by, list(quantiles.values()), mark, fit, grid, passes)
     out = []
-    for i, (name, p) in enumerate(probs):
-        below, above = F.col(f"__a{i}"), F.col(f"__b{i}")
+    for i, (name, p) in enumerate(quantiles.items()):
+        below, above = F.col(f"__v{2 * i}"), F.col(f"__v{2 * i + 1}")
         # The weights the built-in percentile uses, so that both ways give the same bits.
         lower, upper, at = _ends(p)
         out.append(F.when(below == above, below).otherwise((upper - at) * below + (at - lower) * above).alias(name))
@@ -125,33 +114,99 @@ def _ends(p: float) -> tuple[Column, Column, Column]:
     return F.floor(h), F.ceil(h), h
 
 
-def _holds(rank: Column) -> Column:
-    return (rank >= F.col("__from")) & (rank < F.col("__from") + F.col("__c"))
-
-
-def _holds_rank(probs) -> Column:
-    return reduce(or_, [_holds(rank) for _, p in probs for rank in _ends(p)[:2]])
-
+def _written(df: DataFrame) -> DataFrame:
+    """A row per group, kept on disk: plans of later passes start from it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def _inside(x: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
-    """Rows that fall into one of their group's intervals (two per quantile at most, which do not overlap)."""
-    return attach(x, intervals, by, "inner", F.col("__v").between(F.col("__lo"), F.col("__hi")))
 
+def _select(x: DataFrame, by: list[str], probs: list[float], mark, fit: int, grid: int, passes: list[int] | None) -> DataFrame:
+    """``__n`` and the values ``__v0``, ``__v1``, ... at the lower and upper rank of each quantile, a row per group.
 
-def _with_first_rank(cells: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Rank of a cell's first row: the rows below its interval and in the cells before it."""
-    before = Window.partitionBy(*by, "__below").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumn("__from", F.col("__below") + F.coalesce(F.sum("__c").over(before), F.lit(0)))
-
-
-def _narrow(x: DataFrame, intervals: DataFrame, by: list[str], probs, buckets: int) -> DataFrame:
-    lo, hi, v = F.col("__lo"), F.col("__hi"), F.col("__v")
-    place = F.floor(F.nanvl((v - lo) / (hi - lo) * buckets, F.lit(float(buckets))))
-    bucket = F.when(hi > lo, F.least(place, F.lit(buckets - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
-    cells = (
-        _inside(x, intervals, by)
-        .groupBy(*by, "__below", bucket.alias("__b"))
-        .agg(F.count("*").alias("__c"), F.min(v).alias("__min"), F.max(v).alias("__max"), F.max("__n").alias("__n"))
-    )
-    kept = _with_first_rank(cells, by, "__b").where(_holds_rank(probs))
-    return kept.select(*by, F.col("__min").alias("__lo"), F.col("__max").alias("__hi"), F.col("__from").alias("__below"), "__n")
+    Of rank i, ``__l`` and ``__h`` are the values it lies strictly between (null: no bound), ``__b`` the number of values up to
+    ``__l``, ``__m`` the number strictly between; ``__v`` is its value once it is known.
+    """
+    ranks = [rank for p in probs for rank in _ends(p)[:2]]
+    every = range(len(ranks))
+    state = x.groupBy(*by).agg(F.count("*").alias("__n"))
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("bigint")
+    state = _written(state.select(*by, "__n", *[c for i in every for c in (none.alias(f"__l{i}"), none.alias(f"__h{i}"), zero.alias(f"__b{i}"), F.col("__n").alias(f"__m{i}"), none.alias(f"__v{i}"))]))
+    open_ = [F.col(f"__v{i}").isNull() for i in every]
+    inside = [open_[i] & _above(F.col(f"__l{i}")) & _below(F.col(f"__h{i}")) for i in every]
+    first = True
+    while True:
+        largest = state.agg(F.max(F.greatest(*[F.when(o, F.col(f"__m{i}")).otherwise(0) for i, o in enumerate(open_)], F.lit(0)))).first()[0] or 0
+        if passes is not None:
+            passes.append(largest)
+        if largest <= fit:
+            break
+        steps = F.lit([k / grid for k in range(grid + 1)]).cast("array<double>")
+        # At first all ranks lie in one interval, whose sketch serves them all.
+        asked = [0] if first else list(every)
+        sketches = attach(x, mark(state), by, "inner").groupBy(*by).agg(*[F.percentile_approx(F.when(inside[i], F.col("__v")), steps, F.lit(ACCURACY)).alias(f"__s{i}") for i in asked])
+        cut = attach(state, sketches, by, "inner")
+        state = _written(_narrowed(x, by, cut, ranks, inside, grid, mark, {i: 0 if first else i for i in every}))
+        first = False
+    return _counted(x, by, state, ranks, inside, mark)
+
+
+def _above(bound: Column) -> Column:
+    return bound.isNull() | (F.col("__v") > bound)
+
+
+def _below(bound: Column) -> Column:
+    return bound.isNull() | (F.col("__v") < bound)
+
+
+def _narrowed(x: DataFrame, by: list[str], cut: DataFrame, ranks: list[Column], inside: list[Column], grid: int, mark, sketch: dict[int, int]) -> DataFrame:
+    """The state after one exact count around the values that the sketches propose."""
+    bounds = {}
+    for i, rank in enumerate(ranks):
+        cuts = F.col(f"__s{sketch[i]}")
+        place = (rank - F.col(f"__b{i}")) / F.greatest(F.col(f"__m{i}"), F.lit(1))
+        for side, step in (("p", F.floor((place - 1 / ACCURACY) * grid)), ("q", F.ceil((place + 1 / ACCURACY) * grid))):
+            at = F.least(F.greatest(step, F.lit(0)), F.lit(grid)).cast("int") + 1
+            bounds[f"__{side}{i}"] = F.when(F.col(f"__v{i}").isNull() & cuts.isNotNull(), F.element_at(cuts, at))
+    keep = [c for c in cut.columns if not c.startswith("__s")]
+    around = cut.select(*keep, *[v.alias(k) for k, v in bounds.items()])
+    v = F.col("__v")
+    counts = []
+    for i in range(len(ranks)):
+        p, q = F.col(f"__p{i}"), F.col(f"__q{i}")
+        for name, where in (("c0", v < p), ("c1", v == p), ("c2", (v > p) & (v < q)), ("c3", (v == q) & (q > p))):
+            counts.append(F.count_if(inside[i] & where).alias(f"__{name}_{i}"))
+    told = attach(attach(x, mark(around), by, "inner").groupBy(*by).agg(*counts), around, by, "inner")
+    out = [*by, "__n"]
+    for i, rank in enumerate(ranks):
+        lo, hi, below, m, known, p, q, c0, c1, c2, c3 = (F.col(f"__{k}{i}") for k in ("l", "h", "b", "m", "v", "p", "q", "c0_", "c1_", "c2_", "c3_"))
+        r = rank - below
+        ends = [c0, c0 + c1, c0 + c1 + c2, c0 + c1 + c2 + c3]
+        cell = F.when(known.isNotNull(), -1).when(r < ends[0], 0).when(r < ends[1], 1).when(r < ends[2], 2).when(r < ends[3], 3).otherwise(4)
+        pick = lambda *options, cell=cell: F.when(cell == 0, options[0]).when(cell == 2, options[1]).when(cell == 4, options[2])
+        still = cell < 0
+        out += [
+            F.when(still, lo).otherwise(pick(lo, p, q)).alias(f"__l{i}"),
+            F.when(still, hi).otherwise(pick(p, q, hi)).alias(f"__h{i}"),
+            F.when(still, below).otherwise(pick(below, below + ends[1], below + ends[3])).alias(f"__b{i}"),
+            F.when(still, m).otherwise(F.coalesce(pick(c0, c2, m - ends[3]), F.lit(0))).cast("bigint").alias(f"__m{i}"),
+            F.when(still, known).when(cell == 1, p).when(cell == 3, q).alias(f"__v{i}"),
+        ]
+    return told.select(*out)
+
+
+def _counted(x: DataFrame, by: list[str], state: DataFrame, ranks: list[Column], inside: list[Column], mark) -> DataFrame:
+    """Ranks still open are read off their values, counted and put in order."""
+    # Ranks in one interval share its values.
+    same = lambda i, j: F.col(f"__l{i}").eqNullSafe(F.col(f"__l{j}")) & F.col(f"__h{i}").eqNullSafe(F.col(f"__h{j}")) & F.col(f"__v{j}").isNull()
+    lead = [F.coalesce(*[F.when(same(i, j), F.lit(j)) for j in range(i)], F.lit(i)) for i in range(len(ranks))]
+    which = F.array(*[F.when(c & (lead[i] == i), F.lit(i)) for i, c in enumerate(inside)])
+    rows = attach(x, mark(state), by, "inner").select(*by, "__v", F.explode(F.array_compact(which)).alias("__i"))
+    cells = rows.groupBy(*by, "__i", "__v").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.array(*[F.struct(lead[i].alias("__i"), F.lit(i).alias("__k"), (rank - F.col(f"__b{i}")).alias("__r")) for i, rank in enumerate(ranks)])
+    wanted = state.select(*by, F.explode(wanted).alias("w")).select(*by, "w.*")
+    placed = attach(cells.withColumn("__t", upto), wanted, [*by, "__i"], "inner").filter((F.col("__r") >= F.col("__t") - F.col("__c")) & (F.col("__r") < F.col("__t")))
+    values = placed.groupBy(*by).agg(*[F.max(F.when(F.col("__k") == i, F.col("__v"))).alias(f"__w{i}") for i in range(len(ranks))])
+    out = attach(state, values, by, "left")
+    return out.select(*by, "__n", *[F.coalesce(f"__v{i}", f"__w{i}").alias(f"__v{i}") for i in range(len(ranks))])

@@ -139,8 +139,8 @@ def test_previous_row_within_a_register(spark, hot_rows):
         assert (r["previous"]["v"] if r["previous"] else None) == (r["v"] - 10 if r["year"] else None)
 
 
-@pytest.mark.parametrize("buckets,levels", [(4, 1), (8, 3), (4096, 2)])
-def test_quantiles_equal_numpy(spark, buckets, levels):
+@pytest.mark.parametrize("fit,grid", [(0, 4), (8, 16), (1_000_000, 512)])
+def test_quantiles_equal_numpy(spark, fit, grid):
     rng = np.random.default_rng(3)
     data = {
         "even": rng.normal(0, 1, 501).tolist(),
@@ -151,7 +151,7 @@ def test_quantiles_equal_numpy(spark, buckets, levels):
     }
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("empty", None)], "g string, v double").repartition(6)
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
-    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, method="selection", buckets=buckets, levels=levels).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, method="selection", fit=fit, grid=grid).collect()}
     assert set(got) == set(data)
     for g, vs in data.items():
         values = [v for v in vs if v is not None]
@@ -184,6 +184,18 @@ def test_quantiles_without_groups(spark, method):
     assert exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.25}, method=method).collect() == [(5.0, 2.5)]
 
 
+def test_tiers_of_outliers_cost_no_more_passes(spark):
+    """Values over 300 powers of ten, and one that fills a third of its group: every pass leaves a hundredth or less."""
+    rng = np.random.default_rng(8)
+    far = [rng.normal(0, 1, 6000), 1e6 * rng.uniform(1, 2, 3000), 1e18 * rng.uniform(1, 2, 2000), 1e300 * rng.uniform(0, 1, 900), [float("inf")] * 5, [-1e200] * 200]
+    data = {"far": np.concatenate(far), "tied": np.concatenate([np.full(7000, 2.5), rng.uniform(2.4, 2.6, 9000)]), "few": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, v double").repartition(5)
+    probs, passes = {"a": 0.01, "q1": 0.25, "m": 0.5, "q3": 0.75, "z": 0.995}, []
+    got = exact_quantiles(df, ["g"], "v", probs, method="selection", fit=20, passes=passes)
+    assert sorted(got.collect()) == sorted(exact_quantiles(df, ["g"], "v", probs, method="builtin").collect())
+    assert passes[0] == 16_000 and 2 <= len(passes) <= 4 and passes[-1] <= 20 and all(b <= a / 100 or b <= 20 for a, b in zip(passes, passes[1:]))
+
+
 @pytest.mark.parametrize("method", ["auto", "selection"])
 def test_quantiles_of_null_group_and_infinite_values(spark, method):
     rows = [(None, 1.0), (None, 3.0), ("a", float("inf")), ("a", 2.0), ("a", 1.0)]
