@@ -1,9 +1,8 @@
 """Fixed values.
 
-Everything in this module is given from outside: register layouts, code ranges,
+Everything in this module is given from outside: register layouts, code lists,
 labels, date formats and column names.  Results are only right when these equal
 the published registers, so they are written here plainly and in one place.
-Code lists are written as ranges; ``functions.codes`` expands them.
 """
 
 from __future__ import annotations

@@ -81,8 +81,6 @@ CHILD_EVENTS = {
     "number_of_children_increase": more("ANTBOERNH"),
     "number_of_children_decrease": fewer("ANTBOERNH"),
 }
-
-
 FATHER_EVENTS = {
     "father_education_change": changed("FAR_EDU_LVL"),
     "father_income_change": moved("FAR_PERINDKIALT_13"),
@@ -101,30 +99,6 @@ MOTHER_EVENTS = {
     "mother_job_change": changed("MOR_STILL"),
     "mother_socioeconomic_status_change": changed("MOR_SOCIO13"),
 }
-EVENTS = {
-    "municipality_change": changed("KOM"),
-    "family_composition_change": changed("FAMILIE_TYPE"),
-    "household_size_increase": more("ANTPERSH"),
-    "household_size_decrease": fewer("ANTPERSH"),
-    "number_of_children_increase": more("ANTBOERNH"),
-    "number_of_children_decrease": fewer("ANTBOERNH"),
-}
-
-
-def parent_events(parent: str, prefix: str) -> dict[str, Event]:
-    return {
-        f"{parent}_education_change": changed(f"{prefix}EDU_LVL"),
-        f"{parent}_income_change": moved(f"{prefix}PERINDKIALT_13"),
-        f"significant_income_increase_{parent}": rose_by(f"{prefix}PERINDKIALT_13", 0.10),
-        f"significant_income_decrease_{parent}": fell_by(f"{prefix}PERINDKIALT_13", 0.10),
-        f"{parent}_employment_status_change": changed(f"{prefix}BESKST13"),
-        f"{parent}_job_change": changed(f"{prefix}STILL"),
-        f"{parent}_socioeconomic_status_change": changed(f"{prefix}SOCIO13"),
-    }
-
-
-FATHER_EVENTS = parent_events("father", "FAR_")
-MOTHER_EVENTS = parent_events("mother", "MOR_")
 EVENTS = {"child": CHILD_EVENTS, "father": FATHER_EVENTS, "mother": MOTHER_EVENTS}
 
 
