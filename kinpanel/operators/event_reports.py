@@ -105,14 +105,19 @@ def count_long(events: DataFrame, rows: str = "year", columns: str = "event_type
     return events.groupBy(rows, columns).agg(F.count("*").alias("count"))
 
 
-def event_correlation(events: DataFrame, types: list[str] | None = None) -> DataFrame:
+#: Types are dealt into so many blocks; pairs of blocks are as many keys as its square.
+PAIR_BLOCKS = 64
+
+
+def event_correlation(events: DataFrame, types: list[str] | None = None, blocks: int = PAIR_BLOCKS) -> DataFrame:
     """Pearson correlation of the per-person counts for every pair of event types.
 
     ``correlation`` is null where a type has the same count for everyone. Types are rows, not columns: counts per person and
-    type, products over the pairs of types a person really has, then one row per pair, so their number is not limited.
+    type, products over the pairs of types a person really has, then one row per pair. Types are dealt into ``blocks`` by hash;
+    each pair of blocks is a key of its own, so the pairs are made in as many places and no task or row holds all types.
     """
     counts = events.groupBy("PNR", "event_type").agg(F.count("*").cast("decimal(38,0)").alias("n"))
-    persons = counts.select("PNR").distinct().agg(F.count("*").cast("decimal(38,0)").alias("persons"))
+    persons = counts.select("PNR").distinct().agg(F.count("*").cast("decimal(38,0)")).scalar()
     own = counts.where(F.col("event_type").isNotNull())
     if types is not None:
         own = own.where(F.col("event_type").isin(types))
@@ -124,11 +129,12 @@ def event_correlation(events: DataFrame, types: list[str] | None = None) -> Data
         wanted = events.sparkSession.createDataFrame([(t,) for t in types], "event_type string")
         sums = wanted.join(sums, "event_type", "left").na.fill(0)
         sums = sums.select("event_type", *[F.col(c).cast("decimal(38,0)").alias(c) for c in ("s", "q")])
-    # One row per type, then one per pair: as many as the result has.
-    listed = sums.agg(F.collect_list(F.struct("event_type", "s", "q")).alias("types")).join(persons)
-    pairs = listed.select("persons", "types", F.explode("types").alias("a")).select("persons", "a", F.explode("types").alias("b"))
-    pairs = pairs.select("persons", *[F.col(f"{x}.{y}").alias(f"{z}_{x}") for x in "ab" for y, z in (("event_type", "event"), ("s", "s"), ("q", "q"))])
-    n = F.col("persons")
+    dealt = sums.withColumn("block", F.pmod(F.xxhash64("event_type"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    first = dealt.select(F.col("event_type").alias("event_a"), F.col("s").alias("s_a"), F.col("q").alias("q_a"), F.col("block").alias("i"), other.alias("j"))
+    second = dealt.select(F.col("event_type").alias("event_b"), F.col("s").alias("s_b"), F.col("q").alias("q_b"), F.col("block").alias("j"), other.alias("i"))
+    pairs = first.hint("shuffle_merge").join(second, ["i", "j"])
+    n = persons
 
     def spread(x: str) -> Column:
         return (n * F.col(f"q_{x}") - F.col(f"s_{x}") * F.col(f"s_{x}")).cast("double")

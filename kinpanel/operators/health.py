@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinpanel.fixed_values import DIAGNOSIS_GROUPS, HEALTH_NAMES, UNKNOWN_DEPARTMENT
@@ -144,22 +144,38 @@ def check_people_kept(before: DataFrame, after: DataFrame, before_id: str, after
         raise ValueError(f"number of persons changed from {n} to {m}")
 
 
+def check_same_people(before: dict[str, object], after: dict[str, object]) -> None:
+    """Raise when two tables, of which ``row_marks`` of the person key were taken, do not have the same persons' rows."""
+    if before != after:
+        raise ValueError(f"persons changed: {before['n']} rows before, {after['n']} after" if before["n"] != after["n"] else "other persons than before")
+
+
+def summary_measures() -> dict[str, Column]:
+    """The numbers of ``scd_summary`` as measures of a table that is being written."""
+    return {
+        "total_patients": F.count(F.lit(1)),
+        "scd_positive": F.count_if(F.col("is_scd")),
+        "scd_negative": F.count_if(~F.col("is_scd")),
+        "has_scd_date": F.count("first_scd_date"),
+    }
+
+
 def scd_summary(flags: DataFrame) -> DataFrame:
     """Persons in all, flagged, not flagged and with a date; one row."""
-    return flags.agg(
-        F.count("*").alias("total_patients"),
-        F.count_if(F.col("is_scd")).alias("scd_positive"),
-        F.count_if(~F.col("is_scd")).alias("scd_negative"),
-        F.count("first_scd_date").alias("has_scd_date"),
-    )
+    return flags.agg(*[c.alias(n) for n, c in summary_measures().items()])
+
+
+def prevalence_of(total: Column, cases: Column, one: DataFrame) -> DataFrame:
+    """Population, cases and prevalence (%, two decimals) as metric and value, from the row of ``one`` that has both numbers."""
+    share = F.when(total > 0, F.round(cases / F.greatest(total, F.lit(1)) * 100, 2)).otherwise(F.lit(0.0))
+    row = one.select(total.cast("double").alias("Total Population"), cases.cast("double").alias("SCD Cases"), share.alias("Prevalence (%)"))
+    return row.unpivot([], row.columns, "metric", "value")
 
 
 def prevalence(flags: DataFrame) -> DataFrame:
     """Population, cases and prevalence (%, two decimals) as metric and value."""
-    n, cases = F.count("*"), F.count_if(F.coalesce("is_scd", F.lit(False)))
-    share = F.when(n > 0, F.round(cases / n * 100, 2)).otherwise(F.lit(0.0))
-    one = flags.agg(n.cast("double").alias("Total Population"), cases.cast("double").alias("SCD Cases"), share.alias("Prevalence (%)"))
-    return one.unpivot([], one.columns, "metric", "value")
+    one = flags.agg(F.count("*").alias("n"), F.count_if(F.coalesce("is_scd", F.lit(False))).alias("cases"))
+    return prevalence_of(F.col("n"), F.col("cases"), one)
 
 
 def _one_row_per_record(health: DataFrame) -> DataFrame:

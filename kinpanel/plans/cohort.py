@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinpanel.fixed_values import FIRST_BIRTH_YEAR, LAST_BIRTH_YEAR
@@ -23,7 +23,7 @@ from kinpanel.plans.zones import write_domains, write_health, write_people, writ
 from kinpanel.sources.buckets import read_bucketed, write_bucketed
 from kinpanel.sources.manifest import Change, catalogue, find_change, is_changed, mark_done, read_manifest, write_catalogue
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
-from kinpanel.sources.tables import check_partitions, exists, of_years, partition_rows, read_panel, write_listing, write_panel, write_report, write_table
+from kinpanel.sources.tables import check_partitions, exists, of_years, partition_rows, read_panel, row_marks, write_listing, write_observed, write_panel, write_report, write_table
 
 log = logging.getLogger(__name__)
 
@@ -52,7 +52,9 @@ class Study:
 
 
 def build_population(spark: SparkSession, study: Study) -> DataFrame:
-    """Children of the inclusion years with their parents' birth dates, and the two summaries."""
+    """Children of the inclusion years with their parents' birth dates, and the two summaries.
+
+    Marks of the rows and of the persons are taken while they are written and kept beside the manifest."""
     register = read_population(spark, study.registers["bef"])
     births = read_births(spark, study.registers["mfr"]) if "mfr" in study.registers else None
     years = (study.first_birth_year, study.last_birth_year)
@@ -62,15 +64,39 @@ def build_population(spark: SparkSession, study: Study) -> DataFrame:
     write_table(p.combine_children(bef, mfr), f"{study.output}/children")
     children = spark.read.parquet(f"{study.output}/children")
     population = p.add_parent_births(children, p.parent_births(register))
+    marks = {**_named("rows", row_marks(*population.columns)), **_named("people", row_marks("PNR"))}
+    path = f"{study.output}/population"
     if study.buckets:
-        write_bucketed(population, f"{study.output}/population", buckets=study.buckets, year=None)
+        seen = Observation()
+        write_bucketed(population, path, buckets=study.buckets, year=None, observe=lambda df: df.observe(seen, *[c.alias(n) for n, c in marks.items()]))
+        told = seen.get
     else:
-        write_table(population, f"{study.output}/population")
+        told = write_observed(population, path, marks)
+    _remember(spark, study, "population", told)
     write_table(p.summary_before(bef, mfr), f"{study.output}/population_summary_before")
     write_table(p.summary_after(children), f"{study.output}/population_summary_after")
     return _open(spark, study, f"{study.output}/population", spark.read.parquet)
 
 
+def _named(prefix: str, measures: dict[str, object]) -> dict[str, object]:
+    return {f"{prefix}_{k}": v for k, v in measures.items()}
+
+
+def _part(prefix: str, told: dict[str, object]) -> dict[str, object]:
+    return {k.removeprefix(f"{prefix}_"): v for k, v in told.items() if k.startswith(f"{prefix}_")}
+
+
+def _remember(spark: SparkSession, study: Study, table: str, told: dict[str, object]) -> None:
+    """Keep a table's measures as text; ``_told`` gives them back."""
+    rows = [(k, str(v)) for k, v in sorted(told.items())]
+    spark.createDataFrame(rows, "measure string, value string").coalesce(1).write.mode("overwrite").parquet(f"{study.output}/manifest/{table}")
+
+
+def _told(spark: SparkSession, study: Study, table: str) -> dict[str, str]:
+    found = read_manifest(spark, f"{study.output}/manifest/{table}")
+    return {} if found is None else {r["measure"]: r["value"] for r in found.collect()}
+
+
 def _open(spark: SparkSession, study: Study, path: str, read: Callable[[str], DataFrame]) -> DataFrame:
     return read_bucketed(spark, path) if study.buckets else read(path)
 
@@ -245,7 +271,7 @@ def build_study(spark: SparkSession, study: Study, categories: list[str] | None
     panels = build_panels(spark, study, yearly, failed)
     years = {n: c.years for n, c in yearly.items() if n not in failed}
     if not same or new_care or not exists(spark, f"{out}/cohort"):
-        write_table(population if care is None else h.add_flags(population, h.care_flags(care)), f"{out}/cohort")
+        _write_cohort(spark, study, population, care)
     base = f"{out}/analytical_data"
     if not same or not exists(spark, f"{base}/static"):
         write_people(spark, base, population)
@@ -281,17 +307,21 @@ def _change(spark: SparkSession, study: Study, name: str, failed: dict[str, str]
 
 def _population(spark: SparkSession, study: Study, changed: bool) -> tuple[DataFrame, bool]:
     """The population, built again if its registers changed, and whether it has the same rows as before."""
-    path, mark = f"{study.output}/population", f"{study.output}/manifest/population"
+    path = f"{study.output}/population"
     if not changed and exists(spark, path):
         return _open(spark, study, path, spark.read.parquet), True
+    before = _part("rows", _told(spark, study, "population"))
     population = build_population(spark, study)
-    # Rows counted and hashed in the one pass that remembers them.
-    hashed = F.xxhash64(*population.columns)
-    now = population.agg(F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(hashed.cast("decimal(38,0)")).alias("s"))
-    before = read_manifest(spark, mark)
-    old, new = None if before is None else before.first(), now.first()
-    spark.createDataFrame([new], now.schema).write.mode("overwrite").parquet(mark)
-    return population, old == new
+    return population, before == _part("rows", _told(spark, study, "population"))
+
+
+def _write_cohort(spark: SparkSession, study: Study, population: DataFrame, care: DataFrame | None) -> None:
+    """Population with disease flags. The writing tasks count persons and cases; nobody may be lost or doubled on the way."""
+    cohort = population if care is None else h.add_flags(population, h.care_flags(care))
+    marks = _named("people", row_marks("PNR")) | ({} if care is None else _named("scd", h.summary_measures()))
+    told = write_observed(cohort, f"{study.output}/cohort", marks)
+    h.check_same_people(_part("people", _told(spark, study, "population")), {k: str(v) for k, v in _part("people", told).items()})
+    _remember(spark, study, "cohort", told)
 
 
 def _care(spark: SparkSession, study: Study, changed: bool, failed: dict[str, str]) -> tuple[DataFrame | None, bool]:
@@ -311,10 +341,11 @@ def _care(spark: SparkSession, study: Study, changed: bool, failed: dict[str, st
 
 def _write_reports(spark: SparkSession, study: Study, population: DataFrame, roles: dict[str, DataFrame], categories: list[str] | None) -> None:
     events, reports = build_events(spark, study, roles, keep=categories), f"{study.output}/reports"
-    cohort = spark.read.parquet(f"{study.output}/cohort")
-    if "is_scd" in cohort.columns:
-        h.check_people_kept(population, cohort, "PNR", "PNR")
-        write_scd_report(cohort, f"{reports}/scd")
+    summary = _part("scd", _told(spark, study, "cohort"))
+    if summary:
+        one = spark.createDataFrame([tuple(int(summary[k]) for k in h.summary_measures())], [*h.summary_measures()])
+        write_report(one, f"{reports}/scd_summary")
+        write_report(h.prevalence_of(F.col("total_patients"), F.col("scd_positive"), one), f"{reports}/scd")
     write_population_reports(population, f"{reports}/population")
     write_event_reports(events, f"{reports}/events")
     write_event_figures(events, f"{reports}/figures", [c for c in categories or [] if c in events.columns])

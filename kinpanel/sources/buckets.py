@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +49,13 @@ def bucket_count(spark: SparkSession, path: str) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
-def write_bucketed(df: DataFrame, path: str, key: str = "PNR", buckets: int | None = None, year: str | None = "year", only_given: bool = False) -> DataFrame:
+def write_bucketed(df: DataFrame, path: str, key: str = "PNR", buckets: int | None = None, year: str | None = "year", only_given: bool = False, observe: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Parquet in ``buckets`` by ``key``, each file sorted by it, in folders by ``year``; returns the table as ``read_bucketed`` does.
 
     A task writes one bucket, one file a year. ``only_given`` replaces the years that ``df`` has rows of and leaves the others;
     columns that the table has not seen are added to it. The number of buckets of a table stays as it was written first. Tables are
     compatible for joins when their numbers of buckets are equal; numbers below ``spark.sql.shuffle.partitions`` would be
-    shuffled again and are refused.
+    shuffled again and are refused. ``observe`` is applied to the rows as the tasks write them.
     """
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -68,12 +69,12 @@ def write_bucketed(df: DataFrame, path: str, key: str = "PNR", buckets: int | No
         schema = T.StructType([f for f in old.fields if f.name != year] + new + [f for f in old.fields if f.name == year])
         _define(spark, path, schema, key, buckets, year)
         same = df.select(*[(F.col(_quoted(f.name)) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        same.repartition(buckets, F.col(key)).write.insertInto(_name(path), overwrite=True)
+        observe(same.repartition(buckets, F.col(key))).write.insertInto(_name(path), overwrite=True)
     else:
         order = [c for c in df.columns if c != year] + ([year] if year else [])
         schema = df.select(*order).schema
         spark.sql(f"DROP TABLE IF EXISTS {_name(path)}")
-        writer = df.select(*order).repartition(buckets, F.col(key)).write.format("parquet").mode("overwrite").option("path", path).option("compression", "zstd")
+        writer = observe(df.select(*order).repartition(buckets, F.col(key))).write.format("parquet").mode("overwrite").option("path", path).option("compression", "zstd")
         (writer.partitionBy(year) if year else writer).bucketBy(buckets, key).sortBy(key).saveAsTable(_name(path))
     about = json.dumps({"schema": json.loads(schema.json()), "key": key, "buckets": buckets, "year": year})
     spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(_description(path))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinpanel.sources.schemas import read_reconciled
@@ -20,6 +20,22 @@ def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None =
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, measures: dict[str, Column], write=write_table) -> dict[str, object]:
+    """Write a table and return ``measures`` of all its rows, taken by the tasks that write them: no job of their own.
+
+    ``write(df, path)`` must write the rows as they come; after a shuffle, rows of a task that is run again would count twice.
+    """
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), path)
+    return seen.get
+
+
+def row_marks(*columns: str) -> dict[str, Column]:
+    """Measures that tell whether two tables have the same rows of these columns, in whatever order: number, xor and sum of hashes."""
+    h = F.xxhash64(*columns)
+    return {"n": F.count(F.lit(1)), "x": F.coalesce(F.bit_xor(h), F.lit(0)), "s": F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))}
+
+
 def write_panel(
     df: DataFrame, path: str, partition_by: str = "year", sort_by: list[str] | None = None, rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite", only_given: bool = False
 ) -> None:

@@ -11,9 +11,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from kinpanel.operators import health as h
 from kinpanel.operators.population import relationships
 from kinpanel.plans import cohort as c
-from kinpanel.sources.tables import read_panel
+from kinpanel.sources.tables import read_panel, row_marks
 
 
 @pytest.fixture(scope="module")
@@ -107,10 +108,36 @@ def test_without_hospital_registers(spark, study, folder):
     assert c.build_cohort(spark, only).count() == 30
 
 
+def test_persons_are_counted_in_passing(spark, folder, monkeypatch):
+    """The write itself tells persons and cases; a person lost or doubled ends the job."""
+    monkeypatch.setattr(h, "check_people_kept", None)
+    study = c.Study({}, folder)
+    people = spark.range(50).selectExpr("cast(id as string) PNR", "date'2000-01-01' FOED_DAG")
+    c._remember(spark, study, "population", c._named("people", people.agg(*[v.alias(k) for k, v in row_marks("PNR").items()]).first().asDict()))
+    care = people.filter("PNR < '2'").selectExpr("PNR patient_id", "true is_scd", "FOED_DAG admission_date")
+    spark.sparkContext.setJobGroup("cohort", "write")
+    c._write_cohort(spark, study, people, care)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cohort"))
+    spark.sparkContext.setJobGroup("plain", "write")
+    h.add_flags(people, h.care_flags(care)).write.parquet(f"{folder}/plain")
+    plain = len(spark.sparkContext.statusTracker().getJobIdsForGroup("plain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= plain + 4  # reading and writing the few measures
+    told = c._part("scd", c._told(spark, study, "cohort"))
+    assert told == {"total_patients": "50", "scd_positive": "12", "scd_negative": "38", "has_scd_date": "12"}
+    for broken in (people.limit(49), people.unionByName(people.limit(1)), people.selectExpr("concat(PNR, 'x') PNR", "FOED_DAG")):
+        with pytest.raises(ValueError, match="persons"):
+            c._write_cohort(spark, study, broken, care)
+
+
 def test_whole_study_runs_once(spark, study, folder):
     whole = c.Study(study.registers, f"{folder}/out", 2000, 2004, education_levels=study.education_levels)
     assert c.build_study(spark, whole) and not c.build_study(spark, whole)
-    for name in ("scd", "events/event_counts", "figures/event_correlation", "baseline", "population/basic_stats"):
+    report = {r["metric"]: r["value"] for r in spark.read.csv(f"{folder}/out/reports/scd", header=True).collect()}
+    assert report == {"Total Population": "31.0", "SCD Cases": "9.0", "Prevalence (%)": "29.03"}
+    summary = spark.read.csv(f"{folder}/out/reports/scd_summary", header=True, inferSchema=True).first().asDict()
+    assert summary == h.scd_summary(spark.read.parquet(f"{folder}/out/cohort")).first().asDict()
+    for name in ("scd", "baseline_by_sex", "events/event_counts", "figures/event_correlation", "baseline", "population/basic_stats"):
         assert glob.glob(f"{folder}/out/reports/{name}/*.csv"), name
 
 
@@ -123,7 +150,7 @@ def files(base, *names):
     return found
 
 
-TABLES = ("panels/ind", "panels/akm", "panels/bef", "long/child", "long/mother", "long/father", "analytical_data/longitudinal/income", "population", "care")
+TABLES = ("panels/ind", "panels/akm", "panels/bef", "long/child", "long/mother", "long/father", "analytical_data/longitudinal/income", "population")
 
 
 @pytest.fixture(scope="module")
@@ -136,7 +163,7 @@ def copy(study, tmp_path_factory):
 
 
 def whole(study, base, out):
-    return c.Study({n: f"{base}/{n}/*.parquet" for n in study.registers}, out, 2000, 2004, education_levels=study.education_levels)
+    return c.Study({n: f"{base}/{n}/*.parquet" for n in ("bef", "mfr", "ind", "akm")}, out, 2000, 2004)
 
 
 def replace(spark, base, file, change):
@@ -165,7 +192,7 @@ def test_one_changed_file_rewrites_its_year(spark, study, copy, folder):
     after = files(one.output, *TABLES)
     changed = {k for k in before if before[k] != after.get(k)}
     assert {"panels/ind/year=2011", "long/mother/MOR_year=2011", "long/father/FAR_year=2011", "analytical_data/longitudinal/income/ind/year=2011"} <= changed
-    assert not any("2010" in k or "2012" in k or k.startswith(("panels/akm", "panels/bef", "long/child", "population", "care")) for k in changed)
+    assert not any("2010" in k or "2012" in k or k.startswith(("panels/akm", "panels/bef", "long/child", "population")) for k in changed)
     fresh = whole(study, copy, f"{folder}/fresh")
     assert c.build_study(spark, fresh)
     same_rows(spark, one.output, fresh.output, [*TABLES, "events", "cohort", "analytical_data/derived/statistics/longitudinal/income"])

@@ -148,3 +148,18 @@ def test_correlation_of_many_types(spark):
     assert er.count_long(df).count() == 40
     few = er.event_correlation(df, ["e1", "e2", "absent"]).collect()
     assert len(few) == 9 and all(r["correlation"] is None for r in few if "absent" in (r["event_a"], r["event_b"]))
+
+
+def test_correlation_pairs_are_made_in_blocks(spark):
+    """Pairs of 900 types: no row that holds all types, and no task with more than twice the usual."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).selectExpr("cast(id % 50 as string) PNR", "2000 year", "concat('e', id % 900) event_type")
+    got = er.event_correlation(df)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = sorted(r[1] for r in er.event_correlation(df).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 900 * 900 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
