@@ -23,6 +23,7 @@ from kinpanel.plans.zones import write_domains, write_health, write_people, writ
 from kinpanel.sources.buckets import read_bucketed, write_bucketed
 from kinpanel.sources.manifest import Change, catalogue, find_change, is_changed, mark_done, read_manifest, write_catalogue
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
+from kinpanel.sources.sketches import profile_panel, write_sketches
 from kinpanel.sources.tables import check_partitions, exists, of_years, partition_rows, read_panel, row_marks, write_listing, write_observed, write_panel, write_report, write_table
 
 log = logging.getLogger(__name__)
@@ -132,7 +133,8 @@ def build_panels(spark: SparkSession, study: Study, changes: dict[str, Change] |
         path = f"{study.output}/panels/{name}"
         try:
             if changes is None or name in changes:
-                _write_register(spark, study, name, path, Change() if changes is None else changes[name])
+                years = _write_register(spark, study, name, path, Change() if changes is None else changes[name])
+                write_sketches(spark, path, years)
             panels[name] = _open(spark, study, path, lambda p: read_panel(spark, p))
         except (PySparkException, Py4JJavaError, ValueError) as e:
             if failed is None:
@@ -144,7 +146,8 @@ def build_panels(spark: SparkSession, study: Study, changes: dict[str, Change] |
     return panels
 
 
-def _write_register(spark: SparkSession, study: Study, name: str, path: str, change: Change) -> None:
+def _write_register(spark: SparkSession, study: Study, name: str, path: str, change: Change) -> frozenset[int] | None:
+    """Returns the years written, None for all."""
     prepare = study.prepare.get(name)
     partial = change.years is not None and exists(spark, path)
     df = read_register(spark, name, list(change.files) if partial else study.registers[name], prepare=prepare)
@@ -154,15 +157,16 @@ def _write_register(spark: SparkSession, study: Study, name: str, path: str, cha
         df = add_education_level(df, study.education_levels)
     if study.buckets:
         write_bucketed(of_years(df, change.years) if partial else df, path, buckets=study.buckets, only_given=partial)
-        return
+        return change.years if partial else None
     if partial:
         write_panel(of_years(df, change.years), path, only_given=True)
-        return
+        return change.years
     # Written beside it first: a register that fails half-way leaves the panel it had.
     if exists(spark, path):
         write_panel(df, f"{path}_new")
         df = read_panel(spark, f"{path}_new")
     write_panel(df, path)
+    return None
 
 
 ROLE_OF = {"bef": ("child",)}
@@ -346,6 +350,9 @@ def _write_reports(spark: SparkSession, study: Study, population: DataFrame, rol
         one = spark.createDataFrame([tuple(int(summary[k]) for k in h.summary_measures())], [*h.summary_measures()])
         write_report(one, f"{reports}/scd_summary")
         write_report(h.prevalence_of(F.col("total_patients"), F.col("scd_positive"), one), f"{reports}/scd")
+    for name in YEARLY:
+        if exists(spark, f"{study.output}/panels/{name}_sketches"):
+            write_report(profile_panel(spark, f"{study.output}/panels/{name}"), f"{reports}/profiles/{name}")
     write_population_reports(population, f"{reports}/population")
     write_event_reports(events, f"{reports}/events")
     write_event_figures(events, f"{reports}/figures", [c for c in categories or [] if c in events.columns])

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinpanel.operators.scale import shared_folder
+from kinpanel.operators.sketches import ERROR
+from kinpanel.operators.statistics import profile
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
+from kinpanel.sources.sketches import profile_panel, write_sketches
 from kinpanel.sources.tables import read_panel, write_panel
 from queries.proxies import register, with_registers
 
@@ -52,7 +55,28 @@ def register_years(spark, sf):
     return read_panel(spark, f"{folder}/panel", 1996, 1997).select("PNR", "KOM", "ANTPERSH", "REG", "year", "month")
 
 
+def panel_profile(spark, sf):
+    """Profile of some years of a written panel from the sketches beside it; estimates are held against the rows' own figures."""
+    path = f"{shared_folder(spark)}/panel"
+    write_panel(register(spark, sf, "ind").select("PNR", "PERINDKIALT_13", "BESKST13", "year"), path)
+    write_sketches(spark, path)
+    told = profile_panel(spark, path, 1994, 1996)
+    exact = profile(read_panel(spark, path, 1994, 1996).drop("year")).select("column", F.col("distinct_values").alias("d"), F.col("mean").alias("m"))
+    close = F.abs(F.col("distinct_values") - F.col("d")) <= F.greatest(F.lit(1.0), 4 * ERROR * F.col("d"))
+    same = F.coalesce(F.abs(F.col("mean") - F.col("m")) <= 1e-9 * F.abs("m"), F.col("m").isNull())
+    return told.join(exact, "column").select("column", "rows", "missing", "min", "max", close.alias("distinct_close"), same.alias("mean_equal"))
+
+
+def _profile_row(column: str, number: bool) -> str:
+    ends = ", ".join(f"CAST({f}({column}) AS DOUBLE) AS {f}" if number else f"CAST(NULL AS DOUBLE) AS {f}" for f in ("min", "max"))
+    return f"SELECT '{column}' AS column, count(*) AS rows, count(*) - count({column}) AS missing, {ends}, true AS distinct_close, true AS mean_equal FROM ind WHERE year BETWEEN 1994 AND 1996"
+
+
 QUERIES = {
+    "panel_profile": (
+        panel_profile,
+        with_registers("ind") + " UNION ALL ".join(_profile_row(c, n) for c, n in (("PNR", False), ("PERINDKIALT_13", True), ("BESKST13", True))),
+    ),
     "parquet_scan": (
         parquet_scan,
         "SELECT o_orderkey, o_custkey, o_totalprice, NULL AS c_custkey, NULL AS c_name, NULL AS c_nationkey FROM orders "
