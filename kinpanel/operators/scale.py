@@ -21,8 +21,6 @@ HOT_ROWS = 2_000_000
 TRACKED = 50_000
 MAX_HOT = 10_000
 MAX_WAYS = 4_096
-# Rows without a key match nothing; they are spread over this many tasks.
-NULL_WAYS = 256
 # Largest table to broadcast, in rows and in bytes of text.
 SMALL_ROWS = 200_000
 SMALL_BYTES = 64 * 1024 * 1024
@@ -61,11 +59,9 @@ def left_join(
 ) -> DataFrame:
     """Left join that survives heavy keys on either side; the right keys are not kept.
 
-    A row of a heavy key gets a slot number from its own values and the input
-    split it comes from (stable when a task is run again; rows of one split part
-    by their values, equal rows by their split); the other side is repeated once
-    per slot, for those keys only.
-    Rows without a key match nothing and are spread over tasks.  A heavy key of
+    A row of a heavy key gets a slot number (see ``_dealt``); the other side is repeated once
+    per slot, for those keys only.  Equal rows are joined once a slot and repeated after the join.
+    Rows without a key match nothing and do not move.  A heavy key of
     the right side has matches by definition, so a repeated left row that meets
     an empty slot is dropped and nothing is lost.
 
@@ -86,11 +82,6 @@ def left_join(
 
     ways = F.broadcast(_ways(l, left_hot, right_hot, hot_rows))
 
-    def spread(df: DataFrame) -> Column:
-        return F.xxhash64(F.spark_partition_id(), *[F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
-
-    split, right_split = spread(l), spread(r)
-
     def with_ways(df: DataFrame, key: str) -> DataFrame:
         found = df.join(ways, F.col(key) == F.col("__hot"), "left").drop("__hot")
         return found.withColumns({w: F.coalesce(w, F.lit(1)) for w in ("__lways", "__rways")})
@@ -98,23 +89,44 @@ def left_join(
     def copies(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    no_key = F.col("__lkey").isNull()
+    # Rows without a key match nothing: they need not move.
+    without = l.where(F.col("__lkey").isNull()).drop("__lkey")
+    without = without.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in r.schema.fields if f.name != "__rkey"])
     l = (
-        with_ways(l, "__lkey")
-        .withColumn("__ls", F.when(no_key, F.pmod(split, F.lit(NULL_WAYS))).otherwise(F.pmod(split, F.col("__lways"))).cast("int"))
+        _dealt(with_ways(l.where(F.col("__lkey").isNotNull()), "__lkey"), "__lways", "__ls", "__ln")
         .withColumn("__rs", copies("__rways"))
         .withColumn("__many", F.col("__rways") > 1)
         .drop("__lways", "__rways")
     )
-    r = (
-        with_ways(r, "__rkey")
-        .withColumn("__rs2", F.pmod(right_split, F.col("__rways")).cast("int"))
-        .withColumn("__ls2", copies("__lways"))
-        .drop("__lways", "__rways")
-    )
+    r = _dealt(with_ways(r, "__rkey"), "__rways", "__rs2", "__rn").withColumn("__ls2", copies("__lways")).drop("__lways", "__rways")
     joined = l.join(r, same_key & (F.col("__ls") == F.col("__ls2")) & (F.col("__rs") == F.col("__rs2")), "left")
     kept = joined.where(~F.col("__many") | F.col("__rkey").isNotNull())
-    return kept.drop("__lkey", "__rkey", "__ls", "__rs", "__ls2", "__rs2", "__many")
+    times = F.col("__ln") * F.coalesce("__rn", F.lit(1))
+    again = kept.withColumn("__times", F.explode(F.array_repeat(F.lit(True), times.cast("int"))))
+    found = again.drop("__lkey", "__rkey", "__ls", "__rs", "__ls2", "__rs2", "__many", "__ln", "__rn", "__times")
+    return found.unionByName(without)
+
+
+def _dealt(df: DataFrame, ways: str, slot: str, number: str) -> DataFrame:
+    """Each row with a slot below ``ways`` and the ``number`` of rows it stands for.
+
+    Rows of heavy keys that are equal in all columns are counted, and their number is shared out over the slots, as evenly as it
+    goes; the first slot comes from a hash of the row. So neither equal rows nor rows of one input split meet in one slot, and
+    nothing depends on the order of rows: a task that is run again places them as before. Rows with columns that
+    cannot be compared (maps, variants) get their slot from the others and from their split.
+    """
+    odd = [f.name for f in df.schema.fields if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
+    if odd:
+        hashed = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns if c not in odd])
+        return df.withColumn(slot, F.pmod(hashed, F.col(ways)).cast("int")).withColumn(number, F.lit(1).cast("long"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.where(F.col(ways) > 1).groupBy(*columns).agg(F.count("*").alias("__all"))
+    parts = F.least(F.col("__all"), F.col(ways)).cast("int")
+    shared = counted.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    first = F.pmod(F.xxhash64(*columns), F.col(ways))
+    share = F.floor(F.col("__all") / parts) + (F.col("__part") < F.col("__all") % parts).cast("long")
+    heavy = shared.select(*columns, F.pmod(first + F.col("__part"), F.col(ways)).cast("int").alias(slot), share.cast("long").alias(number))
+    return df.where(F.col(ways) <= 1).select(*columns, F.lit(0).alias(slot), F.lit(1).cast("long").alias(number)).unionByName(heavy)
 
 
 def one_key(keys: list[str]) -> Column:

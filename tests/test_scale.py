@@ -233,6 +233,30 @@ def test_clustered_heavy_key_is_spread(spark, place):
     assert sum(sizes) == 2 * n and max(sizes) < 2 * n / 3
 
 
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_equal_heavy_rows_are_spread(spark, side):
+    """One split holds very many equal rows of one key; they are joined, and made again, in many tasks."""
+    from pyspark.sql import functions as F
+
+    from kinpanel.operators.scale import left_join
+
+    n = 40_000
+    many = spark.range(n).select(F.lit(1).alias("k"), F.lit(-0.5).alias("v"), F.array(F.lit("x"), F.lit(None)).alias("a")).coalesce(1)
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n"), (None, "n")], "k int, w string")
+    left, right = (many, few) if side == "left" else (few, many)
+    joined = left_join(left, right, "k", hot_rows=2000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 2 * n + (3 if side == "right" else 0) and max(sizes) < 2 * n / 3
+    want = left.join(right.withColumnRenamed("k", "__k"), F.col("k") == F.col("__k"), "left").drop("__k")
+    order = sorted(want.columns)
+    count = lambda df: sorted(map(str, df.groupBy(*order).count().collect()))
+    assert joined.columns == want.columns and count(joined) == count(want)
+
+
 def test_both_quantile_ways_give_the_same_bits(spark):
     import random
 
