@@ -108,25 +108,47 @@ def scd_by_person(health: DataFrame, mode: str = "category") -> DataFrame:
     return flags.select(F.col("patient_id").alias("PNR"), "is_scd", "first_scd_date")
 
 
+def _flagged(
+    contacts: DataFrame, diagnoses: DataFrame, key: str, patient: str, date: str, contact_codes: list[str], diagnosis_codes: list[str],
+    mode: str, hot_rows: int | None,
+) -> DataFrame:
+    """``PNR, is_scd, __date`` of every contact. Only the keys of diagnoses that are severe chronic diseases are joined, each once."""
+    keys = diagnoses.where(any_scd(diagnosis_codes, mode)).select(F.col(key)).distinct().withColumn("__flag", F.lit(True))
+    joined = left_join(contacts.select(patient, key, date, *contact_codes), keys, key, hot_rows=hot_rows, right_hot=[])
+    flag = F.coalesce("__flag", F.lit(False))
+    if contact_codes:
+        flag = flag | any_scd(contact_codes, mode)
+    return joined.select(F.col(patient).alias("PNR"), flag.alias("is_scd"), F.col(date).alias("__date"))
+
+
+def _by_person(contacts: DataFrame) -> DataFrame:
+    first = F.min(F.when(F.col("is_scd"), F.col("__date")))
+    return contacts.groupBy("PNR").agg(F.coalesce(F.bool_or("is_scd"), F.lit(False)).alias("is_scd"), first.alias("first_scd_date"))
+
+
 def flag_contacts(
     contacts: DataFrame, diagnoses: DataFrame, key: str, patient: str, date: str, contact_codes: list[str], diagnosis_codes: list[str],
-    mode: str = "category", hot_rows: int | None = HOT_ROWS,
+    mode: str = "category", hot_rows: int | None = None,
 ) -> DataFrame:
     """Patient flags straight from contacts and diagnoses, without the record-level join.
 
-    Diagnoses are reduced to one flag per contact before they are joined, so the
-    combinations of diagnoses and visits are never built.
+    Diagnoses are reduced to the keys of flagged contacts before they are joined, so the combinations of diagnoses and visits are
+    never built. These keys are unique, so a heavy contact key only makes the contacts' side uneven, which the runtime splits by
+    itself; no job looks for heavy keys unless ``hot_rows`` asks for it.
     """
-    per_contact = diagnoses.groupBy(key).agg(F.bool_or(any_scd(diagnosis_codes, mode)).alias("__flag"))
-    joined = left_join(contacts.select(patient, key, date, *contact_codes), per_contact, key, hot_rows=hot_rows, right_hot=[])
-    flag = F.coalesce("__flag", F.lit(False))
-    if contact_codes:
-        flag = flag | any_scd(contact_codes, mode)
-    return (
-        joined.select(F.col(patient).alias("PNR"), flag.alias("is_scd"), F.col(date).alias("__date"))
-        .groupBy("PNR")
-        .agg(F.bool_or("is_scd").alias("is_scd"), F.min(F.when(F.col("is_scd"), F.col("__date"))).alias("first_scd_date"))
-    )
+    return _by_person(_flagged(contacts, diagnoses, key, patient, date, contact_codes, diagnosis_codes, mode, hot_rows))
+
+
+def flags_of_both(contacts_v2: DataFrame, diagnoses_v2: DataFrame, contacts_v3: DataFrame, diagnoses_v3: DataFrame, mode: str = "category") -> DataFrame:
+    """Flags per person over both hospital systems. Visits do not matter to them and are not read; building the plan starts no job."""
+    parts = []
+    for contacts, diagnoses in ((contacts_v2, diagnoses_v2), (contacts_v3, diagnoses_v3)):
+        contacts, diagnoses = _renamed(_with_dates(contacts)), _renamed(diagnoses)
+        own = [c for c in DIAGNOSES if c in contacts.columns]
+        told = [c for c in DIAGNOSES if c in diagnoses.columns and c not in own]
+        dated = contacts.withColumn("admission_date", parse_date("admission_date", contacts.schema["admission_date"].dataType))
+        parts.append(_flagged(dated, diagnoses, "record_id", "patient_id", "admission_date", own, told, mode, None))
+    return _by_person(parts[0].unionByName(parts[1]))
 
 
 def add_flags(population: DataFrame, flags: DataFrame) -> DataFrame:

@@ -152,3 +152,21 @@ def test_code_texts(spark):
     got = h.add_code_text(df, texts)
     assert got.columns == ["C_ADIAG", "C_DIAG", "description", "description_diag"]
     assert {tuple(r) for r in got.collect()} == {("DA001", "DB001", "first", None), ("DE750", None, "second", None), ("Z", "DE750", None, "second")}
+
+
+def test_flags_of_both_systems(spark):
+    """The same flags as from contact summaries; no job is started before they are asked for."""
+    from queries.health import _flags_of_both, register
+
+    sf = "/root/testdata/sf0.001"
+    names = ("adm", "diag", "bes", "kont", "diag3")
+    spark.sparkContext.setJobGroup("flags", "plan")
+    tables = {n: register(spark, sf, n) for n in names}
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("flags"))  # reading the files' schemas
+    got = h.flags_of_both(*[tables[n] for n in names if n != "bes"])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("flags"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == before
+    want = h.care_flags(h.care_of_both(*tables.values()))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert _flags_of_both(spark, sf).columns == ["PNR", "is_scd", "first_scd_date"]
