@@ -22,7 +22,7 @@ DISCOUNTED, FOLDS = 5, 10
 #: A word that follows more than one in so many tokens is a hot context: its bigrams are dealt over all tasks.
 HOT = 1000
 #: Bytes of text a chunk should have at most.
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 16 << 20
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(b" " + s)) for s in (b"start", b"end"))  # no word has a blank
 
 
@@ -311,7 +311,7 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = documents.sparkSession
     size = documents.select(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
-    parts = max(partitions(spark) * 3 // 2, size // CHUNK_BYTES + 1)
+    parts = max(partitions(spark) * 3, size // CHUNK_BYTES + 1)
     add = lambda a, b: a + b
     chunks = _dealt(_chunks(documents, id_col, text_col, parts), parts)
     requests = _dealt(chunks.mapPartitionsWithIndex(lambda i, it: _word_counts(i, it, parts)), parts)
