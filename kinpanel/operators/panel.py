@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from kinpanel.functions.labels import MAX_LITERAL_ENTRIES, label
 from kinpanel.operators.columns import prefixed, unique_names
 from kinpanel.operators.scale import HOT_ROWS, MAX_HOT, hot_keys, hot_keys_of, left_join, one_key, small
 
+log = logging.getLogger(__name__)
+
 FATHER, MOTHER = "FAR_", "MOR_"
 PERSON = {"child": ("year", "PNR"), "father": ("FAR_year", "FATHER_PNR"), "mother": ("MOR_year", "MOTHER_PNR")}
 
@@ -97,6 +100,8 @@ def label_codes(df: DataFrame, register: str, dictionaries: dict[str, DataFrame]
             out = apply_dictionary(out, column, dictionaries[name])
         elif name in LABELS:
             out = with_label(out, column, LABELS[name])
+        else:
+            log.warning("no dictionary for %s: its codes stay", column)
     return out
 
 

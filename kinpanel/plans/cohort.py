@@ -21,6 +21,7 @@ from kinpanel.operators.panel import PERSON, add_education_level, join_parent, j
 from kinpanel.operators.tables import baseline_table, baseline_text
 from kinpanel.plans.zones import write_domains, write_health, write_people, write_zones
 from kinpanel.sources.buckets import read_bucketed, write_bucketed
+from kinpanel.sources.dictionaries import read_json_dictionary
 from kinpanel.sources.manifest import Change, catalogue, find_change, is_changed, mark_done, read_manifest, write_catalogue
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
 from kinpanel.sources.sketches import profile_panel, write_sketches
@@ -44,7 +45,8 @@ class Study:
     last_birth_year: int = LAST_BIRTH_YEAR
     scd_mode: str = "category"
     with_labels: bool = False
-    dictionaries: dict[str, DataFrame] = field(default_factory=dict)
+    #: By column in small letters: a table of ``code`` and ``label``, or the path of a JSON dictionary, as of citizenship (``statsb``).
+    dictionaries: dict[str, DataFrame | str] = field(default_factory=dict)
     education_levels: DataFrame | None = None
     #: Write population and panels in so many buckets by person (see ``sources.buckets``), so that role joins move the population only.
     buckets: int | None = None
@@ -152,7 +154,8 @@ def _write_register(spark: SparkSession, study: Study, name: str, path: str, cha
     partial = change.years is not None and exists(spark, path)
     df = read_register(spark, name, list(change.files) if partial else study.registers[name], prepare=prepare)
     if study.with_labels:
-        df = label_codes(df, name, study.dictionaries)
+        given = {k: read_json_dictionary(spark, d) if isinstance(d, str) else d for k, d in study.dictionaries.items()}
+        df = label_codes(df, name, given)
     if name == "uddf" and study.education_levels is not None:
         df = add_education_level(df, study.education_levels)
     if study.buckets:

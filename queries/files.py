@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinpanel.fixed_values import REG
+from kinpanel.operators.panel import label_codes
 from kinpanel.operators.scale import shared_folder
 from kinpanel.operators.sketches import ERROR
 from kinpanel.operators.statistics import profile
+from kinpanel.sources.dictionaries import read_json_dictionary
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
 from kinpanel.sources.sketches import profile_panel, write_sketches
 from kinpanel.sources.tables import read_panel, write_panel
-from queries.proxies import register, with_registers
+from queries.proxies import register, table, with_registers
 
 PERIOD = ("year", "month")
 
@@ -72,7 +75,25 @@ def _profile_row(column: str, number: bool) -> str:
     return f"SELECT '{column}' AS column, count(*) AS rows, count(*) - count({column}) AS missing, {ends}, true AS distinct_close, true AS mean_equal FROM ind WHERE year BETWEEN 1994 AND 1996"
 
 
+def citizenship_labels(spark, sf):
+    """Coded columns of the population register labelled, citizenship by a JSON dictionary; codes it lacks stay."""
+    path = f"{shared_folder(spark)}/statsb.json"
+    entries = table(spark, sf, "nation").select(F.struct(F.expr("CAST(5100 + n_nationkey AS STRING)").alias("code"), F.col("n_name").alias("label")).alias("e"))
+    entries.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).write.text(path)
+    rows = table(spark, sf, "customer").selectExpr(
+        "c_custkey", "CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '5999' ELSE CAST(5100 + c_nationkey AS STRING) END AS STATSB", "CAST(80 + c_custkey % 8 AS STRING) AS REG"
+    )
+    return label_codes(rows, "bef", {"statsb": read_json_dictionary(spark, path)})
+
+
 QUERIES = {
+    "citizenship_labels": (
+        citizenship_labels,
+        "WITH labels_of_reg(code, label) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in REG.items()) + """),
+        c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '5999' ELSE CAST(5100 + c_nationkey AS VARCHAR) END AS s, CAST(80 + c_custkey % 8 AS VARCHAR) AS r FROM customer)
+        SELECT c_custkey, coalesce(n_name, s) AS STATSB, coalesce(label, r) AS REG
+        FROM c LEFT JOIN nation ON s = CAST(5100 + n_nationkey AS VARCHAR) LEFT JOIN labels_of_reg l ON r = l.code""",
+    ),
     "panel_profile": (
         panel_profile,
         with_registers("ind") + " UNION ALL ".join(_profile_row(c, n) for c, n in (("PNR", False), ("PERINDKIALT_13", True), ("BESKST13", True))),
