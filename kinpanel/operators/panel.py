@@ -19,9 +19,14 @@ FATHER, MOTHER = "FAR_", "MOR_"
 PERSON = {"child": ("year", "PNR"), "father": ("FAR_year", "FATHER_PNR"), "mother": ("MOR_year", "MOTHER_PNR")}
 
 
-def join_register(population: DataFrame, register: DataFrame, on: str | list[str] = "PNR", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Every person of the population with the person's register rows."""
-    return left_join(population, register, on, hot_rows=hot_rows)
+Hot = list[tuple[object, int]] | None
+
+
+def join_register(
+    population: DataFrame, register: DataFrame, on: str | list[str] = "PNR", hot_rows: int | None = HOT_ROWS, left_hot: Hot = None, right_hot: Hot = None
+) -> DataFrame:
+    """Every person of the population with the person's register rows. Heavy keys that are known spare the search for them."""
+    return left_join(population, register, on, hot_rows=hot_rows, left_hot=left_hot, right_hot=right_hot)
 
 
 def join_parents(
@@ -63,11 +68,13 @@ def join_parents(
     return out
 
 
-def join_parent(population: DataFrame, register: DataFrame, parent: str, key: str = "PNR", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def join_parent(
+    population: DataFrame, register: DataFrame, parent: str, key: str = "PNR", hot_rows: int | None = HOT_ROWS, left_hot: Hot = None, right_hot: Hot = None
+) -> DataFrame:
     """Register rows of one parent beside each child: no product with the other parent's rows. ``parent``: father or mother."""
     prefix, own = (FATHER, "FAR_ID") if parent == "father" else (MOTHER, "MOR_ID")
     side = prefixed(register, prefix, key).withColumnRenamed(key, f"__{prefix}key")
-    return left_join(population, side, own, f"__{prefix}key", hot_rows=hot_rows)
+    return left_join(population, side, own, f"__{prefix}key", hot_rows=hot_rows, left_hot=left_hot, right_hot=right_hot)
 
 
 def _by_year(heavy: list[tuple[object, int]], years: DataFrame) -> list[tuple[object, int]]:

@@ -24,7 +24,7 @@ from kinpanel.sources.buckets import read_bucketed, write_bucketed
 from kinpanel.sources.dictionaries import read_json_dictionary
 from kinpanel.sources.manifest import Change, catalogue, find_change, is_changed, mark_done, read_manifest, write_catalogue
 from kinpanel.sources.registers import read_births, read_parquet, read_population, read_register
-from kinpanel.sources.sketches import profile_panel, write_sketches
+from kinpanel.sources.sketches import profile_panel, stored_hot_keys, write_key_sketches, write_sketches
 from kinpanel.sources.tables import check_partitions, exists, of_years, partition_rows, read_panel, row_marks, write_listing, write_observed, write_panel, write_report, write_table
 
 log = logging.getLogger(__name__)
@@ -75,6 +75,7 @@ def build_population(spark: SparkSession, study: Study) -> DataFrame:
         told = seen.get
     else:
         told = write_observed(population, path, marks)
+    write_key_sketches(spark, path, ["PNR", "FAR_ID", "MOR_ID"], year=None)
     _remember(spark, study, "population", told)
     write_table(p.summary_before(bef, mfr), f"{study.output}/population_summary_before")
     write_table(p.summary_after(children), f"{study.output}/population_summary_after")
@@ -137,6 +138,7 @@ def build_panels(spark: SparkSession, study: Study, changes: dict[str, Change] |
             if changes is None or name in changes:
                 years = _write_register(spark, study, name, path, Change() if changes is None else changes[name])
                 write_sketches(spark, path, years)
+                write_key_sketches(spark, path, ["PNR"], years)
             panels[name] = _open(spark, study, path, lambda p: read_panel(spark, p))
         except (PySparkException, Py4JJavaError, ValueError) as e:
             if failed is None:
@@ -176,22 +178,25 @@ ROLE_OF = {"bef": ("child",)}
 PARENTS = ("mother", "father")
 
 
-def _role_frames(population: DataFrame, panels: dict[str, DataFrame], role: str, years: frozenset[int] | None) -> dict[str, DataFrame]:
-    """Rows of one role by register. With ``years``: those of these years, and those of people without any row."""
-    out = {}
+def _role_frames(spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame], role: str, years: frozenset[int] | None) -> dict[str, DataFrame]:
+    """Rows of one role by register. With ``years``: those of these years, and those of people without any row.
+
+    Heavy keys are known from the sketches beside the tables; no scan looks for them."""
+    out, key = {}, {"child": "PNR", "mother": "MOR_ID", "father": "FAR_ID"}[role]
+    heavy = stored_hot_keys(spark, f"{study.output}/population", key, with_null=True)
     for name, panel in panels.items():
         if role not in ROLE_OF.get(name, PARENTS):
             continue
         own = panel.drop("FOED_DAG", "FAR_ID", "MOR_ID", "FAMILIE_ID") if role == "child" else panel
-        join = join_register if role == "child" else (lambda a, b: join_parent(a, b, role))
+        known = {"left_hot": heavy, "right_hot": stored_hot_keys(spark, f"{study.output}/panels/{name}", "PNR")}
+        join = (lambda a, b, known=known: join_register(a, b, **known)) if role == "child" else (lambda a, b, known=known: join_parent(a, b, role, **known))
         if years is None:
             out[name] = join(population, own)
             continue
-        key = {"child": "PNR", "mother": "MOR_ID", "father": "FAR_ID"}[role]
         year = PERSON[role][0]
         some = join(population, of_years(own, years)).where(F.col(year).isNotNull())
-        known = panel.select(F.col("PNR").alias("__known")).distinct()
-        none = population.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("__known"), "left_anti")
+        there = panel.select(F.col("PNR").alias("__known")).distinct()
+        none = population.where(F.col(key).isNotNull()).join(there, F.col(key) == F.col("__known"), "left_anti")
         none = none.unionByName(population.where(F.col(key).isNull()))
         out[name] = some.unionByName(none, allowMissingColumns=True).select(*some.columns)
     return out
@@ -215,9 +220,9 @@ def build_role_panels(
         path = f"{study.output}/long/{role}"
         touched = None if years is None else [years[n] for n in sources if n in years]
         if touched is None or None in touched or not exists(spark, path):
-            _write_role(population, panels, role, path)
-        elif touched and not _write_role_years(spark, population, panels, role, path, frozenset().union(*touched)):
-            _write_role(population, panels, role, path)
+            _write_role(spark, study, population, panels, role, path)
+        elif touched and not _write_role_years(spark, study, population, panels, role, path, frozenset().union(*touched)):
+            _write_role(spark, study, population, panels, role, path)
         out[role] = read_panel(spark, path)
         gaps = [r[0] for r in check_partitions(spark, path, year).collect()]
         if gaps:
@@ -225,15 +230,15 @@ def build_role_panels(
     return out
 
 
-def _write_role(population: DataFrame, panels: dict[str, DataFrame], role: str, path: str) -> None:
+def _write_role(spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame], role: str, path: str) -> None:
     year, person = PERSON[role]
-    write_panel(split_roles(stack_registers(_role_frames(population, panels, role, None)))[role], path, year, [person])
+    write_panel(split_roles(stack_registers(_role_frames(spark, study, population, panels, role, None)))[role], path, year, [person])
 
 
-def _write_role_years(spark: SparkSession, population: DataFrame, panels: dict[str, DataFrame], role: str, path: str, years: frozenset[int]) -> bool:
+def _write_role_years(spark: SparkSession, study: Study, population: DataFrame, panels: dict[str, DataFrame], role: str, path: str, years: frozenset[int]) -> bool:
     """Replace some years of a role's panel. False, and nothing replaced, where a folder would have to go."""
     year, person = PERSON[role]
-    df = split_roles(stack_registers(_role_frames(population, panels, role, years)))[role]
+    df = split_roles(stack_registers(_role_frames(spark, study, population, panels, role, years)))[role]
     write_panel(df, f"{path}_years", year, [person])
     folders = lambda p: {r[0] for r in partition_rows(spark, p, year).select(year).collect()}
     given, before = folders(f"{path}_years"), folders(path)

@@ -47,3 +47,29 @@ def test_profile_reads_sketches_only(spark, folder, panel):
 
 def test_no_rows(spark, panel):
     assert k.profile_of_sketches(k.sketch_columns(panel.limit(0))).collect() == []
+
+
+def test_heavy_keys_from_sketches(spark, folder):
+    """Sketches of the years merge to the table's heavy keys; joins that know them start no search."""
+    from kinpanel.operators.panel import join_parent, join_register
+    from kinpanel.operators.scale import hot_keys
+    from kinpanel.sources.sketches import stored_hot_keys, write_key_sketches
+
+    panel = spark.range(9000).selectExpr("cast(id % 3 + 2000 as int) year", "case when id % 2 = 0 then 'h' when id % 9 = 1 then null else cast(id as string) end PNR", "id v")
+    write_panel(panel, f"{folder}/p")
+    assert stored_hot_keys(spark, f"{folder}/p", "PNR") is None
+    write_key_sketches(spark, f"{folder}/p", ["PNR"])
+    for with_null in (False, True):
+        found = stored_hot_keys(spark, f"{folder}/p", "PNR", 400, with_null)
+        assert sorted(map(str, found)) == sorted(map(str, hot_keys(panel, "PNR", 400, with_null))) and len(found) == 1 + with_null
+    write_panel(panel.filter("year = 2001").selectExpr("year", "'g' PNR", "v"), f"{folder}/p", only_given=True)
+    write_key_sketches(spark, f"{folder}/p", ["PNR"], frozenset({2001}))
+    assert dict(stored_hot_keys(spark, f"{folder}/p", "PNR", 400)) == {"h": 3000, "g": 3000}
+    people = spark.createDataFrame([("h", "g", None), ("x", None, "h")], "PNR string, FAR_ID string, MOR_ID string")
+    register = spark.read.parquet(f"{folder}/p")
+    hot = stored_hot_keys(spark, f"{folder}/p", "PNR", 400)
+    spark.sparkContext.setJobGroup("joins", "plan")
+    joined = [join_register(people, register, hot_rows=400, left_hot=[], right_hot=hot), join_parent(people, register, "father", hot_rows=400, left_hot=[], right_hot=hot)]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("joins"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 0 and [df.count() for df in joined] == [3001, 3001]
