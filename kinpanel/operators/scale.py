@@ -20,6 +20,8 @@ HOT_ROWS = 2_000_000
 # The sketch sees every key above rows / TRACKED; at most MAX_HOT are returned.
 TRACKED = 50_000
 MAX_HOT = 10_000
+# The same for sketches that are kept beside a table, one a year.
+KEPT = 4_000
 MAX_WAYS = 4_096
 # Largest table to broadcast, in rows and in bytes of text.
 SMALL_ROWS = 200_000
@@ -48,16 +50,17 @@ def hot_keys_of(df: DataFrame, keys: list[str], hot_rows: int | None = HOT_ROWS,
 
 
 def key_sketches(df: DataFrame, keys: list[str], by: str | None = None) -> DataFrame:
-    """Mergeable sketches of the frequent values of ``keys``, a column each; one row, or one per ``by``."""
-    return df.groupBy(*([by] if by else [])).agg(*[F.expr(f"approx_top_k_accumulate(`{k}`, {TRACKED})").alias(k) for k in keys])
+    """Mergeable sketches of the frequent values of ``keys``, a column each; one row, or one per ``by``. They see every key above
+    rows / ``KEPT``."""
+    return df.groupBy(*([by] if by else [])).agg(*[F.expr(f"approx_top_k_accumulate(`{k}`, {KEPT})").alias(k) for k in keys])
 
 
 def hot_of_sketches(sketches: DataFrame, key: str, hot_rows: int | None = HOT_ROWS, with_null: bool = False) -> list[tuple[object, int]]:
     """``hot_keys`` from the sketches of a table's parts; the table is not read."""
     if hot_rows is None:
         return []
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(`{key}`, {TRACKED})").alias("t")).where("t is not null")
-    top = merged.select(F.expr(f"approx_top_k_estimate(t, {MAX_HOT})").alias("t")).first()
+    merged = sketches.agg(F.expr(f"approx_top_k_combine(`{key}`, {KEPT})").alias("t")).where("t is not null")
+    top = merged.select(F.expr(f"approx_top_k_estimate(t, {KEPT})").alias("t")).first()
     return [(r["item"], r["count"]) for r in (top["t"] if top else []) if r["count"] > hot_rows and (with_null or r["item"] is not None)]
 
 
