@@ -21,6 +21,8 @@ PER_BLOCK, FINE = 2.4, 128
 CHUNK = 512
 #: Larger buckets are first joined through nearest partners.
 FEW = 32
+#: So many open buckets of a text, the least ones, travel with it: a pair that meets in one of them is told there only.
+TOLD = 16
 #: Texts whose ids are few enough (16 bytes each) are picked out of the corpus by broadcast; else by a join.
 PICKED = 2_000_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -243,13 +245,15 @@ def _across(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
     """Pairs of different components in one bucket whose sizes and sketches allow a link; compared in blocks, not listed.
 
     ``members``: bucket, cls, component. Large buckets are dealt over tasks as pairs of chunks. ``nearest``: of a text's
-    possible partners in a block only the one with the nearest sketch.
+    possible partners in a block only the one with the nearest sketch. A pair that meets in many buckets is told in the least
+    of them, as far as the ``TOLD`` least buckets of both texts show it; a pair is never left out in its least bucket.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    rows = members.join(sizes, "bucket").join(info.select("cls", "n_shingles", "sketch"), "cls")
+    told = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("bucket")), 1, TOLD).alias("told"))
+    rows = members.join(sizes, "bucket").join(info.select("cls", "n_shingles", "sketch").join(told, "cls"), "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "component", "n_shingles", "sketch")
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "component", "n_shingles", "sketch", "told")
     place = ["bucket", "i", "j"]
     dealt = rows.repartition(partitions(members.sparkSession), *place).sortWithinPartitions(*place)
     found = dealt.mapInArrow(lambda batches: _compared(batches, nearest), "a long, b long")
@@ -260,7 +264,7 @@ def _compared(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.R
     """Rows come block by block, a block of ``2 * CHUNK`` rows or so at a time."""
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][1:3]
+        bucket, i, j = rows[0][:3]
         cls, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
         if comp.min() == comp.max():
             return []
@@ -268,17 +272,16 @@ def _compared(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.R
         bits = np.stack([folded(np.frombuffer(r[7], np.uint8), size) for r in rows])
         mine = np.array([r[3] for r in rows])
         right = np.flatnonzero(mine == j)
-        out = []
+        told = [frozenset(r[8]) for r in rows]
+        out = set()
         for x in np.flatnonzero(mine == i):
             some = right[(comp[right] != comp[x]) & ((right > x) if i == j and not nearest else True)]
             some = some[np.minimum(n[some], n[x]) * 100 >= np.maximum(n[some], n[x]) * PERCENT]
             apart = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1)
             close = apart <= (n[some] + n[x]) * (100 - PERCENT) // (100 + PERCENT)
-            if nearest and close.any():
-                out.append((int(cls[x]), int(cls[some[apart.argmin()]])))
-            elif not nearest:
-                out += [(int(cls[x]), int(c)) for c in cls[some[close]]]
-        return out
+            near = some[close] if not nearest else some[[apart.argmin()]] if close.any() else []
+            out |= {(min(x, y), max(x, y)) for y in near if min(told[x] & told[y], default=bucket) >= bucket}
+        return [(int(cls[x]), int(cls[y])) for x, y in out]
 
     at, rows, found = None, [], []
     for batch in batches:
