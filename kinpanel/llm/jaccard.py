@@ -23,6 +23,8 @@ CHUNK = 512
 FEW = 32
 #: So many open buckets of a text, the least ones, travel with it: a pair that meets in one of them is told there only.
 TOLD = 16
+#: Passes through nearest partners go on while one pair in so many that they try is a link.
+WORTH = 8
 #: Texts whose ids are few enough (16 bytes each) are picked out of the corpus by broadcast; else by a join.
 PICKED = 2_000_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -309,7 +311,7 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts with one set of shingles are a class and link among themselves. Classes that share a key of their parity
     sketches meet in a bucket. First every class is compared with the first of its buckets, which joins large groups of
     copies with few comparisons. Then classes of a bucket that are still in different components are compared in blocks:
-    with the nearest of them as long as that finds links, at last with all, so no link is lost. Sketches only rule
+    with the nearest of them as long as that finds many links, at last with all, so no link is lost. Sketches only rule
     pairs out; a link counts after both whole sets were compared.
 
     A null or empty text has no shingles and is alone. With fewer than five words the whole sequence is the one shingle.
@@ -343,16 +345,17 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         placed = some.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         open_ = placed.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("bucket")
         apart = stored(placed.join(open_, "bucket").select("bucket", "cls", "component"))
-        found = 0
+        tried = found = 0
         if apart.limit(1).count():
-            more = _linked(stored(_across(apart, info, nearest)), documents, body, info)
-            found = more.limit(1).count()
+            pairs = stored(_across(apart, info, nearest))
+            more = _linked(pairs, documents, body, info)
+            tried, found = pairs.count(), more.count()
         if found:
             links = stored(links.unionByName(more))
             whole = stored(components(links))
         if not nearest:
             break
-        nearest = bool(found)
+        nearest = found * WORTH > tried
     named = info.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "component", "least_id")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     per_class = stored(named.join(least, "component").join(filled.groupBy("cls").agg(F.count("*").alias("rows")), "cls").select("cls", "component_id", "rows", *(["component"] if by_text else [])))
