@@ -17,6 +17,8 @@ from kinpanel.llm.graph import components
 WORDS, PERCENT = 5, 75
 #: Tokens a parity block holds on average in the largest sets of a band; below ``FINE`` tokens a block has one token.
 PER_BLOCK, FINE = 2.4, 128
+#: Keys meet in tasks that own the keys of about so many shingles (at most 14 bytes a key, about 0.6 keys a shingle).
+SHARE = 2_000_000
 #: Texts of a bucket that are compared at a time.
 CHUNK = 512
 #: Larger buckets are first joined through nearest partners.
@@ -129,35 +131,37 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, class, sketch and keys of every text; a key is the first six bytes' worth of its bits."""
     shingler = Shingler()
     for batch in batches:
-        n, cls, sketches = [], [], []
+        n, cls, sketches, keys = [], [], [], []
         for t in batch.column(2):
             s = shingler(t.as_py() or b"")
             n.append(len(s))
             cls.append(class_of(s))
             sketches.append(parity(s, sketch_bits(len(s))).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "n_shingles", "cls", "sketch"])
+            keys.append((signatures(s) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if len(s) else b"")
+        made = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "n_shingles", "cls", "sketch", "keys"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed (key, class) pairs by destination: six bytes of key (its first bits choose the destination) and eight of class."""
-    shingler = Shingler()
+def _numbers(packed: list[bytes]) -> np.ndarray:
+    """Keys of six bytes each as numbers."""
+    low = np.zeros((sum(map(len, packed)) // 6, 8), np.uint8)
+    low[:, :6] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
+    return low.view(np.uint64)[:, 0]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed (key, class) pairs by destination, which the first bits of the key choose: six bytes of key and eight of class."""
     for batch in batches:
-        keys, names = [], []
-        for t in batch.column(0):
-            s = shingler(t.as_py() or b"")
-            if len(s):
-                keys.append(signatures(s))
-                names.append(np.full(len(keys[-1]), class_of(s), np.int64))
-        if not keys:
-            continue
-        key, cls = np.concatenate(keys), np.concatenate(names)
-        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        packed = batch.column(0).to_pylist()
+        key, cls = _numbers(packed), np.repeat(batch.column(1).to_numpy(), [len(k) // 6 for k in packed])
         order = np.lexsort((cls, key))
-        key, cls, part = key[order], cls[order], part[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-        key, cls, part = key[new], cls[new], part[new]
+        key, cls = key[order], cls[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]) if len(key) else np.zeros(0, bool)
+        key, cls = key[new], cls[new]
+        part = ((key >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
         low = key.view(np.uint8).reshape(-1, 8)[:, :6]
         ends = np.searchsorted(part, np.arange(parts + 1))
         some = [p for p in range(parts) if ends[p] < ends[p + 1]]
@@ -175,9 +179,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.setdefault(part, []).append((k, c))
     for part in list(keys):
         blobs = keys.pop(part)
-        low = np.zeros((sum(len(k) for k, _ in blobs) // 6, 8), np.uint8)
-        low[:, :6] = np.frombuffer(b"".join(k for k, _ in blobs), np.uint8).reshape(-1, 6)
-        key, cls = low.view(np.uint64)[:, 0], np.frombuffer(b"".join(c for _, c in blobs), np.int64)
+        key, cls = _numbers([k for k, _ in blobs]), np.frombuffer(b"".join(c for _, c in blobs), np.int64)
         order = np.lexsort((cls, key))
         key, cls = key[order], cls[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
@@ -323,13 +325,14 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     described = stored(
         documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("body")).mapInArrow(
-            _described, f"doc_id {kind}, text_key long, n_shingles long, cls long, sketch binary"
+            _described, f"doc_id {kind}, text_key long, n_shingles long, cls long, sketch binary, keys binary"
         )
     )
     filled = described.filter("n_shingles > 0")
     info = stored(filled.groupBy("cls").agg(F.min("n_shingles").alias("n_shingles"), F.min("text_key").alias("text_key"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least_id")))
-    parts = 2 * partitions(spark)
-    packed = documents.select(body.alias("body")).mapInArrow(lambda batches: _keyed(batches, parts), "part int, keys binary, classes binary")
+    shingles = filled.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = max(2 * partitions(spark), shingles // SHARE)
+    packed = filled.select("keys", "cls").mapInArrow(lambda batches: _dealt(batches, parts), "part int, keys binary, classes binary")
     met = stored(packed.repartitionById(parts, "part").mapInArrow(_met, "bucket long, first long, cls long"))
     stars = met.filter("first <> cls").select(F.least("first", "cls").alias("a"), F.greatest("first", "cls").alias("b")).distinct()
     links = _linked(stored(_likely(stored(stars), info)), documents, body, info)
