@@ -35,7 +35,7 @@ _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 class Shingler:
     """Distinct hashed shingles of a text, sorted. Words are remembered as rows of a table, up to a bound."""
 
-    def __init__(self, size: int = WORDS, most: int = 500_000):
+    def __init__(self, size: int = WORDS, most: int = 200_000):
         self.size, self.most = size, most
         self.rows: dict[bytes, int] = {}
         self.table = np.zeros(1024, np.uint64)
