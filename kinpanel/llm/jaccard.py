@@ -131,7 +131,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, class, sketch and keys of every text; a key is the first six bytes' worth of its bits."""
+    """Size, class, sketch and keys of every text; the first 48 bits of a key are kept."""
     shingler = Shingler()
     for batch in batches:
         n, cls, sketches, keys = [], [], [], []
