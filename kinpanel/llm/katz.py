@@ -38,6 +38,16 @@ def _unpacked(blob):
     return pickle.loads(zstandard.decompress(bytes(blob)))
 
 
+def _ordered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes (not negative) in order and the place of each, equal ones by place. Code and place are sorted as one number if it fits."""
+    bits = len(code).bit_length()
+    if len(code) and int(code.max()).bit_length() + bits > 63:
+        place = np.argsort(code, kind="stable")
+        return code[place], place
+    both = np.sort((code << bits) | np.arange(len(code)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 class Chunk:
     """Documents of one partition as word numbers. Words are numbered in order of appearance; the end comes last. The chunk is
     built several times, and what was told of one building is laid over the next: blobs are taken in order of their places,
@@ -65,9 +75,12 @@ class Chunk:
         code = np.empty(len(self.tokens), np.int64)
         code[1:] = self.tokens[:-1]
         code[np.cumsum(self.sizes) - self.sizes] = start
-        code, place = np.unique(code * (start + 1) + self.tokens, return_inverse=True)
-        seen = np.bincount(place, weights=self.train[self.doc], minlength=len(code)).astype(np.int64)
-        return code // (start + 1), code % (start + 1), seen, np.bincount(place, minlength=len(code)), self.doc[np.argsort(place, kind="stable")]
+        code, place = _ordered(code * (start + 1) + self.tokens)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+        docs, code = self.doc[place], code[first]
+        trained = np.concatenate([[0], np.cumsum(self.train[docs])])
+        ends = np.append(first[1:], len(docs))
+        return code // (start + 1), code % (start + 1), trained[ends[: len(first)]] - trained[first], ends[: len(first)] - first, docs
 
 
 def _part(x: np.ndarray, parts: int) -> np.ndarray:
@@ -75,8 +88,10 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _ranges(order_key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    if parts <= 1 << 16:  # numpy sorts numbers of 16 bits by their digits
+        order_key = order_key.astype(np.uint16)
     order = np.argsort(order_key, kind="stable")
-    ends = np.searchsorted(order_key[order], np.arange(parts + 1))
+    ends = np.searchsorted(order_key[order].astype(np.int64), np.arange(parts + 1))
     for p in range(parts):
         if ends[p] < ends[p + 1]:
             yield p, order[ends[p] : ends[p + 1]]
@@ -141,7 +156,7 @@ def _bigrams(index: int, pair, parts: int, hot: set[int]):
     context, word, seen, places, docs = chunk.bigrams()
     hashes = np.append(chunk.hashes, START)
     h, w = hashes[context], hashes[word]
-    isin = np.isin(h, np.array(sorted(hot), np.uint64))
+    isin = np.isin(hashes, np.array(sorted(hot), np.uint64))[context]
     where = _part(np.where(isin, (h ^ (w << np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15), h), parts)
     begins = np.concatenate([[0], np.cumsum(places)])
     for p, rows in _ranges(where, parts):  # rows stay in order of context

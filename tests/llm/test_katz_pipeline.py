@@ -191,3 +191,27 @@ def test_every_operator_is_registered(spark):
     names = entry.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert F.lit(1) is not None
+
+
+@pytest.mark.parametrize("high", [50, 1 << 62])
+def test_codes_are_sorted_with_their_places(high):
+    """As one number where code and place fit, else by a stable sort: the same order."""
+    code = np.random.default_rng(3).integers(0, 40, 500) + (high - 50)
+    got, place = katz._ordered(code)
+    assert np.array_equal(place, np.argsort(code, kind="stable")) and np.array_equal(got, code[place])
+    assert [len(x) for x in katz._ordered(code[:0])] == [0, 0]
+
+
+def test_bigrams_of_a_chunk():
+    rows = [(1, False, b"a b a b"), (2, True, b"a b c"), (3, False, None), (4, False, b"c a b")]
+    chunk = katz.Chunk([(0, katz._packed(rows))])
+    want = defaultdict(list)
+    for i, (_, _, body) in enumerate(rows):
+        words = [None, *(body or b"").split(), b""]
+        for pair in zip(words, words[1:], strict=False):
+            want[pair].append(i)
+    names = [b"a", b"b", b"c", b"", None]
+    context, word, seen, places, docs = chunk.bigrams()
+    ends = np.cumsum(places)
+    got = {(names[h], names[w]): (n, docs[e - k : e].tolist()) for h, w, n, k, e in zip(context, word, seen, places, ends, strict=True)}
+    assert got == {pair: (sum(i != 1 for i in at), at) for pair, at in want.items()}
