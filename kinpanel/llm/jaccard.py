@@ -19,8 +19,10 @@ WORDS, PERCENT = 5, 75
 PER_BLOCK, FINE = 2.4, 128
 #: Keys meet in tasks that own the keys of about so many shingles (at most 14 bytes a key, about 0.6 keys a shingle).
 SHARE = 2_000_000
+#: Texts of an Arrow batch that are worked on at a time.
+ROWS = 2000
 #: Texts of a bucket that are compared at a time.
-CHUNK = 512
+CHUNK = 2048
 #: Larger buckets are first joined through nearest partners.
 FEW = 32
 #: So many open buckets of a text, the least ones, travel with it: a pair that meets in one of them is told there only.
@@ -130,10 +132,16 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, class, sketch and keys of every text; the first 48 bits of a key are kept."""
     shingler = Shingler()
-    for batch in batches:
+    for batch in _sliced(batches):
         n, cls, sketches, keys = [], [], [], []
         for t in batch.column(2):
             s = shingler(t.as_py() or b"")
@@ -154,7 +162,7 @@ def _numbers(packed: list[bytes]) -> np.ndarray:
 
 def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Packed (key, class) pairs by destination, which the first bits of the key choose: six bytes of key and eight of class."""
-    for batch in batches:
+    for batch in _sliced(batches):
         packed = batch.column(0).to_pylist()
         key, cls = _numbers(packed), np.repeat(batch.column(1).to_numpy(), [len(k) // 6 for k in packed])
         order = np.lexsort((cls, key))
@@ -257,7 +265,9 @@ def _across(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
     rows = members.join(sizes, "bucket").join(info.select("cls", "n_shingles", "sketch").join(told, "cls"), "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "component", "n_shingles", "sketch", "told")
+    # Only buckets before this one tell that a pair was told before.
+    before = F.filter("told", lambda b: b < F.col("bucket")).alias("told")
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "component", "n_shingles", "sketch", before)
     place = ["bucket", "i", "j"]
     dealt = rows.repartition(partitions(members.sparkSession), *place).sortWithinPartitions(*place)
     found = dealt.mapInArrow(lambda batches: _compared(batches, nearest), "a long, b long")
@@ -267,38 +277,53 @@ def _across(members: DataFrame, info: DataFrame, nearest: bool) -> DataFrame:
 def _compared(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
     """Rows come block by block, a block of ``2 * CHUNK`` rows or so at a time."""
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        bucket, i, j = rows[0][:3]
-        cls, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-        if comp.min() == comp.max():
+    def pairs(columns: list, at: int, end: int) -> list[tuple[int, int]]:
+        i, j = int(columns[1][at]), int(columns[2][at])
+        mine, cls, comp, n = (c[at:end] for c in columns[3:7])
+        kinds, kind, times = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(kinds) == 1:
             return []
-        size = min(len(r[7]) for r in rows)
-        bits = np.stack([folded(np.frombuffer(r[7], np.uint8), size) for r in rows])
-        mine = np.array([r[3] for r in rows])
-        right = np.flatnonzero(mine == j)
-        told = [frozenset(r[8]) for r in rows]
+        # Every pair has a text outside the component with most texts: only those look for partners.
+        main = kind == times.argmax()
+        texts, (begins, told) = columns[7][at:end], columns[8]
+        size = min(map(len, texts))
+        bits = np.stack([folded(np.frombuffer(t, np.uint8), size) for t in texts]).view(np.uint64)
+        sides = [np.flatnonzero(mine == k) for k in (i, j)]
         out = set()
-        for x in np.flatnonzero(mine == i):
-            some = right[(comp[right] != comp[x]) & ((right > x) if i == j and not nearest else True)]
+        for x in np.flatnonzero(~main).tolist():
+            first = i == j or mine[x] == i
+            some = sides[1] if first else sides[0]
+            apart_from = comp[some] != comp[x]
+            if not nearest:  # each pair once
+                apart_from &= main[some] | (some > x if i == j else first)
+            some = some[apart_from]
             some = some[np.minimum(n[some], n[x]) * 100 >= np.maximum(n[some], n[x]) * PERCENT]
-            apart = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1)
+            apart = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1, dtype=np.int64)
             close = apart <= (n[some] + n[x]) * (100 - PERCENT) // (100 + PERCENT)
-            near = some[close] if not nearest else some[[apart.argmin()]] if close.any() else []
-            out |= {(min(x, y), max(x, y)) for y in near if min(told[x] & told[y], default=bucket) >= bucket}
-        return [(int(cls[x]), int(cls[y])) for x, y in out]
-
-    at, rows, found = None, [], []
+            if close.any():
+                near = some[close] if not nearest else some[[apart.argmin()]]
+                out |= {(min(x, y), max(x, y)) for y in near.tolist()}
+        before = {x: frozenset(told[begins[at + x] : begins[at + x + 1]].tolist()) for pair in out for x in pair}
+        return [(int(cls[x]), int(cls[y])) for x, y in out if before[x].isdisjoint(before[y])]
+
+    def blocks(table: pa.RecordBatch, last: bool) -> tuple[list[tuple[int, int]], int]:
+        """Pairs of the whole blocks of a table, and where the block starts that may go on."""
+        lists = table.column(8)
+        columns = [*(table.column(k).to_numpy() for k in range(7)), table.column(7).to_pylist(), (lists.offsets.to_numpy(), lists.values.to_numpy())]
+        new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1]).tolist()
+        ends = [*starts[1:], *([table.num_rows] if last else [])]
+        return [p for at, end in zip(starts, ends, strict=False) if end - at > 1 for p in pairs(columns, at, end)], starts[-1]
+
+    rest = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != at:
-                if len(rows) > 1:
-                    found += pairs(rows)
-                at, rows = row[:3], []
-            rows.append(row)
-        yield _pairs(found)
-        found = []
-    if len(rows) > 1:
-        yield _pairs(pairs(rows))
+        if batch.num_rows:
+            whole = pa.concat_batches([rest, batch]) if rest is not None else batch
+            found, at = blocks(whole, False)
+            rest = whole.slice(at)
+            yield _pairs(found)
+    if rest is not None:
+        yield _pairs(blocks(pa.concat_batches([rest]), True)[0])
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -378,7 +403,7 @@ def _sets(documents: DataFrame, body, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [shingler(t) for t in dict.fromkeys(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "tokens"])
 

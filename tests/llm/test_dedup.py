@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,44 @@ def test_recall_near_the_limit(spark):
 
 def test_normalisation_is_ascii_only():
     assert re.sub("[\x20\x09-\x0d]+", " ", "a b c \t d") == "a b c d"
+
+
+def test_few_texts_are_worked_on_at_a_time(monkeypatch):
+    """Executor memory: an Arrow batch of many texts is described and dealt in small slices, which give the same keys."""
+    texts = [f"{i} b c d e f {i}" for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(range(100)), pa.array([t.encode() for t in texts])], names=["doc_id", "text_key", "body"])
+    monkeypatch.setattr(jaccard, "ROWS", 30)
+    described = list(jaccard._described(iter([batch])))
+    assert [b.num_rows for b in described] == [30, 30, 30, 10]
+    packed = pa.Table.from_batches(described).select(["keys", "cls"]).combine_chunks().to_batches()
+    dealt = list(jaccard._dealt(iter(packed), 4))
+    assert len(dealt) == 4
+    monkeypatch.setattr(jaccard, "ROWS", 1000)
+    pairs = lambda batches: sorted((p, k[i * 6 : i * 6 + 6], c[i * 8 : i * 8 + 8]) for b in batches for p, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True) for i in range(len(k) // 6))
+    assert pairs(dealt) == pairs(jaccard._dealt(iter(packed), 4))
+
+
+def _block_rows(rows):
+    names = ["bucket", "i", "j", "mine", "cls", "component", "n_shingles", "sketch", "told"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 1000])
+def test_blocks_are_compared_across_batches(step):
+    """Every pair of different components is met once in its block, wherever Arrow batches end, unless an earlier bucket told it."""
+    rng = random.Random(8)
+    rows, want = [], Counter()
+    for bucket in range(30):
+        i, j = rng.choice([(0, 0), (1, 1), (0, 1)])
+        mine = [(rng.choice([i, j]), 100 * bucket + k, rng.choice([1, 1, 1, 2, 3, k + 10]), rng.choice([[], [], [-5], [-5, -4], [-4]])) for k in range(rng.randrange(1, 12))]
+        rows += [(bucket, i, j, side, cls, comp, 40, b"\0" * 16, told) for side, cls, comp, told in mine]
+        for x in range(len(mine)):
+            for y in range(x):
+                if mine[x][2] != mine[y][2] and (i == j or mine[x][0] != mine[y][0]) and not set(mine[x][3]) & set(mine[y][3]):
+                    want[mine[y][1], mine[x][1]] += 1
+    batches = [_block_rows(rows[at : at + step]) for at in range(0, len(rows), step)]
+    found = Counter(p for b in jaccard._compared(iter(batches), False) for p in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    assert found == want
+    near = {x for b in jaccard._compared(iter(batches), True) for p in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in [p]}
+    assert near <= set(want)
